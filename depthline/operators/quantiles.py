@@ -23,6 +23,9 @@ def exact_quantiles(
     is exact: the margin of the bracket exceeds the error of the sketch. Groups
     of fewer than `accuracy` rows are ranked whole.
     """
+    if not keys:
+        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy)
+        return whole.drop("_all")
     margin = 3.0 / accuracy
     wanted = [float(p) for p in probs]
     lows = [max(p - margin, 0.0) for p in wanted]
@@ -39,7 +42,7 @@ def exact_quantiles(
         high = F.when(small | F.lit(p + margin >= 1.0), F.lit(None)).otherwise(F.col("_bounds")[len(wanted) + i])
         brackets.append(F.struct(F.lit(p).alias("prob"), low.alias("low"), high.alias("high")))
     brackets = sketch.select(*keys, "_n", F.array(*brackets).alias("_brackets"))
-    joined = rows.join(brackets, list(keys)) if keys else rows.join(F.broadcast(brackets))
+    joined = rows.join(brackets, list(keys))
     # A value under the bracket only matters as a count; all such rows fold into one NULL.
     spread = joined.select(
         *keys, "_n", "_v", F.explode(F.filter("_brackets", lambda b: b.high.isNull() | (F.col("_v") <= b.high))).alias("_b")
