@@ -133,7 +133,8 @@ def next_fast_length(n, max_n: int) -> Column:
     top = 1
     while top < max_n:
         top *= 2
-    candidates = F.array(*[F.lit(v).cast("bigint") for v in smooth_lengths(top)])
+    listed = ",".join(str(v) for v in smooth_lengths(top))
+    candidates = F.split(F.lit(listed), ",").cast("array<bigint>")
     n = _c(n).cast("bigint")
     return F.array_min(F.filter(candidates, lambda m: m >= n))
 
@@ -176,3 +177,9 @@ def mean_offset_seconds(index, offset: int, fs) -> Column:
 
 def structs(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
+
+
+def rounded(x, places: int = 4) -> Column:
+    """Round half up, nudged off decimal ties so that other engines agree."""
+    unit = 10.0**places
+    return F.floor(_c(x) * F.lit(unit) + F.lit(0.5 + 1e-5)) / F.lit(unit)

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def power_spectrum(x: np.ndarray, fs: float) -> np.ndarray:
@@ -26,7 +27,7 @@ def band_weights(n: int, fs: float, bands: Mapping[str, tuple[float, float]]) ->
         reach = np.clip(1.0 - np.abs(f - (low + high) / 2.0) / (high - low), 0.0, 1.0)
         w = (1.0 - np.cos(np.pi * reach)) / 2.0
         columns.append(w / w.sum() if w.sum() > 0 else np.full(f.size, np.nan))
-    return np.stack(columns, axis=1)
+    return np.stack(columns, axis=1) if columns else np.empty((f.size, 0))
 
 
 def _equal_shapes(samples: pd.Series, fs: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -40,7 +41,7 @@ def _equal_shapes(samples: pd.Series, fs: pd.Series) -> Iterator[tuple[np.ndarra
                 yield at, np.stack([np.asarray(samples.iat[i], dtype=float) for i in at]), float(rate)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def periodogram(samples: pd.Series, fs: pd.Series) -> pd.Series:
     out = np.empty(len(samples), dtype=object)
     for at, x, rate in _equal_shapes(samples, fs):

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from depthline.functions import arrays as A
 from depthline.functions import kernels as K
-from depthline.functions.columns import power_db
+from depthline.functions.columns import known, power_db
 from depthline.operators.relational import channel_event_features
 from depthline.operators.spatial import channels_in_reach
 from depthline.schemas import BANDS
@@ -157,7 +157,7 @@ def neighbour_covariance(banded: DataFrame, keys: Sequence[str] = RECORDING) ->
     sizes = banded.groupBy(*keys).agg((F.max("channel") + 1).alias("nc"))
     pairs = (
         banded.select(*keys, "channel", F.posexplode("products").alias("k", "cov"))
-        .filter(~F.isnan("cov"))
+        .filter(known("cov").isNotNull())
         .withColumn("half", F.lit(8))
     )
     there = F.struct(F.col("channel").alias("c"), (F.col("channel") + F.col("k")).alias("nb"))
@@ -218,7 +218,7 @@ def quality_labels(
     banded = banded_covariance(df, half_width=1, keys=keys)
     # products[1] of channel c-1 is its covariance with c.
     previous = banded.select(
-        *keys, (F.col("channel") + 1).alias("channel"), F.nanvl(F.col("products")[1], F.lit(None)).alias("_with_prev")
+        *keys, (F.col("channel") + 1).alias("channel"), known(F.col("products")[1]).alias("_with_prev")
     )
     joined = (
         measures.join(banded.select(*keys, "channel", F.col("products")[0].alias("_own")), [*keys, "channel"])
