@@ -367,6 +367,16 @@ def packed_profiles(
     )
 
 
+def drawn_class(cells, u, share: str = "c", klass: str = "event_type") -> Column:
+    """First class whose cumulative share exceeds `u`; the last one at rounding ends.
+
+    cells: array of structs with the cumulative share and the class, in class order.
+    """
+    cells, u = (F.col(c) if isinstance(c, str) else c for c in (cells, u))
+    above = F.filter(cells, lambda s: s[share] > u)
+    return F.coalesce(F.get(above, 0), F.element_at(cells, -1))[klass]
+
+
 def _sampled(p: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     """Inverse-CDF draws per depth; rows are normalised first."""
     total = p.sum(axis=1, keepdims=True)

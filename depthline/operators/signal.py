@@ -76,7 +76,7 @@ def current_source_density(df: DataFrame, sigma: float = 1.0 / 3.0, keys: Sequen
     """
     column = Window.partitionBy(*keys, "lateral_um")
     along = column.orderBy("axial_um")
-    spaced = df.withColumn("_gap", F.lead("axial_um").over(along) - F.col("axial_um"))
+    spaced = df.withColumn("samples", A.doubles("samples")).withColumn("_gap", F.lead("axial_um").over(along) - F.col("axial_um"))
     spacing = F.percentile("_gap", 0.5).over(column)
     above, below = F.lag("samples").over(along), F.lead("samples").over(along)
     inner = F.zip_with(
