@@ -52,14 +52,15 @@ def write_waveforms(waveforms: DataFrame, events: DataFrame, root: str, save: bo
     if not save:
         return
     small = waveforms.withColumn("waveform", F.col("waveform").cast("array<float>"))
-    _by_partition(small, ["pid"]).write.mode("append").partitionBy("pid").parquet(f"{root}/waveforms.parquet")
-    _by_partition(events, ["pid"]).write.mode("append").partitionBy("pid").parquet(f"{root}/spikes.parquet")
+    _by_partition(small, keys).write.mode("append").partitionBy("pid").parquet(f"{root}/waveforms.parquet")
+    _by_partition(events, keys).write.mode("append").partitionBy("pid").parquet(f"{root}/spikes.parquet")
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Long predictions, one folder per fold. `fold` is hot (few values), so each
-    fold is spread over the session's shuffle partitions by probe."""
-    predictions.repartition("fold", "pid").write.mode("overwrite").partitionBy("fold").parquet(path)
+    """Long predictions, one folder per fold. There are few folds, and a probe may
+    hold most rows, so each fold is spread by a hash of its channels."""
+    spread = F.pmod(F.xxhash64("pid", "channel"), F.lit(64))
+    predictions.repartition("fold", spread).write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
 def reuse_or_compute(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -48,18 +49,19 @@ def compute_new_snippets(
 ) -> StreamingQuery:
     """For each batch of requested keys, compute and append those not stored yet.
 
-    A batch writes to its own folder and replaces it when it is retried, and it
-    does not count its own earlier attempt as stored, so a retry leaves each
-    snippet exactly once.
+    A batch writes to a folder of its own, named after the checkpoint and the
+    batch number, and replaces it when it is retried. It does not count its own
+    earlier attempt as stored, so a retry leaves each snippet exactly once.
     """
+    run_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         wanted = batch.select(*keys).distinct()
         if path_exists(spark, path):
-            stored = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-            wanted = missing_keys(wanted, stored, keys)
-        compute(wanted).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            own = (F.col("run") == run_name) & (F.col("batch") >= batch_id)
+            wanted = missing_keys(wanted, spark.read.parquet(path).filter(~own), keys)
+        compute(wanted).write.mode("overwrite").parquet(f"{path}/run={run_name}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(run)
