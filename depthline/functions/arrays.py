@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from depthline.functions import kernels as K
 from depthline.functions.columns import _c
 
 
@@ -44,53 +45,10 @@ def value_at(x, index) -> Column:
     return F.try_element_at(_c(x), (_c(index) + 1).cast("int"))
 
 
-def first_index(x, value) -> Column:
-    """0-based index of the first occurrence, NULL when absent."""
-    at = F.array_position(_c(x), value)
-    return F.when(at > 0, at - 1).cast("int")
-
-
 def waveform_shape(waveform, fs, recovery_offset: int = 5) -> Column:
-    """Peak, tip, trough and recovery of one waveform as a struct column.
-
-    The peak is the first sample of largest magnitude. The tip and the trough
-    are the extrema of the opposite sense up to and from the peak. The recovery
-    point lies `recovery_offset` samples after the trough, or at the end.
-    Slopes are value over index differences, in units per second; NULL where
-    two points coincide.
-    """
-    w = doubles(waveform)
-    fs = _c(fs) if not isinstance(fs, (int, float)) else F.lit(float(fs))
-    size = F.size(w)
-    magnitude = F.transform(w, F.abs)
-    peak = first_index(magnitude, F.array_max(magnitude))
-    sign = F.when(value_at(w, peak) > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    upright = F.transform(w, lambda v: v * sign)
-    before = F.slice(upright, 1, peak + 1)
-    after = F.slice(upright, peak + 1, size)
-    tip = first_index(before, F.array_min(before))
-    trough = peak + first_index(after, F.array_min(after))
-    recovery = F.least(trough + recovery_offset, size - 1)
-    peak_val, tip_val = value_at(w, peak), value_at(w, tip)
-    trough_val, recovery_val = value_at(w, trough), value_at(w, recovery)
-
-    def slope(v1, v0, i1, i0):
-        return F.try_divide(v1 - v0, (i1 - i0).cast("double")) * fs
-
-    return F.struct(
-        peak.alias("peak_time_idx"),
-        peak_val.alias("peak_val"),
-        tip.alias("tip_time_idx"),
-        tip_val.alias("tip_val"),
-        trough.alias("trough_time_idx"),
-        trough_val.alias("trough_val"),
-        recovery.alias("recovery_time_idx"),
-        recovery_val.alias("recovery_val"),
-        slope(peak_val, tip_val, peak, tip).alias("depolarisation_slope"),
-        slope(trough_val, peak_val, trough, peak).alias("repolarisation_slope"),
-        slope(recovery_val, trough_val, recovery, trough).alias("recovery_slope"),
-        (-sign).alias("invert_sign_peak"),
-    )
+    """Struct column of the waveform's shape; see `kernels.waveform_shape`."""
+    fs = F.lit(float(fs)) if isinstance(fs, (int, float)) else _c(fs)
+    return K.waveform_shape(recovery_offset)(_c(waveform), fs)
 
 
 def lateral_padded(x, size: int) -> Column:

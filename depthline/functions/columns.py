@@ -125,18 +125,19 @@ def smooth_lengths(limit: int) -> list[int]:
 
 
 def next_fast_length(n, max_n: int) -> Column:
-    """The least 5-smooth number that is not below `n` (`n` up to `max_n`).
+    """The least 5-smooth number that is not below `n` (`n` from 1 up to `max_n`).
 
-    The candidates are a short literal array (about 1.3k entries at 10^12), so
-    the lookup is an expression and needs no join.
+    The candidates of each octave (2^k, 2^(k+1)] are a short literal array that
+    is picked by the bit length of n-1, so the lookup is an expression, needs
+    no join and looks at a few dozen numbers per row.
     """
-    top = 1
-    while top < max_n:
-        top *= 2
-    listed = ",".join(str(v) for v in smooth_lengths(top))
-    candidates = F.split(F.lit(listed), ",").cast("array<bigint>")
+    bits = max(max_n - 1, 1).bit_length()
+    smooth = smooth_lengths(2**bits)
+    octaves = [[m for m in smooth if (m - 1).bit_length() == k] or [2**k] for k in range(bits + 1)]
+    listed = F.expr("array(" + ",".join("array(" + ",".join(f"{m}L" for m in o) + ")" for o in octaves) + ")")
     n = _c(n).cast("bigint")
-    return F.array_min(F.filter(candidates, lambda m: m >= n))
+    octave = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+    return F.array_min(F.filter(F.get(listed, octave), lambda m: m >= n))
 
 
 def tilted_angles(theta_deg, phi_deg, tilt_deg: float = -5.0) -> tuple[Column, Column]:

@@ -30,22 +30,36 @@ def band_weights(n: int, fs: float, bands: Mapping[str, tuple[float, float]]) ->
     return np.stack(columns, axis=1) if columns else np.empty((f.size, 0))
 
 
+def equal_lengths(samples: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and stacked rows of the arrays of each length; missing and empty ones are left out."""
+    lengths = samples.map(lambda s: 0 if s is None else len(s)).to_numpy()
+    for length in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == length)
+        yield at, np.stack([np.asarray(samples.iat[i], dtype=float) for i in at])
+
+
+def slices_of_equal_length(arrays: pd.Series, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `equal_lengths` for whole numbers, at most `rows` at a time."""
+    for at, x in equal_lengths(arrays):
+        for first in range(0, len(at), rows):
+            yield at[first : first + rows], x[first : first + rows].astype(int)
+
+
 def _equal_shapes(samples: pd.Series, fs: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Positions, stacked rows and rate of the rows of one length and rate."""
-    lengths = samples.map(lambda s: -1 if s is None else len(s)).to_numpy()
+    """As `equal_lengths`, and of one sampling rate."""
     rates = fs.to_numpy(dtype=float)
-    for length in np.unique(lengths):
-        for rate in np.unique(rates[lengths == length]):
-            at = np.flatnonzero((lengths == length) & (rates == rate))
-            if length > 0:
-                yield at, np.stack([np.asarray(samples.iat[i], dtype=float) for i in at]), float(rate)
+    for at, x in equal_lengths(samples):
+        for rate in np.unique(rates[at]):
+            same = rates[at] == rate
+            yield at[same], x[same], float(rate)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def periodogram(samples: pd.Series, fs: pd.Series) -> pd.Series:
     out = np.empty(len(samples), dtype=object)
     for at, x, rate in _equal_shapes(samples, fs):
-        out[at] = list(power_spectrum(x, rate)) if len(at) > 1 else [power_spectrum(x, rate)[0]]
+        for i, row in zip(at, power_spectrum(x, rate)):
+            out[i] = row
     return pd.Series(out)
 
 
@@ -97,6 +111,67 @@ def decimator(q: int):
     return decimated
 
 
+def peaks_over(x: np.ndarray, threshold: float, reach: int):
+    """`(row, sample, z, ptp)` of samples of |x|/rms >= threshold that lead within +-reach."""
+    level = np.sqrt((x * x).mean(axis=1))
+    size = np.abs(x)
+    row, sample = np.nonzero((size >= threshold * level[:, None]) & (level[:, None] > 0))
+    offsets = np.arange(-reach, reach + 1)
+    place = sample[:, None] + offsets[None, :]
+    outside = (place < 0) | (place >= x.shape[1])
+    near = np.where(outside, np.nan, x[row[:, None], np.clip(place, 0, x.shape[1] - 1)])
+    if row.size:
+        lead = size[row, sample] >= np.nanmax(np.abs(near), axis=1)
+        row, sample, near = row[lead], sample[lead], near[lead]
+    ptp = np.nanmax(near, axis=1) - np.nanmin(near, axis=1) if row.size else np.empty(0)
+    return row, sample.astype("int32"), x[row, sample] / level[row], ptp
+
+
+def waveform_shape(recovery_offset: int = 5):
+    """Arrow function `(waveform, fs) -> struct` of peak, tip, trough, recovery and slopes.
+
+    The peak is the first sample of largest magnitude. The tip and the trough
+    are the extrema of the opposite sense up to and from the peak. The recovery
+    point lies `recovery_offset` samples after the trough, or at the end.
+    Slopes are value over index differences, in units per second; missing where
+    two points coincide.
+    """
+    points = ("peak", "tip", "trough", "recovery")
+    slopes = {
+        "depolarisation_slope": ("peak", "tip"),
+        "repolarisation_slope": ("trough", "peak"),
+        "recovery_slope": ("recovery", "trough"),
+    }
+    fields = [T.StructField(f"{p}_{k}", t) for p in points for k, t in (("time_idx", T.IntegerType()), ("val", T.DoubleType()))]
+    schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in (*slopes, "invert_sign_peak")])
+
+    @F.pandas_udf(schema)
+    def shape(waveform: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({f.name: pd.array([None] * len(waveform), dtype="Int32" if f.name.endswith("idx") else "Float64") for f in schema.fields})
+        for rows, w in equal_lengths(waveform):
+            order = np.arange(w.shape[1])[None, :]
+            pick = np.arange(len(rows))
+            index = {"peak": np.abs(w).argmax(axis=1)}
+            sign = np.where(w[pick, index["peak"]] > 0, 1.0, -1.0)
+            upright = w * sign[:, None]
+            index["tip"] = np.where(order <= index["peak"][:, None], upright, np.inf).argmin(axis=1)
+            index["trough"] = np.where(order >= index["peak"][:, None], upright, np.inf).argmin(axis=1)
+            index["recovery"] = np.minimum(index["trough"] + recovery_offset, w.shape[1] - 1)
+            value = {p: w[pick, index[p]] for p in points}
+            for p in points:
+                out.loc[rows, f"{p}_time_idx"] = index[p]
+                out.loc[rows, f"{p}_val"] = value[p]
+            for name, (late, early) in slopes.items():
+                steps = index[late] - index[early]
+                apart = steps != 0
+                rate = (value[late] - value[early])[apart] / steps[apart] * fs.to_numpy(float)[rows][apart]
+                out.loc[rows[apart], name] = rate
+            out.loc[rows, "invert_sign_peak"] = -sign
+        return out
+
+    return shape
+
+
 def total_variation(image: np.ndarray, weight: float, max_iter: int = 200, tol: float = 2e-4) -> np.ndarray:
     """Minimise 0.5*|u-f|^2 + weight*TV(u) by dual projection (Chambolle 2004)."""
     if not weight > 0:
@@ -198,3 +273,41 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, obs
     for i in range(n - 1, 0, -1):
         path[:, i - 1] = back[i][np.arange(runs), path[:, i]]
     return (path[0], float(score[0])) if single else (path, score)
+
+
+def log_forward(log_e, log_t, log_s, obs: np.ndarray, entry: np.ndarray, fresh: np.ndarray):
+    """Scores at the end and the links of each step, for rows of equal length.
+
+    `entry` holds the scores before the first observation; `fresh` rows start
+    from the start probabilities instead.
+    """
+    runs, n = obs.shape
+    back = np.zeros((n, runs, log_e.shape[0]), dtype=np.int16)
+    reach = entry[:, :, None] + log_t[None]
+    back[0] = np.where(fresh[:, None], 0, reach.argmax(axis=1))
+    mu = np.where(fresh[:, None], log_s[None], reach.max(axis=1)) + log_e[:, obs[:, 0]].T
+    for i in range(1, n):
+        reach = mu[:, :, None] + log_t[None]
+        back[i] = reach.argmax(axis=1)
+        mu = reach.max(axis=1) + log_e[:, obs[:, i]].T
+    return mu, back
+
+
+def log_span(log_e, log_t, obs: np.ndarray) -> np.ndarray:
+    """(rows, K, K): best scores from the state before a chunk to the state at its end."""
+    m = log_t[None] + log_e[:, obs[:, 0]].T[:, None, :]
+    for i in range(1, obs.shape[1]):
+        m = (m[:, :, :, None] + log_t[None, None]).max(axis=2) + log_e[:, obs[:, i]].T[:, None, :]
+    return m
+
+
+def walk_back(back: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Paths that end in `end`, and the state before the first observation."""
+    n, runs, _ = back.shape
+    rows = np.arange(runs)
+    path = np.empty((runs, n), dtype=np.int32)
+    state = end
+    for i in range(n - 1, -1, -1):
+        path[:, i] = state
+        state = back[i][rows, state]
+    return path, state

@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthline.functions.columns import known
 from depthline.operators.ordered import running_total
+from depthline.session import materialise
+
+
+class _Bracket:
+    """Field access on a struct column, as inside a lambda."""
+
+    def __init__(self, column):
+        self.low, self.high = column["low"], column["high"]
 
 
 def exact_quantiles(
@@ -41,23 +50,48 @@ def exact_quantiles(
         low = F.when(small | F.lit(p - margin <= 0.0), F.lit(None)).otherwise(F.col("_bounds")[i])
         high = F.when(small | F.lit(p + margin >= 1.0), F.lit(None)).otherwise(F.col("_bounds")[len(wanted) + i])
         brackets.append(F.struct(F.lit(p).alias("prob"), low.alias("low"), high.alias("high")))
-    brackets = sketch.select(*keys, "_n", F.array(*brackets).alias("_brackets"))
+    # Written, so that both passes share it and its true size decides on a broadcast.
+    brackets = materialise(sketch.select(*keys, "_n", F.array(*brackets).alias("_brackets")), "brackets")
     joined = rows.join(brackets, list(keys))
-    # A value under the bracket only matters as a count; all such rows fold into one NULL.
-    spread = joined.select(
-        *keys, "_n", "_v", F.explode(F.filter("_brackets", lambda b: b.high.isNull() | (F.col("_v") <= b.high))).alias("_b")
-    ).select(
+    # First what lies below each bracket, as plain counters of one aggregate ...
+    below = joined.groupBy(*keys).agg(
+        *[
+            F.count_if(F.coalesce(F.col("_v") < F.col("_brackets")[i]["low"], F.lit(False))).alias(f"_b{i}")
+            for i in range(len(wanted))
+        ]
+    )
+    under = below.select(
         *keys,
-        "_n",
-        F.col("_b.prob").alias("prob"),
-        F.col("_b.low").alias("_low"),
-        F.col("_b.high").alias("_high"),
-        F.when(F.col("_b.low").isNull() | (F.col("_v") >= F.col("_b.low")), F.col("_v")).alias("_v"),
+        F.inline(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"_b{i}").alias("_below")) for i, p in enumerate(wanted)])),
+    )
+
+    # ... then the few values inside.
+    def inside(b):
+        return (b.low.isNull() | (F.col("_v") >= b.low)) & (b.high.isNull() | (F.col("_v") <= b.high))
+
+    any_bracket = reduce(
+        lambda x, y: x | y, [F.coalesce(inside(_Bracket(F.col("_brackets")[i])), F.lit(False)) for i in range(len(wanted))]
+    )
+    spread = (
+        joined.filter(any_bracket)
+        .select(*keys, "_n", "_v", F.explode(F.filter("_brackets", inside)).alias("_b"))
+        .select(
+            *keys,
+            "_n",
+            F.col("_b.prob").alias("prob"),
+            F.col("_b.low").alias("_low"),
+            F.col("_b.high").alias("_high"),
+            "_v",
+        )
     )
     tallied = spread.groupBy(*keys, "prob", "_n", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_c"))
     share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
-    slot = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.coalesce(F.floor(share * 1024), F.lit(0)))
-    ranked = running_total(tallied, [*keys, "prob"], ["_v"], slot.cast("bigint"), "_c", "_cum")
+    slot = F.coalesce(F.floor(share * 1024), F.lit(0)).cast("bigint")
+    ranked = (
+        running_total(tallied, [*keys, "prob"], ["_v"], slot, "_c", "_upto")
+        .join(under, [*keys, "prob"])
+        .withColumn("_cum", F.col("_upto") + F.col("_below"))
+    )
     place = F.col("prob") * (F.col("_n") - 1)
     floor = F.floor(place)
     return (

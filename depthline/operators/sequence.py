@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from depthline.functions import kernels as K
 from depthline.operators.ordered import dense_index, next_value
 from depthline.operators.relational import dense_counts, normalised
+from depthline.session import materialise
 
 # ---------------------------------------------------------------- neighbour counts
 
@@ -92,7 +93,7 @@ def viterbi_by_expression(sequences: DataFrame, observed: str, model: HiddenMark
         return F.lit(float(v))
 
     def emitted(o: Column) -> list[Column]:
-        return [F.element_at(F.array(*[number(v) for v in model.emission[j]]), o + 1) for j in states]
+        return [F.element_at(F.array(*[number(v) for v in model.emission[j]]), o.cast("int") + 1) for j in states]
 
     head = emitted(F.element_at(F.col(observed), 1))
     first = F.array(*[number(model.start[j]) * head[j] for j in states])
@@ -181,42 +182,52 @@ def decode(
        end state, the state it came from;
     4. these small maps are chained from the end, to give the end state;
     5. each chunk walks back from its end state.
+
+    The chunks, entry scores and maps are written once, as later steps read
+    them several times. Where no sequence exceeds a chunk, steps 1-5 reduce to
+    one pass.
     """
     k = model.transition.shape[0]
     with np.errstate(divide="ignore"):
         log_e, log_t, log_s = np.log(model.emission), np.log(model.transition), np.log(model.start)
     key_fields = [df.schema[c] for c in keys]
     placed = dense_index(df.select(*keys, *order, observed), keys, order, block, "_pos")
-    chunks = (
+    # Decoding is heavy for its bytes: name the partitions so that they are not merged by size.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = materialise(
         placed.withColumn("_chunk", F.floor(F.col("_pos") / chunk).cast("long"))
+        .repartition(spread, *keys, "_chunk")
         .groupBy(*keys, "_chunk")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", observed))), lambda s: s[observed].cast("int")).alias("_obs"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", observed))), lambda s: s[observed].cast("int")).alias("_obs")),
+        "chunks",
     )
+    if chunks.filter("_chunk > 0").isEmpty():
+        whole = chunks.repartition(spread, *keys).withColumn("_d", path_function(model, True)("_obs"))
+        return whole.select(
+            *keys, F.col("_d.score").alias("log_score"), F.posexplode("_d.path").alias("position", "state")
+        ).select(*keys, F.col("position").cast("long").alias("position"), "state", "log_score")
+
     last = chunks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
     chunks = chunks.join(last, list(keys))
 
-    def forward(obs: np.ndarray, entry: np.ndarray | None):
-        mu = (log_s if entry is None else (entry[:, None] + log_t).max(axis=0)) + log_e[:, obs[0]]
-        back = np.zeros((len(obs), k), dtype=np.int32)
-        if entry is not None:
-            back[0] = (entry[:, None] + log_t).argmax(axis=0)
-        for i in range(1, len(obs)):
-            reach = mu[:, None] + log_t
-            back[i] = reach.argmax(axis=0)
-            mu = reach.max(axis=0) + log_e[:, obs[i]]
-        return mu, back
+    def entry_rows(entry: pd.Series, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.array([entry.iat[i] is None for i in at])
+        return np.stack([np.zeros(k) if new else np.asarray(entry.iat[i], dtype=float) for i, new in zip(at, fresh)]), fresh
 
     @F.pandas_udf("array<double>")
     def summary(obs: pd.Series, index: pd.Series) -> pd.Series:
-        def one(o, first):
-            if first:
-                return np.tile(forward(o, None)[0], k)
-            m = log_t + log_e[:, o[0]][None, :]
-            for value in o[1:]:
-                m = (m[:, :, None] + log_t[None, :, :]).max(axis=1) + log_e[:, value][None, :]
-            return m.ravel()
-
-        return pd.Series([one(o, i == 0) for o, i in zip(obs, index)])
+        out = np.empty(len(obs), dtype=object)
+        for at, o in K.slices_of_equal_length(obs):
+            first = index.to_numpy()[at] == 0
+            spans = np.empty((len(at), k, k))
+            if first.any():
+                mu, _ = K.log_forward(log_e, log_t, log_s, o[first], np.zeros((first.sum(), k)), np.ones(first.sum(), dtype=bool))
+                spans[first] = mu[:, None, :]
+            if (~first).any():
+                spans[~first] = K.log_span(log_e, log_t, o[~first])
+            for i, m in zip(at, spans):
+                out[i] = m.ravel()
+        return pd.Series(out)
 
     # 1-2: only sequences of several chunks need the chain.
     inner = chunks.filter("_chunk < _last").withColumn("_m", summary("_obs", "_chunk")).select(*keys, "_chunk", "_m")
@@ -256,28 +267,32 @@ def decode(
 
         return pd.Series([one(b, x) for b, x in zip(before, m)])
 
-    entries = (
+    entries = materialise(
         within.withColumn("_group", long_key)
         .join(ahead, [*keys, "_group"], "left")
-        .select(*keys, (F.col("_chunk") + 1).alias("_chunk"), entered("_before", "_m").alias("_entry"))
+        .select(*keys, (F.col("_chunk") + 1).alias("_chunk"), entered("_before", "_m").alias("_entry")),
+        "entries",
     )
     ready = chunks.join(entries, [*keys, "_chunk"], "left")
 
     # 3: the state before the chunk for each end state; the best end state of the last chunk.
     @F.pandas_udf("origin array<int>, best int, score double")
     def origins(obs: pd.Series, entry: pd.Series) -> pd.DataFrame:
-        rows = []
-        for o, e in zip(obs, entry):
-            mu, back = forward(o, None if e is None else np.asarray(e))
-            state = np.arange(k)
-            for i in range(len(o) - 1, -1, -1):
-                state = back[i][state]
-            rows.append((state.astype("int32"), int(mu.argmax()), float(mu.max())))
-        return pd.DataFrame(rows, columns=["origin", "best", "score"])
-
-    maps = (
-        ready.withColumn("_o", origins("_obs", "_entry"))
-        .select(*keys, "_chunk", "_last", F.col("_o.origin").alias("_origin"), "_o.best", "_o.score")
+        origin = np.empty(len(obs), dtype=object)
+        best, score = np.zeros(len(obs), dtype="int32"), np.zeros(len(obs))
+        for at, o in K.slices_of_equal_length(obs):
+            mu, back = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
+            best[at], score[at] = mu.argmax(axis=1), mu.max(axis=1)
+            sources = np.stack([K.walk_back(back, np.full(len(at), end))[1] for end in range(k)], axis=1)
+            for i, row in zip(at, sources):
+                origin[i] = row.astype("int32")
+        return pd.DataFrame({"origin": origin, "best": best, "score": score})
+
+    maps = materialise(
+        ready.withColumn("_o", origins("_obs", "_entry")).select(
+            *keys, "_chunk", "_last", F.col("_o.origin").alias("_origin"), "_o.best", "_o.score"
+        ),
+        "maps",
     )
     ends = maps.filter("_chunk = _last").select(*keys, F.col("best").alias("_best"), F.col("score").alias("log_score"))
 
@@ -319,15 +334,12 @@ def decode(
     # 5: walk back inside each chunk.
     @F.pandas_udf("array<int>")
     def walked(obs: pd.Series, entry: pd.Series, end: pd.Series) -> pd.Series:
-        def one(o, e, s):
-            _, back = forward(o, None if e is None else np.asarray(e))
-            path = np.empty(len(o), dtype="int32")
-            path[-1] = s
-            for i in range(len(o) - 1, 0, -1):
-                path[i - 1] = back[i][path[i]]
-            return path
-
-        return pd.Series([one(o, e, s) for o, e, s in zip(obs, entry, end)])
+        out = np.empty(len(obs), dtype=object)
+        for at, o in K.slices_of_equal_length(obs):
+            _, back = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
+            for i, path in zip(at, K.walk_back(back, end.to_numpy()[at].astype(int))[0]):
+                out[i] = path
+        return pd.Series(out)
 
     return (
         ready.join(exits, [*keys, "_chunk"], "left")
@@ -408,8 +420,10 @@ def sampled_histogram(
         raise ValueError("method must be one_way or two_ways")
     slices = [(i, min(runs_per_task, n_runs - i * runs_per_task)) for i in range(-(-n_runs // runs_per_task))]
     tasks = F.array(*[F.struct(F.lit(i).alias("slice"), F.lit(n).alias("runs")) for i, n in slices])
+    # The work is heavy for its bytes, so its partitions must not be merged by size.
+    spread = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = profiles.select("*", F.xxhash64(*keys).alias("_key"), F.explode(tasks).alias("_task")).repartition(
-        *keys, F.col("_task.slice")
+        spread, *keys, F.col("_task.slice")
     )
     names = list(keys)
     schema = T.StructType(
@@ -418,7 +432,6 @@ def sampled_histogram(
             T.StructField("depth", T.DoubleType()),
             T.StructField("state", T.IntegerType()),
             T.StructField("n", T.LongType()),
-            T.StructField("slice_score", T.DoubleType()),
         ]
     )
     k = model.transition.shape[0]
@@ -441,21 +454,17 @@ def sampled_histogram(
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
+            parts = []
+            for i, row in enumerate(pdf.to_dict("records")):
                 p = np.stack([np.asarray(v, dtype=float) for v in row["profile"]])
                 rng = np.random.default_rng([seed, row["_key"] & 0xFFFFFFFFFFFFFFFF, row["_task"]["slice"]])
                 obs = _sampled(p, rng.random((row["_task"]["runs"], p.shape[0])))
-                paths, scores = decoded(p, obs, rng)
-                counts = np.stack([np.bincount(paths[:, d], minlength=k) for d in range(p.shape[0])])
-                at, state = np.nonzero(counts)
-                yield pd.DataFrame(
-                    {
-                        **{c: [row[c]] * at.size for c in names},
-                        "depth": np.asarray(row["depths"], dtype=float)[at],
-                        "state": state.astype("int32"),
-                        "n": counts[at, state].astype("int64"),
-                        "slice_score": float(scores.mean()),
-                    }
-                )
+                paths, _ = decoded(p, obs, rng)
+                cells = np.bincount((paths + k * np.arange(p.shape[0])[None, :]).ravel(), minlength=k * p.shape[0])
+                hit = np.flatnonzero(cells)
+                parts.append((np.full(hit.size, i), np.asarray(row["depths"], dtype=float)[hit // k], hit % k, cells[hit]))
+            if parts:
+                at, depth, state, n = (np.concatenate(columns) for columns in zip(*parts))
+                yield pdf[names].iloc[at].assign(depth=depth, state=state.astype("int32"), n=n.astype("int64"))
 
     return work.mapInPandas(sample, schema).groupBy(*keys, "depth", "state").agg(F.sum("n").alias("n"))

@@ -22,6 +22,7 @@ from depthline.functions.columns import known, power_db
 from depthline.operators.relational import channel_event_features
 from depthline.operators.spatial import channels_in_reach
 from depthline.schemas import BANDS
+from depthline.session import materialise
 
 RECORDING = ("pid", "snippet")
 
@@ -305,27 +306,10 @@ def candidate_events(df: DataFrame, threshold: float = 5.0, reach: int = 20, key
     fixed = [*keys, "channel", "lateral_um", "axial_um"]
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        view = np.lib.stride_tricks.sliding_window_view
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x = np.asarray(row.samples, dtype=float)
-                level = np.sqrt(np.mean(x * x)) if x.size else 0.0
-                if not level > 0:
-                    continue
-                around = view(np.pad(x, reach, constant_values=np.nan), 2 * reach + 1)
-                size = np.abs(x)
-                at = np.flatnonzero(size >= threshold * level)
-                at = at[size[at] >= np.nanmax(np.abs(around[at]), axis=1)] if at.size else at
-                if at.size:
-                    near = around[at]
-                    yield pd.DataFrame(
-                        {
-                            **{c: [getattr(row, c)] * at.size for c in fixed},
-                            "sample": at.astype("int32"),
-                            "z": x[at] / level,
-                            "ptp": np.nanmax(near, axis=1) - np.nanmin(near, axis=1),
-                        }
-                    )
+            for at, x in K.equal_lengths(pdf["samples"]):
+                row, sample, z, ptp = K.peaks_over(x, threshold, reach)
+                yield pdf[fixed].iloc[at[row]].assign(sample=sample, z=z, ptp=ptp)
 
     return df.select(*fixed, "samples").mapInPandas(found, schema)
 
@@ -434,8 +418,13 @@ def detect_events(
     length: int = 121,
     keys: Sequence[str] = RECORDING,
 ) -> tuple[DataFrame, DataFrame]:
-    """`(events, waveforms)` of all traces."""
-    kept = strongest_events(candidate_events(df, threshold, reach, keys), radius_um, reach, keys)
+    """`(events, waveforms)` of all traces.
+
+    The candidates, which are few, are written once: they are compared with
+    each other, and the traces should not be scanned for each side.
+    """
+    candidates = materialise(candidate_events(df, threshold, reach, keys), "candidates")
+    kept = strongest_events(candidates, radius_um, reach, keys)
     waveforms = event_waveforms(kept, df, radius_um, before, length, keys)
     return located_events(waveforms, reach, before, keys), waveforms
 
