@@ -125,7 +125,7 @@ def write_flat_matrices(counts: DataFrame, path: str, group: str, n_rows: int, n
     cells = counts.groupBy(group, "cluster_id", "bin").agg(F.sum("n").alias("n"))
     schema = T.StructType([counts.schema[group], T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
 
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         matrix = np.zeros((n_rows, n_bins), dtype="<i4")
