@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,8 +129,9 @@ def depth_aggregate(
     means: Sequence[str] | Mapping[str, str],
     firsts: Sequence[str] | Mapping[str, str] = (),
     order: Sequence[str] = (),
+    counts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Means and first known values per key; rows with a NULL key are dropped.
+    """Means, first known values and counts per key; rows with a NULL key are dropped.
 
     Maps give `{source: new name}`. NULL and NaN do not enter the means. A
     first value is the known one of least `order`, whatever the partitioning.
@@ -143,8 +144,9 @@ def depth_aggregate(
     picks = [
         F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(n) for c, n in firsts.items()
     ]
+    tallies = [F.count(F.col(c)).alias(n) for c, n in (counts or {}).items()]
     kept = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return df.filter(kept).groupBy(*keys).agg(*numbers, *picks)
+    return df.filter(kept).groupBy(*keys).agg(*numbers, *tallies, *picks)
 
 
 def mean_of_numeric(df: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
@@ -232,13 +234,13 @@ def top_class(df: DataFrame, keys: Sequence[str], klass: str, score: str, name:
 
 
 def normalised(counts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Share of `value` within the keys (or of the whole) of a counted table."""
-    total = F.sum(value).alias("_total")
-    if keys:
-        joined = counts.join(counts.groupBy(*keys).agg(total), list(keys))
-    else:
-        joined = counts.withColumn("_total", counts.agg(total).scalar())
-    return joined.withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("_total"))).drop("_total")
+    """Share of `value` within the keys (or of the whole) of a counted table.
+
+    A counted table holds at most one row per class and key, so the window
+    over a key is as short as the class list and costs one shuffle of counts.
+    """
+    total = F.sum(value).over(Window.partitionBy(*keys)) if keys else counts.agg(F.sum(value)).scalar()
+    return counts.withColumn(name, F.try_divide(F.col(value).cast("double"), total))
 
 
 def dense_counts(counts: DataFrame, row: str, column: str, value: str, classes: Sequence) -> DataFrame:

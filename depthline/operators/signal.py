@@ -320,8 +320,10 @@ def strongest_events(
     """Drop events with a larger one within the radius and +-reach samples.
 
     The lower channel wins ties. Events meet only in equal time and depth
-    buckets, so the comparison is an equi-join.
+    buckets, so the comparison is an equi-join. They are few next to the
+    traces and are written once, so that the traces are not read for each side.
     """
+    events = materialise(events, "candidates")
     tick, step = F.floor(F.col("sample") / F.lit(reach + 1)), F.floor(F.col("axial_um") / F.lit(radius_um))
     narrow = events.select(*keys, "channel", "sample", "lateral_um", "axial_um", F.abs("z").alias("size"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -418,13 +420,8 @@ def detect_events(
     length: int = 121,
     keys: Sequence[str] = RECORDING,
 ) -> tuple[DataFrame, DataFrame]:
-    """`(events, waveforms)` of all traces.
-
-    The candidates, which are few, are written once: they are compared with
-    each other, and the traces should not be scanned for each side.
-    """
-    candidates = materialise(candidate_events(df, threshold, reach, keys), "candidates")
-    kept = strongest_events(candidates, radius_um, reach, keys)
+    """`(events, waveforms)` of all traces."""
+    kept = strongest_events(candidate_events(df, threshold, reach, keys), radius_um, reach, keys)
     waveforms = event_waveforms(kept, df, radius_um, before, length, keys)
     return located_events(waveforms, reach, before, keys), waveforms
 

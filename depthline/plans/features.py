@@ -11,10 +11,10 @@ from depthline.functions.columns import affine, clipped, tilted_angles
 from depthline.operators import signal as G
 from depthline.operators.relational import first_by_preference, outer_merge
 from depthline.operators.spatial import interpolate_track
-from depthline.schemas import checked_sets
+from depthline.schemas import FEATURE_SETS, checked_sets
 from depthline.session import materialise
 from depthline.sources import sinks
-from depthline.sources.store import checked_windows, time_window
+from depthline.sources.store import checked_windows, time_windows
 
 RECORDING = ("pid", "snippet")
 
@@ -40,10 +40,15 @@ def unfit_recordings(ap: DataFrame, lf: DataFrame, keys: Sequence[str] = RECORDI
 
 
 def with_quality_labels(df: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """Add computed labels where the frame has none."""
+    """Add computed labels where the frame has none.
+
+    One small row per channel comes out of a pass over all traces, so the
+    labels are written once for both bands to use.
+    """
     if "labels" in df.columns:
         return df
-    return df.join(G.quality_labels(df, keys=keys).select(*keys, "channel", "labels"), [*keys, "channel"])
+    labels = materialise(G.quality_labels(df, keys=keys).select(*keys, "channel", "labels"), "labels")
+    return df.join(labels, [*keys, "channel"])
 
 
 def feature_sets(
@@ -96,46 +101,54 @@ def compute_features(
     """All sets, merged on the channel.
 
     With a `store`, computed sets are written there and sets that were not
-    requested are taken from it where they exist.
+    requested are taken from it where they exist. All sets are computed in one
+    job, in which those of a band share its shuffles, and then stored.
     """
     found = feature_sets(ap, lf, requested, keys=keys, **options)
-    if store is not None:
-        spark = ap.sparkSession
-        for name, df in found.items():
-            sinks.write_features(df, store, name, mode="overwrite")
-        found = {name: df for name in ("lf", "csd", "ap", "waveforms") if (df := sinks.read_features(spark, store, name)) is not None}
-    return outer_merge(list(found.values()), [*keys, "channel"])
-
-
-def compute_window(
+    on = [*keys, "channel"]
+    if store is None:
+        return outer_merge(list(found.values()), on)
+    spark = ap.sparkSession
+    marked = [df.withColumn(f"_has_{name}", F.lit(True)) for name, df in found.items()]
+    merged = materialise(outer_merge(marked, on), "features")
+    for name, df in found.items():
+        sinks.write_features(merged.filter(f"_has_{name}").select(df.columns), store, name, mode="overwrite")
+    earlier = [
+        df for name in FEATURE_SETS if name not in found and (df := sinks.read_features(spark, store, name, merged)) is not None
+    ]
+    return outer_merge([merged.drop(*[f"_has_{name}" for name in found]), *earlier], on)
+
+
+def compute_windows(
     ap_chunks: DataFrame,
     lf_chunks: DataFrame,
     recordings: DataFrame,
     channels: DataFrame,
-    t_start: float,
-    duration: float,
-    fs_ap: float,
-    fs_lf: float,
-    chunk_samples: Mapping[str, int],
+    t_start: float = 0.0,
+    duration: float | None = None,
+    chunk_samples: Mapping[str, int] | None = None,
     lf_latency: int = 3,
     **options,
 ) -> DataFrame:
-    """Features of one time window of every recording that can serve it.
+    """Features of one time window of every recording, in one job.
 
-    Raises when a recording cannot. The low band starts `lf_latency` samples
-    later than the high band.
+    Without a duration each recording is used to its end, as far as both bands
+    reach. Raises when a recording cannot serve the window. The low band starts
+    `lf_latency` samples later than the high band.
     """
-    requests = recordings.select("pid").distinct().withColumns({"t_start": F.lit(t_start), "duration": F.lit(duration)})
-    checked_windows(requests, recordings)
+    sizes = chunk_samples or {"ap": 30_000, "lf": 2_500}
+    windows = (
+        recordings.select("pid").distinct().withColumn("duration", F.lit(float(duration)))
+        if duration is not None
+        else usable_durations(recordings, t_start)
+    ).withColumns({"t_start": F.lit(float(t_start)), "snippet": F.lit(0)})
+    checked_windows(windows.select("pid", "t_start", "duration"), recordings)
     layout = channels.select("pid", "channel", *[c for c in ("lateral_um", "axial_um", "labels") if c in channels.columns])
 
-    def window(chunks: DataFrame, fs: float, band: str, latency: int) -> DataFrame:
-        cut = time_window(chunks, fs, t_start, duration, chunk_samples[band], latency)
-        return cut.join(layout, ["pid", "channel"]).withColumn("snippet", F.lit(0))
+    def window(chunks: DataFrame, band: str, latency: int) -> DataFrame:
+        return time_windows(chunks, windows, sizes[band], latency).join(layout, ["pid", "channel"])
 
-    return compute_features(
-        window(ap_chunks, fs_ap, "ap", 0), window(lf_chunks, fs_lf, "lf", lf_latency), fs_ap=fs_ap, **options
-    ).drop("snippet")
+    return compute_features(window(ap_chunks, "ap", 0), window(lf_chunks, "lf", lf_latency), **options)
 
 
 def usable_durations(recordings: DataFrame, t_start: float) -> DataFrame:

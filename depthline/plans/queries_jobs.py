@@ -145,7 +145,7 @@ def feature_store_round_trip(spark, sf_dir):
         return rms_by_channel(rows.join(keys, ["pid", "snippet"], "left_semi"), "rms_lf")
 
     sinks.write_features(compute(wanted.filter("pid % 2 = 0")), root, "lf")
-    stored = sinks.read_features(spark, root, "lf").select(*[F.col(c).cast(rows.schema[c].dataType) for c in KEY], "rms_lf")
+    stored = sinks.read_features(spark, root, "lf", like=rows)
     return sinks.reuse_or_compute(wanted, stored, compute).withColumn("rms_lf", C.rounded("rms_lf", 6))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depthline.functions import columns as C
@@ -42,9 +43,8 @@ WHERE from_state IS NOT NULL AND to_state IS NOT NULL GROUP BY from_state, to_st
 )
 def transition_counts(spark, sf_dir):
     counts = _transitions(spark, sf_dir, F.col("value") >= 1)
-    return counts.join(
-        Q.occurrences(counts).select(F.col("state").alias("from_state"), F.col("n").alias("occurrences")), "from_state"
-    )
+    upper = Window.partitionBy("from_state")
+    return counts.withColumn("occurrences", F.sum("n").over(upper))
 
 
 @query(

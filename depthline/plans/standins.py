@@ -62,23 +62,19 @@ sm AS (
 def voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feature table keyed `(pid, channel)` averaged from `lineitem`."""
     means = depth_aggregate(
-        table(spark, sf_dir, "lineitem"),
+        table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1)),
         ["l_suppkey", "l_linenumber"],
         {
             "l_extendedprice": "rms_ap",
             "l_quantity": "rms_lf",
             "l_discount": "peak_val",
             "l_tax": "trough_val",
+            "l_partkey": "trough_time_secs",
+            "l_orderkey": "peak_time_secs",
         },
+        counts={"one": "spike_count"},
     )
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("spike_count"),
-        F.avg("l_partkey").alias("trough_time_secs"),
-        F.avg("l_orderkey").alias("peak_time_secs"),
-    )
-    return means.join(counts, ["l_suppkey", "l_linenumber"]).withColumnsRenamed(
-        {"l_suppkey": "pid", "l_linenumber": "channel"}
-    )
+    return means.withColumnsRenamed({"l_suppkey": "pid", "l_linenumber": "channel"})
 
 
 VOLTAGE_SQL = """

@@ -35,11 +35,18 @@ def write_features(df: DataFrame, root: str, feature_set: str, mode: str = "appe
     stamped(_by_partition(df, keys)).write.mode(mode).partitionBy(*keys).parquet(f"{root}/{feature_set}_features.parquet")
 
 
-def read_features(spark: SparkSession, root: str, feature_set: str) -> DataFrame | None:
+def read_features(spark: SparkSession, root: str, feature_set: str, like: DataFrame | None = None) -> DataFrame | None:
+    """A stored set, or None. Partition folders carry no types: `pid` is read as
+    a string and `snippet` as a number, or both as in the frame `like`."""
     path = f"{root}/{feature_set}_features.parquet"
     if not path_exists(spark, path):
         return None
-    return spark.read.parquet(path).drop("features_version", "package_version")
+    types = {"pid": T.StringType(), "snippet": T.IntegerType()}
+    if like is not None:
+        types.update({k: like.schema[k].dataType for k in types if k in like.columns})
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True) for f in found.fields])
+    return spark.read.schema(schema).parquet(path).drop("features_version", "package_version")
 
 
 def write_if_absent(df: DataFrame, path: str) -> None:

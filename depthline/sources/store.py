@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depthline.functions.columns import smooth_lengths
+from depthline.functions.columns import next_fast_length, sample_index, smooth_lengths
 from depthline.operators.relational import catalogue_filter
 from depthline.schemas import BENCHMARK_PIDS, CLUSTER_SCHEMA, TRACE_SCHEMA, verify_tables
 
@@ -160,6 +160,33 @@ def time_window(
     ).withColumn("fs", F.lit(float(fs)))
 
 
+def time_windows(
+    chunks: DataFrame, windows: DataFrame, chunk_samples: int, latency: int = 0, keys: Sequence[str] = ("pid", "snippet")
+) -> DataFrame:
+    """As `time_window`, for a table `(pid, snippet, t_start, duration)` of windows.
+
+    Every recording has its own windows, so the condition on `chunk` cannot be
+    a literal; the join is on the probe and keeps the chunks in range.
+    """
+    start = sample_index("fs", "t_start", latency)
+    length = next_fast_length((F.col("fs") * F.col("duration")).cast("bigint"), 2**40)
+    placed = chunks.join(windows, "pid").withColumns({"_start": start, "_stop": start + length})
+    touched = placed.filter(
+        F.col("chunk").between(F.floor(F.col("_start") / chunk_samples), F.floor((F.col("_stop") - 1) / chunk_samples))
+    )
+    first = F.greatest(F.lit(0), F.col("_start") - F.col("n0"))
+    last = F.least(F.size("samples"), F.col("_stop") - F.col("n0"))
+    piece = F.slice("samples", (first + 1).cast("int"), F.greatest(F.lit(0), last - first).cast("int"))
+    return (
+        touched.select(*keys, "channel", "fs", F.struct("n0", piece.alias("part")).alias("_piece"))
+        .groupBy(*keys, "channel")
+        .agg(
+            F.first("fs").alias("fs"),
+            F.flatten(F.transform(F.sort_array(F.collect_list("_piece")), lambda s: s.part)).alias("samples"),
+        )
+    )
+
+
 def cut_snippets(chunks: DataFrame, snippet_samples: int, keys: Sequence[str] = ("pid",)) -> DataFrame:
     """Whole recordings as consecutive snippets `(keys, snippet, channel, fs, samples)`.
 
