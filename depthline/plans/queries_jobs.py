@@ -52,7 +52,7 @@ def snippet_window_scan(spark, sf_dir):
     "window_validation",
     """
 WITH n AS (SELECT user_id AS pid, count(*) AS ns FROM events GROUP BY 1)
-SELECT pid, 'ap' AS band, pid % 7 - 1.0 AS t_start, 60.0 AS duration,
+SELECT pid, 'ap' AS band, CAST(pid % 7 - 1.0 AS DOUBLE) AS t_start, CAST(60 AS DOUBLE) AS duration,
        CASE WHEN pid % 7 - 1.0 < 0 THEN 'negative start' ELSE 'beyond the end' END AS reason
 FROM n WHERE pid % 7 - 1.0 < 0 OR pid % 7 - 1.0 + 60 > ns / 1.0
 """,
@@ -84,8 +84,8 @@ def compute_features(spark, sf_dir):
     "input_shape_check",
     f"""
 WITH {S.TRACES_SQL}
-SELECT pid, snippet, count(*) AS n_ap, count(*) AS placed_ap, 64.0 AS fs_ap, count(*) FILTER (channel % 50 <> 49) AS n_lf,
-       count(*) FILTER (channel % 50 <> 49) AS placed_lf, 64.0 AS fs_lf
+SELECT pid, snippet, count(*) AS n_ap, count(*) AS placed_ap, CAST(64 AS DOUBLE) AS fs_ap, count(*) FILTER (channel % 50 <> 49) AS n_lf,
+       count(*) FILTER (channel % 50 <> 49) AS placed_lf, CAST(64 AS DOUBLE) AS fs_lf
 FROM tr GROUP BY ALL HAVING count(*) <> count(*) FILTER (channel % 50 <> 49)
 """,
 )
@@ -153,7 +153,7 @@ def feature_store_round_trip(spark, sf_dir):
     "correlogram_unpack",
     """
 WITH c AS (SELECT event_type, hour(ts) AS cluster_id, day(ts) - 1 AS bin, count(*) AS n FROM events GROUP BY ALL)
-SELECT t.event_type, CAST(h AS INTEGER) AS cluster_id, CAST(d AS INTEGER) AS bin, coalesce(n, 0) AS n
+SELECT t.event_type, CAST(h AS INTEGER) AS cluster_id, CAST(d AS INTEGER) AS bin, CAST(coalesce(n, 0) AS INTEGER) AS n
 FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN range(0, 24) a(h) CROSS JOIN range(0, 31) b(d)
 LEFT JOIN c ON c.event_type = t.event_type AND cluster_id = h AND bin = d
 """,

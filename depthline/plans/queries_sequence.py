@@ -111,7 +111,7 @@ def void_relabel(spark, sf_dir):
 @query(
     "append_region",
     """
-SELECT id, acronym, ord, source.target_id AS cosmos_id FROM (
+SELECT CAST(id AS BIGINT) AS id, acronym, ord, CAST(source.target_id AS BIGINT) AS cosmos_id FROM (
   SELECT n_nationkey AS id, n_name AS acronym, n_nationkey AS ord FROM nation
   UNION ALL SELECT 2000, 'void_fluid', 25 UNION ALL SELECT -2000, 'void_fluid', 25)
 LEFT JOIN (SELECT n_nationkey AS source_id, n_regionkey + 100 AS target_id FROM nation UNION ALL SELECT 2000, 2000 UNION ALL SELECT -2000, 2000) source
@@ -245,7 +245,7 @@ def state_mode(spark, sf_dir):
 
 @query(
     "state_histogram",
-    f"""SELECT hour(ts) AS depth, event_type AS state, count(*) AS n,
+    f"""SELECT CAST(hour(ts) AS INTEGER) AS depth, event_type AS state, count(*) AS n,
 {r('count(*) / sum(count(*)) OVER (PARTITION BY hour(ts))', 6)} AS share FROM events GROUP BY hour(ts), event_type""",
 )
 def state_histogram(spark, sf_dir):

@@ -87,7 +87,7 @@ cov AS (
 
 @query(
     "neighbour_covariance",
-    f"WITH {SM}, {COV_SQL} SELECT pid, snippet, c AS channel, nb AS neighbour, CAST(count(*) AS INTEGER) AS multiplicity, "
+    f"WITH {SM}, {COV_SQL} SELECT pid, snippet, c AS channel, CAST(nb AS INTEGER) AS neighbour, CAST(count(*) AS INTEGER) AS multiplicity, "
     f"{r('any_value(cov)', 6)} AS cov FROM cov GROUP BY ALL",
 )
 def neighbour_covariance(spark, sf_dir):
@@ -267,7 +267,7 @@ size AS (SELECT near.pid, near.snippet, near.channel, near.s, near.nb, any_value
     "event_location",
     f"""WITH {SM}, {EVENT_SQL}, {LOCATED_SQL}
 SELECT pid, snippet, channel, CAST(s AS INTEGER) AS sample, {r('any_value(ptp) FILTER (nb = channel)', 6)} AS ptp,
-       {r('sum(ptp * x) / sum(ptp)')} AS xloc, {r('sum(ptp * y) / sum(ptp)')} AS yloc, 0.0 AS zloc,
+       {r('sum(ptp * x) / sum(ptp)')} AS xloc, {r('sum(ptp * y) / sum(ptp)')} AS yloc, CAST(0 AS DOUBLE) AS zloc,
        {r('any_value(ptp) FILTER (nb = channel)', 6)} AS alpha, count(*) AS reached
 FROM size GROUP BY ALL""",
 )
@@ -310,7 +310,7 @@ _KEYS = "pid, snippet, channel"
 SELECT pid, snippet, channel, CAST(s0 AS INTEGER) AS peak_time_idx, {r('peak', 6)} AS peak_val, CAST(s1 AS INTEGER) AS tip_time_idx,
   {r('tip', 6)} AS tip_val, CAST(s2 AS INTEGER) AS trough_time_idx, {r('trough', 6)} AS trough_val,
   CAST(s3 AS INTEGER) AS recovery_time_idx, {r('recovery', 6)} AS recovery_val, {r('depol')} AS depolarisation_slope,
-  {r('repol')} AS repolarisation_slope, {r('recov')} AS recovery_slope, -sg AS invert_sign_peak FROM shape""",
+  {r('repol')} AS repolarisation_slope, {r('recov')} AS recovery_slope, CAST(-sg AS DOUBLE) AS invert_sign_peak FROM shape""",
 )
 def waveform_shape(spark, sf_dir):
     out = S.traces(spark, sf_dir).select(*KEY, A.waveform_shape("samples", S.FS).alias("_s")).select(*KEY, "_s.*")
@@ -347,7 +347,7 @@ def spike_features(spark, sf_dir):
 @query(
     "radius_neighbours",
     f"""WITH {SM} SELECT a.pid, a.snippet, a.channel, count(*) AS n, string_agg(CAST(b.channel AS VARCHAR), ',' ORDER BY b.channel) AS neighbours,
-  {r('sum(b.lateral_um)')} AS sum_x, {r('sum(b.axial_um)')} AS sum_y, 0.0 AS sum_z
+  {r('sum(b.lateral_um)')} AS sum_x, {r('sum(b.axial_um)')} AS sum_y, CAST(0 AS DOUBLE) AS sum_z
 FROM tr a JOIN tr b USING (pid, snippet) WHERE sqrt(pow(a.axial_um - b.axial_um, 2) + pow(a.lateral_um - b.lateral_um, 2)) <= 60 GROUP BY ALL""",
 )
 def radius_neighbours(spark, sf_dir):
