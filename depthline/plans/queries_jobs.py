@@ -84,14 +84,14 @@ def compute_features(spark, sf_dir):
     "input_shape_check",
     f"""
 WITH {S.TRACES_SQL}
-SELECT pid, snippet, count(*) AS n_ap, count(*) AS placed_ap, CAST(64 AS DOUBLE) AS fs_ap, count(*) FILTER (channel % 50 <> 49) AS n_lf,
-       count(*) FILTER (channel % 50 <> 49) AS placed_lf, CAST(64 AS DOUBLE) AS fs_lf
-FROM tr GROUP BY ALL HAVING count(*) <> count(*) FILTER (channel % 50 <> 49)
+SELECT pid, snippet, count(*) AS n_ap, count(*) AS placed_ap, CAST(64 AS DOUBLE) AS fs_ap, count(*) FILTER (CAST(embedding[1] AS DOUBLE) < 0.25) AS n_lf,
+       count(*) FILTER (CAST(embedding[1] AS DOUBLE) < 0.25) AS placed_lf, CAST(64 AS DOUBLE) AS fs_lf
+FROM tr GROUP BY ALL HAVING count(*) <> count(*) FILTER (CAST(embedding[1] AS DOUBLE) < 0.25)
 """,
 )
 def input_shape_check(spark, sf_dir):
     rows = S.traces(spark, sf_dir)
-    return J.unfit_recordings(rows, rows.filter("channel % 50 <> 49"))
+    return J.unfit_recordings(rows, rows.filter(F.get("samples", 0).cast("double") < 0.25))
 
 
 @query(
@@ -144,7 +144,7 @@ def feature_store_round_trip(spark, sf_dir):
     def compute(keys):
         return rms_by_channel(rows.join(keys, ["pid", "snippet"], "left_semi"), "rms_lf")
 
-    sinks.write_features(compute(wanted.filter("pid % 2 = 0")), root, "lf")
+    sinks.write_features(compute(wanted.filter("pid >= 5")), root, "lf")
     stored = sinks.read_features(spark, root, "lf", like=rows)
     return sinks.reuse_or_compute(wanted, stored, compute).withColumn("rms_lf", C.rounded("rms_lf", 6))
 
@@ -201,7 +201,7 @@ def incremental_features(spark, sf_dir):
     """Snippets requested by a stream; those already stored are not computed again."""
     root = fresh_path(spark, "incremental")
     ev = S.events(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
-    requests = _event_stream(spark, sf_dir).select("user_id", F.to_date("ts").cast("string").alias("day"))
+    requests = _event_stream(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
 
     def compute(keys):
         rows = ev.join(keys, ["user_id", "day"], "left_semi")
@@ -209,7 +209,7 @@ def incremental_features(spark, sf_dir):
             C.rounded(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms"), F.count(F.lit(1)).alias("n")
         )
 
-    for attempt, asked in (("some", requests.filter("user_id % 3 = 0")), ("all", requests)):
+    for attempt, asked in (("some", requests.filter("event_type = 'purchase'")), ("all", requests)):
         T.compute_new_snippets(asked, f"{root}/out", f"{root}/{attempt}", compute, ["user_id", "day"]).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("user_id", "day", "rms", "n")
 

@@ -18,7 +18,9 @@ from depthline.plans.registry import query, r
 
 # The states of the event stream, in class order.
 STATES = ["click", "error", "purchase", "signup", "view"]
-HOUR = 3600
+# Ordered operators cut a key into blocks of a minute: a third of all rows in one
+# key then still spreads over every minute of the record.
+BLOCK_SECONDS = 60
 ORDER = ["ts", "event_id"]
 STATE_SQL = "['click', 'error', 'purchase', 'signup', 'view']"
 PAIRS_SQL = """
@@ -29,7 +31,7 @@ pairs AS (SELECT from_state, to_state, count(*) AS n FROM (
 
 
 def _transitions(spark, sf_dir, valid=None):
-    return Q.transition_counts(S.events(spark, sf_dir), ["user_id"], ORDER, "event_type", time_block("ts", HOUR), valid)
+    return Q.transition_counts(S.events(spark, sf_dir), ["user_id"], ORDER, "event_type", time_block("ts", BLOCK_SECONDS), valid)
 
 
 @query(
@@ -132,7 +134,7 @@ def append_region(spark, sf_dir):
 
 def _predicted(spark, sf_dir):
     ev = S.events(spark, sf_dir)
-    pairs = next_value(ev.select("user_id", *ORDER, "event_type"), ["user_id"], ORDER, time_block("ts", HOUR), {"event_type": "predicted"})
+    pairs = next_value(ev.select("user_id", *ORDER, "event_type"), ["user_id"], ORDER, time_block("ts", BLOCK_SECONDS), {"event_type": "predicted"})
     return pairs.filter(F.col("predicted").isNotNull())
 
 
@@ -329,7 +331,7 @@ path AS (
 )
 def viterbi_path(spark, sf_dir):
     ev = S.events(spark, sf_dir).select("user_id", *ORDER, L.class_position("event_type", STATES).cast("int").alias("o"))
-    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", HOUR))
+    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", BLOCK_SECONDS))
     return out.withColumn("log_score", C.rounded("log_score"))
 
 

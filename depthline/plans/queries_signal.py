@@ -175,10 +175,14 @@ def median_reference(spark, sf_dir):
 
 
 def _with_labels(rows):
-    return rows.withColumn("labels", F.when(F.col("vec_id") % 17 == 5, 1).when(F.col("vec_id") % 23 == 7, None).otherwise(0))
+    """Dead where the last sample is high, unlabelled where the one before is low."""
+    last, previous = (F.element_at("samples", i).cast("double") for i in (-1, -2))
+    return rows.withColumn("labels", F.when(last > 0.2, 1).when(previous < -0.2, None).otherwise(0))
 
 
-LABEL_SQL = "CASE WHEN vec_id % 17 = 5 THEN 1 WHEN vec_id % 23 = 7 THEN NULL ELSE 0 END"
+LABEL_SQL = (
+    "CASE WHEN CAST(embedding[-1] AS DOUBLE) > 0.2 THEN 1 WHEN CAST(embedding[-2] AS DOUBLE) < -0.2 THEN NULL ELSE 0 END"
+)
 
 
 @query(
@@ -383,7 +387,7 @@ def track_interpolation(spark, sf_dir):
     knots = ev.groupBy("user_id", (F.unix_micros("ts") / 1e6).alias("d")).agg(F.max_by("value", "event_id").alias("v"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(124)), lambda i: i * F.lit(21600.0) + F.lit(1704067200.0))
     points = ev.select("user_id").distinct().select("user_id", F.explode(hours).alias("d"))
-    out = X.interpolate_track(points, knots, ["user_id"], "d", ["v"], block_width=86400.0)
+    out = X.interpolate_track(points, knots, ["user_id"], "d", ["v"], block_width=60.0)
     return out.select("user_id", C.rounded("d").alias("d"), C.rounded("v").alias("v"))
 
 

@@ -111,7 +111,7 @@ def channel_event_features(spark, sf_dir):
     f"""
 WITH {S.TRACES_SQL},
 f AS (SELECT pid, snippet, channel, CAST(embedding[1] AS DOUBLE) AS a, CASE WHEN embedding[2] <= 0.15 THEN CAST(embedding[2] AS DOUBLE) END AS b FROM tr),
-c AS (SELECT pid, snippet, channel, axial_um, lateral_um, pid * 10 AS atlas_id FROM tr WHERE channel % 7 <> 3)
+c AS (SELECT pid, snippet, channel, axial_um, lateral_um, pid * 10 AS atlas_id FROM tr WHERE CAST(embedding[3] AS DOUBLE) > -0.1)
 SELECT f.pid, f.snippet, f.channel, {r('f.a', 6)} AS a, {r('f.b', 6)} AS b, axial_um, lateral_um, atlas_id AS "Allen_id"
 FROM f JOIN c USING (pid, snippet, channel) WHERE b IS NOT NULL
 """,
@@ -122,7 +122,7 @@ def feature_channel_join(spark, sf_dir):
     features = rows.select(
         "pid", "snippet", "channel", F.get("samples", 0).cast("double").alias("a"), F.when(b <= 0.15, b).alias("b")
     )
-    channels = rows.filter(F.col("channel") % 7 != 3).select(
+    channels = rows.filter(F.get("samples", 2).cast("double") > -0.1).select(
         "pid", "snippet", "channel", "axial_um", "lateral_um", (F.col("pid") * 10).alias("atlas_id")
     )
     joined = features.join(channels, ["pid", "snippet", "channel"]).withColumnsRenamed({"atlas_id": "Allen_id"})

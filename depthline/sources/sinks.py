@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from depthline import __version__
 from depthline.operators.relational import missing_keys
 from depthline.schemas import FEATURES_VERSION
-from depthline.sources.store import path_exists
+from depthline.sources.store import arrow_uri, path_exists
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -24,28 +24,49 @@ def stamped(df: DataFrame) -> DataFrame:
     return df.withColumns({"features_version": F.lit(FEATURES_VERSION), "package_version": F.lit(__version__)})
 
 
-def _by_partition(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of one output partition meet in few tasks, so files stay large."""
-    return df.repartition(*columns)
+SNIPPETS_PER_FILE = 256
+
+
+def _by_probe(df: DataFrame) -> DataFrame:
+    """Rows of a probe meet in few files, at most `SNIPPETS_PER_FILE` snippets in each.
+
+    So files stay large where probes are small, and a probe with very many
+    snippets is written by many tasks.
+    """
+    if "snippet" not in df.columns:
+        return df.repartition("pid", F.pmod(F.xxhash64("channel"), F.lit(16)))
+    return df.repartition("pid", F.floor(F.col("snippet") / SNIPPETS_PER_FILE)).sortWithinPartitions("pid", "snippet")
 
 
 def write_features(df: DataFrame, root: str, feature_set: str, mode: str = "append") -> None:
-    """One folder per set, partitioned by probe and snippet, with version stamps."""
-    keys = [c for c in ("pid", "snippet") if c in df.columns]
-    stamped(_by_partition(df, keys)).write.mode(mode).partitionBy(*keys).parquet(f"{root}/{feature_set}_features.parquet")
+    """One folder per set, partitioned by probe, with version stamps.
+
+    Snippets are sorted within the files, so a filter on them prunes row groups;
+    a folder per snippet would hold a few hundred rows only.
+    """
+    stamped(_by_probe(df)).write.mode(mode).partitionBy("pid").parquet(f"{root}/{feature_set}_features.parquet")
+
+
+def write_traces(traces: DataFrame, path: str, chunks_per_file: int = 64, mode: str = "append") -> None:
+    """Trace rows partitioned by band and probe and sorted by chunk.
+
+    A time window then opens the folders of its probes and the row groups of
+    its chunks.
+    """
+    spread = F.floor(F.col("chunk") / chunks_per_file)
+    placed = traces.repartition("band", "pid", spread).sortWithinPartitions("band", "pid", "chunk", "channel")
+    placed.write.mode(mode).partitionBy("band", "pid").parquet(path)
 
 
 def read_features(spark: SparkSession, root: str, feature_set: str, like: DataFrame | None = None) -> DataFrame | None:
     """A stored set, or None. Partition folders carry no types: `pid` is read as
-    a string and `snippet` as a number, or both as in the frame `like`."""
+    a string, or as in the frame `like`."""
     path = f"{root}/{feature_set}_features.parquet"
     if not path_exists(spark, path):
         return None
-    types = {"pid": T.StringType(), "snippet": T.IntegerType()}
-    if like is not None:
-        types.update({k: like.schema[k].dataType for k in types if k in like.columns})
+    pid_type = T.StringType() if like is None else like.schema["pid"].dataType
     found = spark.read.parquet(path).schema
-    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True) for f in found.fields])
+    schema = T.StructType([T.StructField(f.name, pid_type if f.name == "pid" else f.dataType, True) for f in found.fields])
     return spark.read.schema(schema).parquet(path).drop("features_version", "package_version")
 
 
@@ -54,13 +75,13 @@ def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def write_waveforms(waveforms: DataFrame, events: DataFrame, root: str, save: bool = True, keys=("pid", "snippet")) -> None:
+def write_waveforms(waveforms: DataFrame, events: DataFrame, root: str, save: bool = True) -> None:
     """Event table, and the waveforms of every channel in reach as float arrays."""
     if not save:
         return
     small = waveforms.withColumn("waveform", F.col("waveform").cast("array<float>"))
-    _by_partition(small, keys).write.mode("append").partitionBy("pid").parquet(f"{root}/waveforms.parquet")
-    _by_partition(events, keys).write.mode("append").partitionBy("pid").parquet(f"{root}/spikes.parquet")
+    _by_probe(small).write.mode("append").partitionBy("pid").parquet(f"{root}/waveforms.parquet")
+    _by_probe(events).write.mode("append").partitionBy("pid").parquet(f"{root}/spikes.parquet")
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -138,7 +159,7 @@ def write_flat_matrices(counts: DataFrame, path: str, group: str, n_rows: int, n
         matrix = np.zeros((n_rows, n_bins), dtype="<i4")
         matrix[pdf["cluster_id"].to_numpy(int), pdf["bin"].to_numpy(int)] = pdf["n"].to_numpy()
         target = f"{path}/{key[0]}.bin"
-        filesystem, inner = fs.FileSystem.from_uri(target)
+        filesystem, inner = fs.FileSystem.from_uri(arrow_uri(target))
         filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         with filesystem.open_output_stream(inner) as out:
             out.write(matrix.tobytes())

@@ -15,6 +15,12 @@ from depthline.operators.relational import catalogue_filter
 from depthline.schemas import BENCHMARK_PIDS, CLUSTER_SCHEMA, TRACE_SCHEMA, verify_tables
 
 
+# File names of a feature store folder.
+DENOISED_FEATURES = "raw_ephys_features_denoised.pqt"
+RAW_FEATURES = "raw_ephys_features.pqt"
+CHANNELS, PROBES, CLUSTERS = "channels.pqt", "probes.pqt", "clusters.pqt"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -32,13 +38,11 @@ def load_tables(spark: SparkSession, root: str, verify: bool = False) -> dict[st
     The denoised feature table is preferred to the raw one. Where there is no
     cluster table, an empty one of the same schema stands in.
     """
-    denoised = f"{root}/raw_ephys_features_denoised.pqt"
-    voltage = read_table(spark, denoised if path_exists(spark, denoised) else f"{root}/raw_ephys_features.pqt")
-    clusters = f"{root}/clusters.pqt"
+    denoised, clusters = f"{root}/{DENOISED_FEATURES}", f"{root}/{CLUSTERS}"
     tables = {
-        "voltage": voltage,
-        "channels": read_table(spark, f"{root}/channels.pqt"),
-        "probes": read_table(spark, f"{root}/probes.pqt"),
+        "voltage": read_table(spark, denoised if path_exists(spark, denoised) else f"{root}/{RAW_FEATURES}"),
+        "channels": read_table(spark, f"{root}/{CHANNELS}"),
+        "probes": read_table(spark, f"{root}/{PROBES}"),
         "clusters": read_table(spark, clusters) if path_exists(spark, clusters) else spark.createDataFrame([], CLUSTER_SCHEMA),
     }
     if verify:
@@ -208,10 +212,15 @@ def cut_snippets(chunks: DataFrame, snippet_samples: int, keys: Sequence[str] =
 # ---------------------------------------------------------------- flat binary files
 
 
+def arrow_uri(path: str) -> str:
+    """The same location as Arrow's file systems name it."""
+    return "s3://" + path.removeprefix("s3a://") if path.startswith("s3a://") else path
+
+
 def _read_range(path: str, offset: int, length: int) -> bytes:
     from pyarrow import fs
 
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    filesystem, inner = fs.FileSystem.from_uri(arrow_uri(path))
     with filesystem.open_input_file(inner) as handle:
         return handle.read_at(length, offset)
 

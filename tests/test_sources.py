@@ -83,11 +83,12 @@ def test_flat_recording_and_windows(spark, recording):
 def test_window_condition_reaches_the_scan(spark, recording, tmp_path):
     path, _ = recording
     out = str(tmp_path / "traces")
-    store.read_flat_recording(spark, path, "p", "ap", 100.0, 5, 1, 64).write.parquet(out)
-    cut = store.time_window(spark.read.parquet(out), 100.0, 1.0, 1.0, 64, channels=2)
+    sinks.write_traces(store.read_flat_recording(spark, path, "p", "ap", 100.0, 5, 1, 64), out)
+    cut = store.time_window(spark.read.parquet(out).filter("pid = 'p' AND band = 'ap'"), 100.0, 1.0, 1.0, 64, channels=2)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(chunk" in plan and "LessThan(channel" in plan
+    assert "PartitionFilters: [isnotnull(pid" in plan and cut.count() == 2
 
 
 def test_windows_a_recording_cannot_serve(spark):
