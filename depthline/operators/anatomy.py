@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthline.operators.ordered import range_block
@@ -32,12 +32,13 @@ def add_region(regions: DataFrame, region_map: DataFrame, new: dict) -> tuple[Da
     if not regions.filter(F.col("id") == new["id"]).isEmpty():
         raise ValueError(f"region {new['id']} exists")
     size, order = regions.agg(F.count(F.lit(1)), F.max("ord")).first()
-    spark = regions.sparkSession
-    pair = [
-        Row(**{**{f.name: None for f in regions.schema.fields}, **new, "id": sign * new["id"], "ord": (order or 0) + 1})
-        for sign in (1, -1)
-    ]
-    added = spark.createDataFrame([tuple(r[f] for f in regions.columns) for r in pair], regions.schema)
+    values = {**new, "ord": (order or 0) + 1}
+
+    def row(sign: int):
+        fields = {**values, "id": sign * new["id"]}
+        return F.struct(*[F.lit(fields.get(f.name)).cast(f.dataType).alias(f.name) for f in regions.schema.fields])
+
+    added = regions.sparkSession.range(1).select(F.inline(F.array(row(1), row(-1))))
     sided = region_map.groupBy("mapping").agg(F.max(F.col("target_id") < 0).alias("sided"))
     new_id = F.lit(new["id"]).cast("long")
     mapped = sided.select(

@@ -363,7 +363,8 @@ def packed_profiles(
     """One row per key: depths in order and their class probabilities.
 
     A profile has one entry per depth of the probe, whatever the number of
-    rows it was averaged from.
+    rows it was averaged from. Decoding runs in array order; where `depth` is a
+    height above the tip, pass `deepest_last=False` to run from the surface down.
     """
     by_class = F.map_from_entries(F.collect_list(F.struct(klass, share)))
     rows = shares.groupBy(*keys, depth).agg(by_class.alias("_m")).select(

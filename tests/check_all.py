@@ -1,11 +1,14 @@
 """Run registered queries against their oracles: python tests/check_all.py [sf] [names...]."""
 
+import os
 import sys
 import time
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 import __spark_entry__ as entry  # noqa: E402
 from oracle import connect, differences  # noqa: E402
 
@@ -15,7 +18,10 @@ from depthline.session import local_session  # noqa: E402
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:]
-    spark = local_session("check", "8")
+    if os.environ.get("PLAIN"):  # a session without any of our settings
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = local_session("check", "8")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
