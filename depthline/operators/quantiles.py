@@ -72,19 +72,21 @@ def exact_quantiles(
     any_bracket = reduce(
         lambda x, y: x | y, [F.coalesce(inside(_Bracket(F.col("_brackets")[i])), F.lit(False)) for i in range(len(wanted))]
     )
-    spread = (
-        joined.filter(any_bracket)
-        .select(*keys, "_n", "_v", F.explode(F.filter("_brackets", inside)).alias("_b"))
+    # Equal values fold into one row before they are handed to their brackets.
+    found = joined.filter(any_bracket).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    tallied = (
+        found.join(brackets, list(keys))
+        .select(*keys, "_n", "_v", "_c", F.explode(F.filter("_brackets", inside)).alias("_b"))
         .select(
             *keys,
             "_n",
+            "_v",
+            "_c",
             F.col("_b.prob").alias("prob"),
             F.col("_b.low").alias("_low"),
             F.col("_b.high").alias("_high"),
-            "_v",
         )
     )
-    tallied = spread.groupBy(*keys, "prob", "_n", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_c"))
     share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
     slot = F.coalesce(F.floor(share * 1024), F.lit(0)).cast("bigint")
     ranked = (
