@@ -156,14 +156,18 @@ CLUSTER_SCHEMA = T.StructType(
 )
 
 
+def _require(df: DataFrame, schema: T.StructType) -> None:
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast the columns named by `schema`; other columns pass through.
 
     A value that cannot be cast becomes NULL, to be reported by `violations`.
     """
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
+    _require(df, schema)
     casts = {f.name: F.col(f.name).try_cast(f.dataType).alias(f.name, metadata=f.metadata or {}) for f in schema.fields}
     return df.select(*[casts.get(c, F.col(c)) for c in df.columns])
 
@@ -174,6 +178,7 @@ def violations(df: DataFrame, schema: T.StructType) -> DataFrame:
     Bad means missing (NULL or NaN) in a required column, or present but not
     castable to the declared type. One pass over the data.
     """
+    _require(df, schema)
     counts = []
     for f in schema.fields:
         source = F.col(f.name)
@@ -193,19 +198,12 @@ def violations(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def validate(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Conform `df` and raise when rows break the schema (runs one job)."""
-    found = violations(conform_check_columns(df, schema), schema).collect()
+    found = violations(df, schema).collect()
     if found:
         raise ValueError("schema violations: " + ", ".join(f"{r['column']}={r['n_bad']}" for r in found))
     return conform(df, schema)
 
 
-def conform_check_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return df
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

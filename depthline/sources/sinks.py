@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from depthline import __version__
 from depthline.operators.relational import missing_keys
 from depthline.schemas import FEATURES_VERSION
+from depthline.session import materialise
 from depthline.sources.store import arrow_uri, path_exists
 
 
@@ -148,7 +149,7 @@ def write_flat_matrices(counts: DataFrame, path: str, group: str, n_rows: int, n
     """One int32 file of `(n_rows, n_bins)` per group from `(group, cluster_id, bin, n)`.
 
     A matrix is dense and of fixed size, so a group is bounded by
-    `n_rows * n_bins` cells. Returns `(group, path, bytes)`, and runs the job.
+    `n_rows * n_bins` cells. Runs the job and returns its `(group, path, bytes)`.
     """
     cells = counts.groupBy(group, "cluster_id", "bin").agg(F.sum("n").alias("n"))
     schema = T.StructType([counts.schema[group], T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
@@ -165,5 +166,4 @@ def write_flat_matrices(counts: DataFrame, path: str, group: str, n_rows: int, n
             out.write(matrix.tobytes())
         return pd.DataFrame({group: [key[0]], "path": [target], "bytes": [matrix.nbytes]})
 
-    written = cells.groupBy(group).applyInPandas(write, schema).collect()
-    return counts.sparkSession.createDataFrame(written, schema)
+    return materialise(cells.groupBy(group).applyInPandas(write, schema), "matrices")

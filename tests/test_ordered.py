@@ -79,3 +79,35 @@ def test_blocks_of_time(spark):
     r = df.select(*[O.time_block(c, 3600).alias(c) for c in "abc"]).first()
     assert r["b"] - r["a"] == 1 and r["c"] == -1
     assert not math.isnan(r["a"])
+
+
+def test_a_hot_key_spreads_over_partitions(spark):
+    """A third of all rows in one key: no partition of the result holds anything like it."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k"),
+        F.col("id").alias("t"),
+        F.rand(1).alias("v"),
+    )
+    # No broadcasts, as at scale: on this little data Spark would broadcast the rows themselves.
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    saved = {c: spark.conf.get(c) for c in settings}
+    for c, value in settings.items():
+        spark.conf.set(c, value)
+    try:
+        block = O.range_block("t", 500)
+        for out in (
+            O.dense_index(df, ["k"], ["t"], block, "x"),
+            O.next_value(df, ["k"], ["t"], block, {"v": "x"}),
+            O.running_total(df, ["k"], ["t"], block, "v", "x"),
+        ):
+            # The new column is used, so that its window is not pruned from the plan.
+            per_task = out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max("x"))
+            sizes = [r["n"] for r in per_task.collect()]
+            assert sum(sizes) == 30_000 and max(sizes) < 0.15 * 30_000
+    finally:
+        for c, value in saved.items():
+            spark.conf.set(c, value)
