@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import minhash, pieces
+from depthline.llm import decontaminate, minhash, pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, minhash.Rule(words=3, percent=85))
+
+
+@query("op3_spaced_seeds")
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
