@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import decontaminate, language, minhash, pieces
+from depthline.llm import decontaminate, language, minhash, pieces, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,26 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
+
+
+_WARC_ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, h,
+         array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, CAST(i // 8 * 10 + 1 AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY h, payload_bytes) AS holder
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM d
+"""
+
+
+@query("op9_warc", _WARC_ORACLE)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
