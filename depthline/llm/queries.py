@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthline.llm import decontaminate, language, minhash, pieces, warc
+from depthline.llm import decontaminate, language, licences, minhash, pieces, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
 ), d AS (
   SELECT page_id, payload_bytes, h,
-         array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (((('0x' || substr(h, CAST(i // 8 * 10 + 1 AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
          max(page_id) OVER (PARTITION BY h, payload_bytes) AS holder
   FROM p
@@ -74,3 +74,8 @@ FROM d
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archived(table(spark, sf_dir, "pages"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_licences", licences.oracle())
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
