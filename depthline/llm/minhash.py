@@ -125,7 +125,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = batch[key].to_numpy()
+        values = batch[key].to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = batch.slice(a, b - a)
@@ -138,7 +138,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different components and may be similar.
+    """Pairs of one bucket that lie in different components and may be similar, as lists a and b of a tile.
 
     A pair comes from the first band that both share, so once at most. With
     `best_only` each member gives its most similar partner alone. Buckets are
@@ -149,7 +149,7 @@ def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "bucket"):
-            band = group["band"][0].as_py()
+            bucket, band = group["bucket"][0].as_py(), group["band"][0].as_py()
             ids, labels, sizes = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
             slots = _slots(group["signature"].combine_chunks(), rule.slots)
             bands = slots.reshape(len(ids), rule.bands, rule.rows)
@@ -165,29 +165,79 @@ def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
                     if not best_only:
                         upper = p + i < q + j
                         p, q = p[upper], q[upper]
+                    left, right = [], []
                     for cut in range(0, len(p), 16_384):
                         pc, qc = p[cut : cut + 16_384], q[cut : cut + 16_384]
                         same = (slots[pc + i] == slots[qc + j]).mean(axis=1)
                         pc, qc, same = (v[same >= least] for v in (pc, qc, same))
-                        if not len(pc):
-                            continue
                         if best_only:
-                            order = np.lexsort((-qc, same))
-                            better = np.flatnonzero(same[order] > top[pc[order]])
-                            top[pc[order[better]]] = same[order[better]]
-                            partner[pc[order[better]]] = ids[qc[order[better]] + j]
+                            order = np.lexsort((-qc, same))  # the last of a member is its best
+                            better = order[same[order] > top[pc[order]]]
+                            top[pc[better]], partner[pc[better]] = same[better], ids[qc[better] + j]
                             continue
-                        if band:
+                        if band and len(pc):
                             earlier = (bands[pc + i, :band] == bands[qc + j, :band]).all(axis=2).any(axis=1)
                             pc, qc = pc[~earlier], qc[~earlier]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[pc + i]), pa.array(ids[qc + j])], ["a", "b"])
-                if best_only and (top >= 0).any():
-                    own = np.flatnonzero(top >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own + i]), pa.array(partner[own])], ["a", "b"])
+                        left.append(ids[pc + i])
+                        right.append(ids[qc + j])
+                    if left and sum(map(len, left)):
+                        yield _tile(f"{bucket}/{i}/{j}", np.concatenate(left), np.concatenate(right))
+                own = np.flatnonzero(top >= 0)
+                if len(own):
+                    yield _tile(f"{bucket}/{i}", ids[own + i], partner[own])
 
     spread = buckets.repartition("bucket").sortWithinPartitions("bucket")
-    found = spread.mapInArrow(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.mapInArrow(run, "tile string, a array<bigint>, b array<bigint>")
+
+
+def _tile(name: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    lists = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([a], lists), pa.array([b], lists)], ["tile", "a", "b"])
+
+
+def _verified_tiles(tiles: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links among the pairs of each tile, without those whose ends earlier links of the tile join.
+
+    A text comes once to a tile, however many pairs it is in.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    members = tiles.select("tile", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).join(texts, "doc_id")
+    empty = F.lit(None).cast("array<bigint>")
+    rows = members.select("tile", "doc_id", "text", empty.alias("a"), empty.alias("b")).unionByName(
+        tiles.select("tile", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "tile"):
+            named = group.filter(pa.compute.is_valid(group["doc_id"]))
+            pairs = group.filter(pa.compute.is_null(group["doc_id"]))
+            sets: dict[int, np.ndarray] = {}
+            ids = named["doc_id"].to_pylist()
+            buf, off = K.text_bytes(named["text"])
+            for i, j in K.blocks(off):
+                elements, bounds = _block_shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], rule.words)
+                for k in range(j - i):
+                    sets[ids[i + k]] = np.unique(elements[bounds[k] : bounds[k + 1]])
+            root = {d: d for d in sets}
+            links = []
+            for x, y in zip(pairs["a"].combine_chunks().flatten().to_pylist(), pairs["b"].combine_chunks().flatten().to_pylist()):
+                if _root(root, x) == _root(root, y):
+                    continue
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if shared and 100 * shared >= rule.percent * (len(sets[x]) + len(sets[y]) - shared):
+                    root[_root(root, x)] = _root(root, y)
+                    links.append((min(x, y), max(x, y)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links)], ["a", "b"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -227,8 +277,8 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         )
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
         members = labelled.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "band", "doc_id", "label")
-        found = _across(members.join(first, "doc_id"), rule, best_only)
-        more = materialise(_verified(found, docs, rule), "links")
+        tiles = materialise(_across(members.join(first, "doc_id"), rule, best_only), "tiles")
+        more = materialise(_verified_tiles(tiles, docs, rule), "links")
         links = links.unionByName(more)
     label = graph.components(links).select(F.col("node").alias("class_id"), "component")
     return (
