@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthline.llm import decontaminate, language, licences, lines, minhash, pieces, quality, warc
+from depthline.llm import decontaminate, language, licences, lines, minhash, pieces, quality, substrings, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,13 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeats(docs).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op2_suffix_arrays")
+def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op5_seed_extend")
+def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
