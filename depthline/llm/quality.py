@@ -129,7 +129,6 @@ def scored(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> Dat
     """
     rule = rule or Rule()
     weights = log_ratios(docs, trusted, rule).scalar()
-    # The windows of the base counts want few words; the rest is refused.
     out = base_counts(docs).withColumn("__grams", n_gram_buckets(F.col("__words"), rule)).withColumn("__weights", weights)
     total = F.aggregate("__grams", F.lit(0).cast("bigint"), lambda a, b: a + F.get(F.col("__weights"), b))
     failed = (F.col("n_words") < rule.fewest_words) | (100 * F.col("n_repeat_words") > rule.repeat_percent * F.col("n_words"))
@@ -139,3 +138,14 @@ def scored(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> Dat
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= rule.threshold))
         .drop("__words", "__grams", "__weights")
     )
+
+
+def passing(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns.
+
+    A filter on `kept` alone would be moved below the steps that compute it,
+    and every step written out again wherever the next one names it, once for
+    each word. The row number, which is no function of the row, holds it back.
+    """
+    out = scored(docs, trusted, rule).withColumn("__row", F.monotonically_increasing_id())
+    return out.filter(F.col("kept") & (F.col("__row") >= 0)).select(docs.columns)

@@ -29,10 +29,15 @@ _FIRST_CAPTURE = 1_700_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """`least_bytes`: payloads below it never become revisits. `per_file`: records of one archive."""
+    """`least_bytes`: payloads below it never become revisits. `per_file`: records of one archive.
+
+    Digests of repeated payloads are broadcast up to `broadcast_rows` of them
+    (some 80 bytes each), else joined by a shuffle that moves the payloads too.
+    """
 
     least_bytes: int = 0
     per_file: int = 500
+    broadcast_rows: int = 200_000
 
 
 def digest(payload: Column) -> Column:
@@ -68,6 +73,9 @@ def plan_records(pages: DataFrame, rule: Rule) -> DataFrame:
         .filter("n > 1")
         .drop("n")
     )
+    kept = materialise(kept, "holders")
+    if kept.count() <= rule.broadcast_rows:
+        kept = F.broadcast(kept)
     both = rows.join(kept, ["payload_digest", "payload_bytes"], "left")
     return both.withColumn("refers_to", F.when(F.col("holder") != F.col("page_id"), F.col("holder"))).drop("holder")
 
