@@ -32,7 +32,7 @@ class Rule:
 
     buckets: int = 65_536
     smoothing: float = 0.5
-    threshold: float = -0.5
+    threshold: float = -0.4
     fewest_words: int = 10
     repeat_percent: int = 20
     broadcast_rows: int = 500_000
@@ -43,20 +43,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _WORD_GAP), "")
 
 
-def n_gram_buckets(tokens: Column, rule: Rule) -> Column:
-    """Bucket of each word and of each pair of neighbouring words."""
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
-    pairs = F.slice(pairs, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(rule.buckets)).cast("int"))
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _pairs(hashes: Column) -> Column:
+    """Hash of each word with the next; the last word is hashed with nothing."""
+    return F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(hash_: Column, rule: Rule) -> Column:
+    return F.pmod(hash_, F.lit(rule.buckets)).cast("int")
+
+
+def n_grams(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Column `bucket`: a row for each word and one for each pair of neighbouring words of all texts."""
+    tokens = words(F.col("text"))
+    zipped = docs.select(tokens.alias("a")).select(F.arrays_zip(F.col("a"), F.slice("a", 2, F.size("a")).alias("b")).alias("z"))
+    rows = zipped.select(F.inline("z").alias("a", "b"))
+    own = F.xxhash64("a")
+    pair = F.xxhash64(own, F.when(F.col("b").isNotNull(), F.xxhash64("b")))
+    return rows.select(F.explode(F.array(_bucket(own, rule), _bucket(pair, rule))).alias("bucket"))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and __hashes and __pairs of the words.
 
-    Repeated words: hashes of the 5-word windows are sorted together with their
-    places, as one number each; windows with an equal neighbour are repeated,
-    and the words that they cover are counted once.
+    Repeated words: where two hashes of 5-word windows are equal, the hashes are
+    sorted together with their places, as one number each; windows with an equal
+    neighbour are repeated, and the words that they cover are counted once.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(plain, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
@@ -67,18 +82,22 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.translate(plain, _SPACE, "")).cast("bigint"),
             "n_symbols": (F.length(plain) - F.length(F.translate(plain, _SYMBOLS, ""))).cast("bigint"),
             "__lines": lines,
-            "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
+            "__hashes": _hashed(F.col("__words")),
             # Places take as many bits as the text needs; the hash has the rest.
             "__bits": F.length(F.bin(n.cast("bigint"))),
         }
     )
-    h = lambda i, k: F.get(F.col("__hashes"), i + k)
-    window = lambda i: F.call_function("shiftleft", F.xxhash64(*[h(i, k) for k in range(5)]), F.col("__bits")) + i
-    windows = F.transform(F.sequence(F.lit(0), F.size("__words") - 5), window)
-    out = out.withColumn("__sorted", F.when(F.size("__words") > 5, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("__pairs", _pairs(F.col("__hashes"))).drop("__words")
+    window = lambda i: F.xxhash64(F.get(F.col("__pairs"), i), F.get(F.col("__pairs"), i + 2), F.get(F.col("__hashes"), i + 4))
+    windows = F.transform(F.sequence(F.lit(0), F.size("__hashes") - 5), window)
+    none = F.array().cast("array<bigint>")
+    out = out.withColumn("__windows", F.when(F.size("__hashes") > 5, windows).otherwise(none))
+    placed = F.transform("__windows", lambda h, i: F.call_function("shiftleft", h, F.col("__bits")) + i)
+    some = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    out = out.withColumn("__sorted", F.when(some, F.sort_array(placed)).otherwise(none))
     key = lambda x: F.call_function("shiftright", x, F.col("__bits"))
-    same = lambda x, i: (key(x) == key(F.get(F.col("__sorted"), i - 1))) | (key(x) == key(F.get(F.col("__sorted"), i + 1)))
-    found = F.filter("__sorted", lambda x, i: F.coalesce(same(x, i), _equal_edge(x, i, key)))
+    beside = lambda x, i: F.coalesce(key(x) == key(F.get(F.col("__sorted"), i)), F.lit(False))
+    found = F.filter("__sorted", lambda x, i: beside(x, i - 1) | beside(x, i + 1))
     places = F.transform(found, lambda x: x - F.call_function("shiftleft", key(x), F.col("__bits")))
     out = out.withColumn("__places", F.sort_array(places))
     spans = F.transform("__places", lambda p, i: F.least(F.lit(5), F.coalesce(F.get(F.col("__places"), i + 1) - p, F.lit(5))))
@@ -87,13 +106,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, b: a + b),
         }
-    ).drop("__lines", "__hashes", "__bits", "__sorted", "__places")
-
-
-def _equal_edge(x: Column, i: Column, key) -> Column:
-    """The first and the last of the row have one neighbour."""
-    row = F.col("__sorted")
-    return F.coalesce(key(x) == key(F.get(row, i + 1)), key(x) == key(F.get(row, i - 1)), F.lit(False))
+    ).drop("__lines", "__bits", "__windows", "__sorted", "__places")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, rule: Rule) -> DataFrame:
@@ -102,13 +115,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rule: Rule) -> DataFrame:
     Counts cover all of `docs(doc_id, text)`, and all rows of it whose doc_id is
     in `trusted(doc_id)`. Texts are added up before the shuffle.
     """
-    grams = lambda df: df.select(F.explode(n_gram_buckets(words(F.col("text")), rule)).alias("bucket"))
     ids = trusted.filter("doc_id is not null").select("doc_id").distinct()
     if ids.count() <= rule.broadcast_rows:
         ids = F.broadcast(ids)
     good = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    raw = grams(docs).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
-    target = grams(good).groupBy("bucket").agg(F.count(F.lit(1)).alias("target"))
+    raw = n_grams(docs, rule).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
+    target = n_grams(good, rule).groupBy("bucket").agg(F.count(F.lit(1)).alias("target"))
     buckets = docs.sparkSession.range(rule.buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = buckets.join(raw, "bucket", "left").join(target, "bucket", "left").fillna(0)
     rows = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"))
@@ -129,14 +141,15 @@ def scored(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> Dat
     """
     rule = rule or Rule()
     weights = log_ratios(docs, trusted, rule).scalar()
-    out = base_counts(docs).withColumn("__grams", n_gram_buckets(F.col("__words"), rule)).withColumn("__weights", weights)
-    total = F.aggregate("__grams", F.lit(0).cast("bigint"), lambda a, b: a + F.get(F.col("__weights"), b))
+    out = base_counts(docs).withColumn("__weights", weights)
+    added = lambda total, h: total + F.get(F.col("__weights"), _bucket(h, rule))
+    total = F.aggregate("__pairs", F.aggregate("__hashes", F.lit(0).cast("bigint"), added), added)
     failed = (F.col("n_words") < rule.fewest_words) | (100 * F.col("n_repeat_words") > rule.repeat_percent * F.col("n_words"))
     return (
         out.withColumn("base_failed", failed)
-        .withColumn("score", F.when(F.size("__grams") > 0, total / (F.size("__grams") * F.lit(float(UNIT)))).otherwise(F.lit(0.0)))
+        .withColumn("score", F.when(F.size("__hashes") > 0, total / (F.size("__hashes") * F.lit(2.0 * UNIT))).otherwise(F.lit(0.0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= rule.threshold))
-        .drop("__words", "__grams", "__weights")
+        .drop("__hashes", "__pairs", "__weights")
     )
 
 
