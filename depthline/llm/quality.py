@@ -160,5 +160,6 @@ def passing(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> Da
     and every step written out again wherever the next one names it, once for
     each word. The row number, which is no function of the row, holds it back.
     """
-    out = scored(docs, trusted, rule).withColumn("__row", F.monotonically_increasing_id())
-    return out.filter(F.col("kept") & (F.col("__row") >= 0)).select(docs.columns)
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__own"))
+    out = scored(own, trusted, rule).withColumn("__row", F.monotonically_increasing_id())
+    return out.filter(F.col("kept") & (F.col("__row") >= 0)).select("__own.*")
