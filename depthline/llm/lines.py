@@ -93,7 +93,8 @@ def without_repeats(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     gone = materialise(repeated(docs, rule), "repeats")
     gone = gone.groupBy("doc_id").agg(F.collect_set("chunk").alias("__gone"))
     rest = docs.drop("n_lines", "n_removed")
-    rows = chunked(rest.join(gone, "doc_id", "left"), rule)
+    # The list grows with the corpus, so it is never broadcast, however small it looks.
+    rows = chunked(rest.join(gone.hint("merge"), "doc_id", "left"), rule)
     kept = F.filter("__spans", lambda s: ~F.array_contains("__gone", s["e"]))
     text = F.array_join(F.transform(kept, lambda s: chunk_text(F.col("__lines"), s)), "\n")
     taken = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + F.when(F.array_contains("__gone", s["e"]), s["e"] - s["a"]).otherwise(F.lit(0)))
