@@ -30,6 +30,9 @@ MASKS = ("11101100111", "11011011011", "10111010111", "11110011101")
 class Rule:
     """Masks, and what a verified passage is.
 
+    Ids of hit documents are broadcast up to `broadcast_rows` of them (16 bytes
+    each), else joined by a shuffle.
+
     `overlap` words in a row (or a whole item that is shorter) must lie over the
     document with at least `percent` of them equal. Benchmark rows are taken in
     blocks of about `block_bytes`: the size bound of what is sent to the tasks.
@@ -39,6 +42,7 @@ class Rule:
     overlap: int = 13
     percent: int = 80
     block_bytes: int = 8_000_000
+    broadcast_rows: int = 500_000
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,5 +191,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) -> DataFrame:
     """The rows of `docs`, all columns, that hold no passage of the benchmark."""
+    rule = rule or Rule()
     hit = materialise(overlaps(docs, benchmark, rule).select("doc_id").distinct(), "leaks")
+    hit = F.broadcast(hit) if hit.count() <= rule.broadcast_rows else hit.hint("merge")
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
