@@ -238,6 +238,12 @@ def heavy_anchors(shared: DataFrame, rule: Rule) -> dict[int, int]:
     return {int(np.uint32(r[0] & 0xFFFFFFFF)): 1 + int(r[1] // limit) for r in found}
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id (bigint) and text; without a projection where none is needed, so that Spark finds equal shuffles equal."""
+    rows = docs.select("doc_id", "text")
+    return rows if rows.schema["doc_id"].dataType.typeName() == "long" else rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def known_texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """doc_id, text and known (array<int>): documents with anchors that occur elsewhere."""
     lists = shared.filter("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("known"))

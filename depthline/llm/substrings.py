@@ -249,7 +249,7 @@ def without_repeats(docs: DataFrame, rule: A.Rule = RULE, digests: bool = False)
     words. A null doc_id is left as it is and repeats nothing. Rows that repeat a
     doc_id repeat each other. Other columns are not looked at.
     """
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    plain = A.texts(docs)
     rows, nameless = plain.filter("doc_id is not null"), plain.filter("doc_id is null")
     spans = repeated_spans(rows, rule).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,7 @@ def _segments(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int
     split = _split(rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             buf, off = K.text_bytes(batch["text"])
@@ -109,7 +111,7 @@ def _segments(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int
                             "docs": doc[own].tobytes(),
                             "starts": local[own].tobytes(),
                             "sizes": (end - start)[own].astype(np.int32).tobytes(),
-                            "content": b"".join(buf[s:e].tobytes() for s, e in zip(start[own].tolist(), end[own].tolist())),
+                            "content": packer.compress(b"".join(buf[s:e].tobytes() for s, e in zip(start[own].tolist(), end[own].tolist()))),
                         }
                     )
                 yield pa.RecordBatch.from_pylist(out, _ENTRY)
@@ -142,7 +144,8 @@ def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
     """Spans of the entries of a shard whose windows a smaller document has."""
     key, doc, start = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("keys", "docs", "starts"))
     size = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
-    content = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8)
+    unpacker = zstandard.ZstdDecompressor()
+    content = np.frombuffer(b"".join(unpacker.decompress(r["content"]) for r in rows), np.uint8)
     at = np.concatenate([[0], np.cumsum(size)])
     digest = np.concatenate([K.span_hash(content[at[a] : at[b]], at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in K.blocks(at)])
     order = np.lexsort((doc, digest, key))
@@ -223,7 +226,7 @@ def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    plain = A.texts(docs)
     return plain.filter("doc_id is not null"), plain.filter("doc_id is null")
 
 
