@@ -22,8 +22,8 @@ from depthline.llm import kernels as K
 from depthline.session import materialise
 
 U = np.uint64
-#: Fixed masks over 11 words, 1 = kept. No single substitution in 11 words, and hardly any two, spoil all of them.
-MASKS = ("11101100111", "11011011011", "10111010111", "11110011101")
+#: Fixed masks over 10 words, 1 = kept (fixed values). Wherever one or two of 13 words in a row are replaced, a mask fits.
+MASKS = ("1110110011", "1100011111", "1011010111", "1101111001")
 
 
 @dataclass(frozen=True)
@@ -73,14 +73,16 @@ class Seeds:
         for number, (kept, width) in enumerate(self.shapes):
             at, counts = K.inside(self.bounds, width)
             found.append((_masked(self.tokens, kept, width, number)[at], at, np.repeat(np.arange(len(self.items)), counts)))
-        widest = max(w for _, w in self.shapes)
         n_words = np.diff(self.bounds)
-        #: Items too short for a mask are looked up whole, by length.
-        self.short = sorted({int(n) for n in n_words if 0 < n < widest})
-        for n in self.short:
+        shapes = [(kept, width, n) for n, (kept, width) in enumerate(self.shapes)]
+        # A shorter item is cut into one part more than it may have replaced words, so a part is whole.
+        for n in sorted({int(n) for n in n_words if 0 < n < rule.overlap}):
             own = np.flatnonzero(n_words == n)
-            every = _masked(self.tokens, list(range(n)), n, 100 + n)
-            found.append((every[self.bounds[own]], self.bounds[own], own))
+            parts = n - -(-n * rule.percent // 100) + 1
+            for k, part in enumerate(np.array_split(np.arange(n), parts)):
+                shapes.append((part.tolist(), n, 1000 * n + k))
+                found.append((_masked(self.tokens, *shapes[-1])[self.bounds[own]], self.bounds[own], own))
+        self.shapes = shapes
         self.seed, self.place, self.item = (np.concatenate([f[i] for f in found]) for i in range(3))
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.place, self.item = self.seed[order], self.place[order], self.item[order]
@@ -91,9 +93,7 @@ class Seeds:
     def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, item, and the place of the item's first word in the block, each once."""
         out = []
-        shapes = [(kept, width, n) for n, (kept, width) in enumerate(self.shapes)]
-        shapes += [(list(range(n)), n, 100 + n) for n in self.short]
-        for kept, width, number in shapes:
+        for kept, width, number in self.shapes:
             seeds = _masked(tokens, kept, width, number)
             some = np.flatnonzero(self.table[(seeds >> U(64 - self.bits)).astype(np.int64)])
             if not len(some):
