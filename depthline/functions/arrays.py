@@ -31,26 +31,12 @@ def scaled(x, factor) -> Column:
     return F.transform(_c(x), lambda v: v * factor)
 
 
-def minus(x, y) -> Column:
-    return F.zip_with(_c(x), _c(y), lambda a, b: a - b)
-
-
 def window_of(x, start, length) -> Column:
     """`length` samples from the 0-based `start`; shorter at the end of the array."""
     return F.slice(_c(x), _c(start).cast("int") + 1, _c(length).cast("int"))
 
 
-def value_at(x, index) -> Column:
-    """The element at a 0-based index, NULL outside."""
-    return F.try_element_at(_c(x), (_c(index) + 1).cast("int"))
-
-
 def waveform_shape(waveform, fs, recovery_offset: int = 5) -> Column:
     """Struct column of the waveform's shape; see `kernels.waveform_shape`."""
     fs = F.lit(float(fs)) if isinstance(fs, (int, float)) else _c(fs)
     return K.waveform_shape(recovery_offset)(_c(waveform), fs)
-
-
-def lateral_padded(x, size: int) -> Column:
-    """Pad an array with NULLs up to `size` entries."""
-    return F.concat(_c(x), F.array_repeat(F.lit(None), F.greatest(F.lit(0), F.lit(size) - F.size(_c(x)))))

@@ -18,12 +18,6 @@ def known(x) -> Column:
     return F.nanvl(_c(x).cast("double"), F.lit(None).cast("double"))
 
 
-def finite(x) -> Column:
-    """NaN and infinities as NULL."""
-    v = _c(x)
-    return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), None).otherwise(v)
-
-
 def nulled_infinities(df: DataFrame) -> DataFrame:
     """Replace +-inf by NULL in every floating column."""
     floating = (T.DoubleType, T.FloatType)
@@ -124,20 +118,22 @@ def smooth_lengths(limit: int) -> list[int]:
     return sorted(found)
 
 
-def next_fast_length(n, max_n: int) -> Column:
-    """The least 5-smooth number that is not below `n` (`n` from 1 up to `max_n`).
+def next_fast_length(n) -> Column:
+    """The least 5-smooth number that is not below `n`, for any whole `n` from 1 to 2^62; NULL for others.
 
-    The candidates of each octave (2^k, 2^(k+1)] are a short literal array that
-    is picked by the bit length of n-1, so the lookup is an expression, needs
-    no join and looks at a few dozen numbers per row.
+    Each odd 5-smooth number, of which there are some hundreds, is doubled until
+    it reaches `n`; the least of these is the answer.
     """
-    bits = max(max_n - 1, 1).bit_length()
-    smooth = smooth_lengths(2**bits)
-    octaves = [[m for m in smooth if (m - 1).bit_length() == k] or [2**k] for k in range(bits + 1)]
-    listed = F.expr("array(" + ",".join("array(" + ",".join(f"{m}L" for m in o) + ")" for o in octaves) + ")")
+    odd = [m for m in (3**j * 5**k for j in range(40) for k in range(27)) if m <= 2**62]
+    listed = F.expr("array(" + ",".join(f"{m}L" for m in sorted(odd)) + ")")
     n = _c(n).cast("bigint")
-    octave = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
-    return F.array_min(F.filter(F.get(listed, octave), lambda m: m >= n))
+
+    def reached(m: Column) -> Column:
+        whole = F.when(m >= n, F.lit(0).cast("bigint")).otherwise(F.call_function("div", n - 1, m))
+        doublings = F.when(whole > 0, F.length(F.bin(whole))).otherwise(0)
+        return F.when(doublings + F.length(F.bin(m)) <= 63, F.call_function("shiftleft", m, doublings))
+
+    return F.when(n.between(1, 2**62), F.array_min(F.transform(listed, reached)))
 
 
 def tilted_angles(theta_deg, phi_deg, tilt_deg: float = -5.0) -> tuple[Column, Column]:
@@ -171,11 +167,6 @@ def contains_ignoring_case(column, text: str) -> Column:
     return F.lower(_c(column)).contains(text.lower())
 
 
-def mean_offset_seconds(index, offset: int, fs) -> Column:
-    """Aggregate: mean of `(index - offset)` over the group, in seconds."""
-    return F.avg(known(index) - F.lit(float(offset))) / fs
-
-
 def structs(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
 

@@ -125,19 +125,22 @@ def infer_regions(
     df: DataFrame,
     models: Sequence,
     metas: Sequence[dict],
-    keys: Sequence[str] = ("pid", "channel"),
-    probe: Sequence[str] = ("pid",),
+    keys: Sequence[str] | None = None,
     denoise: bool = True,
     fac: float = 1.0,
 ) -> DataFrame:
     """`(fold, keys, probas, predicted_index)` of every fold's model.
 
+    The keys are probe, snippet (where there is one) and channel; each snippet
+    of a probe is smoothed by itself.
+
     Smoothing does not depend on the fold and is done once; the models then
     follow each other over the same rows, so the table is read once.
     """
+    keys = list(keys or [k for k in ("pid", "snippet", "channel") if k in df.columns])
     ready = df.withColumn("outside", F.lit(0.0))
     if denoise:
-        ready = denoise_features(ready, fac=fac, keys=probe)
+        ready = denoise_features(ready, fac=fac, keys=[k for k in keys if k != "channel"])
     out = ready
     for i, (model, meta) in enumerate(zip(models, metas)):
         assembler = VectorAssembler(inputCols=list(meta["FEATURES"]), outputCol=f"_x{i}", handleInvalid="keep")

@@ -5,7 +5,8 @@ key is cut into blocks by an expression that does not decrease along the order
 (a time bucket, an id range). The window runs inside `(key, block)`; what has
 to cross a block edge is one small row per block, computed by an aggregate with
 map-side combine and joined back on the same `(key, block)` partitioning.
-Rows with a NULL key are dropped.
+Rows with a NULL key are dropped; a NULL order value stands before all others,
+in a block of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK = "_block"
+_NULL_BLOCK = -(2**62)
 
 
 def time_block(ts, seconds: int) -> Column:
@@ -31,8 +33,8 @@ def range_block(value, width: float) -> Column:
 
 
 def _with_block(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    out = df.withColumn(_BLOCK, block)
-    for k in [*keys, _BLOCK]:
+    out = df.withColumn(_BLOCK, F.coalesce(block, F.lit(_NULL_BLOCK)))
+    for k in keys:
         out = out.filter(F.col(k).isNotNull())
     return out
 

@@ -147,8 +147,10 @@ def banded_covariance(
     )
 
 
-def neighbour_covariance(banded: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """Long `(keys, channel, neighbour, multiplicity, cov)` over offsets -half..half.
+def neighbour_covariance(banded: DataFrame, keys: Sequence[str] = RECORDING, half_width: int = 8) -> DataFrame:
+    """Long `(keys, channel, neighbour, multiplicity, cov)` over offsets -half_width..half_width.
+
+    `banded` must come from `banded_covariance` with the same half width.
 
     Offsets that leave the array are reflected at its ends; one that reflects
     a channel onto itself is left out. `multiplicity` is the number of offsets
@@ -159,7 +161,7 @@ def neighbour_covariance(banded: DataFrame, keys: Sequence[str] = RECORDING) ->
     pairs = (
         banded.select(*keys, "channel", F.posexplode("products").alias("k", "cov"))
         .filter(known("cov").isNotNull())
-        .withColumn("half", F.lit(8))
+        .withColumn("half", F.lit(half_width))
     )
     there = F.struct(F.col("channel").alias("c"), (F.col("channel") + F.col("k")).alias("nb"))
     back = F.struct((F.col("channel") + F.col("k")).alias("c"), F.col("channel").alias("nb"))
@@ -178,16 +180,18 @@ def neighbour_covariance(banded: DataFrame, keys: Sequence[str] = RECORDING) ->
     )
 
 
-def correlation_ratio(df: DataFrame, keys: Sequence[str] = RECORDING, parts: Sequence[str] = ()) -> DataFrame:
+def correlation_ratio(
+    df: DataFrame, keys: Sequence[str] = RECORDING, parts: Sequence[str] = (), half_width: int = 8
+) -> DataFrame:
     """Mean covariance with the neighbours over the variance, per channel.
 
-    NULL where the array has fewer than 13 channels, too few to reflect.
+    NULL where the array has fewer than `half_width + 5` channels (13), too few to reflect.
     """
-    cov = neighbour_covariance(banded_covariance(df, parts=parts, keys=keys), keys)
+    cov = neighbour_covariance(banded_covariance(df, half_width, parts=parts, keys=keys), keys, half_width)
     own = F.max(F.when(F.col("channel") == F.col("neighbour"), F.col("cov")))
     mean = F.sum(F.col("cov") * F.col("multiplicity")) / F.sum("multiplicity")
     return cov.groupBy(*keys, "channel").agg(
-        F.when(F.max("nc") >= 13, F.try_divide(mean, own)).alias("cor_ratio")
+        F.when(F.max("nc") >= half_width + 5, F.try_divide(mean, own)).alias("cor_ratio")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -100,8 +101,9 @@ def compute_features(
 ) -> DataFrame:
     """All sets, merged on the channel.
 
-    With a `store`, computed sets are written there and sets that were not
-    requested are taken from it where they exist. All sets are computed in one
+    With a `store`, computed sets are written there, in place of stored rows of
+    the same `keys`, and sets that were not requested are taken from it for
+    these keys where they exist. All sets are computed in one
     job, in which those of a band share its shuffles, and then stored.
     """
     found = feature_sets(ap, lf, requested, keys=keys, **options)
@@ -113,8 +115,11 @@ def compute_features(
     merged = materialise(outer_merge(marked, on), "features")
     for name, df in found.items():
         sinks.write_features(merged.filter(f"_has_{name}").select(df.columns), store, name, mode="overwrite")
+    wanted = merged.select(*keys).distinct()
     earlier = [
-        df for name in FEATURE_SETS if name not in found and (df := sinks.read_features(spark, store, name, merged)) is not None
+        df.join(wanted, list(keys), "left_semi")
+        for name in FEATURE_SETS
+        if name not in found and (df := sinks.read_features(spark, store, name, merged)) is not None
     ]
     return outer_merge([merged.drop(*[f"_has_{name}" for name in found]), *earlier], on)
 
@@ -141,7 +146,7 @@ def compute_windows(
         recordings.select("pid").distinct().withColumn("duration", F.lit(float(duration)))
         if duration is not None
         else usable_durations(recordings, t_start)
-    ).withColumns({"t_start": F.lit(float(t_start)), "snippet": F.lit(0)})
+    ).withColumns({"t_start": F.lit(float(t_start)), "snippet": F.lit(window_number(t_start, duration))})
     checked_windows(windows.select("pid", "t_start", "duration"), recordings)
     layout = channels.select("pid", "channel", *[c for c in ("lateral_um", "axial_um", "labels") if c in channels.columns])
 
@@ -151,6 +156,11 @@ def compute_windows(
     return compute_features(window(ap_chunks, "ap", 0), window(lf_chunks, "lf", lf_latency), **options)
 
 
+def window_number(t_start: float, duration: float | None) -> int:
+    """The snippet number of a time window: equal for equal windows, so that stored sets of one window meet."""
+    return zlib.crc32(f"{t_start:.3f}_{'end' if duration is None else format(duration, '.3f')}".encode()) >> 1
+
+
 def usable_durations(recordings: DataFrame, t_start: float) -> DataFrame:
     """`(pid, duration)` both bands can serve from `t_start`."""
     return recordings.groupBy("pid").agg((F.min(F.col("ns") / F.col("fs")) - F.lit(float(t_start))).alias("duration"))

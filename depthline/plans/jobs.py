@@ -44,7 +44,9 @@ def recording_features(
 def region_probabilities(
     features: DataFrame, channels: DataFrame, model_root: str, path: str | None = None, n_folds: int = 5, denoise: bool = True
 ) -> DataFrame:
-    """`(fold, pid, channel, class_index, class_id, proba, predicted_index)` by every fold's model.
+    """`(fold, pid, snippet, channel, class_index, class_id, proba, predicted_index)` by every fold's model.
+
+    `snippet` is there if the features have it.
 
     Smoothing needs position and quality of the channels, so they are joined
     first; channels without a label count as good.
@@ -55,7 +57,7 @@ def region_probabilities(
     rows = features.join(channels.select("pid", "channel", *extra), ["pid", "channel"])
     rows = rows.na.fill(0, ["labels"]) if "labels" in rows.columns else rows.withColumn("labels", F.lit(0))
     scored = L.infer_regions(rows, models, metas, denoise=denoise)
-    long = L.long_probabilities(scored, ["fold", "pid", "channel", "predicted_index"], metas[0]["CLASSES"])
+    long = L.long_probabilities(scored, [c for c in scored.columns if c != "probas"], metas[0]["CLASSES"])
     if path is None:
         return long
     sinks.write_predictions(long, path)
@@ -64,14 +66,14 @@ def region_probabilities(
 
 def probability_profile(probabilities: DataFrame, channels: DataFrame, classes: Sequence) -> dict[str, DataFrame]:
     """What a depth plot shows: cumulative shares, entropies per fold and their mean."""
-    keys = ["fold", "pid", "channel"]
+    keys = [k for k in ("fold", "pid", "snippet", "channel") if k in probabilities.columns]
     depth = channels.select("pid", "channel", "axial_um")
     entropy = R.mean_entropy(probabilities, keys, "proba", len(classes)).join(depth, ["pid", "channel"])
     shares = R.cumulative_share(probabilities, keys, "class_id", "proba", classes, "cumulative")
     return {
         "cumulative": shares.join(depth, ["pid", "channel"]),
         "entropy": entropy,
-        "mean_entropy": R.depth_aggregate(entropy, ["pid", "channel", "axial_um"], ["entropy"]),
+        "mean_entropy": R.depth_aggregate(entropy, [*keys[1:], "axial_um"], ["entropy"]),
     }
 
 

@@ -199,14 +199,17 @@ def entropy_profile(spark, sf_dir):
     "fold_mean",
     f"""
 WITH f AS (SELECT user_id, event_id % 5 AS fold, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id, event_id % 5) AS p FROM events GROUP BY user_id, event_id % 5, event_type)
-SELECT user_id, event_type, {r('sum(p) / any_value(k)', 6)} AS p FROM f JOIN (SELECT user_id, count(DISTINCT fold) AS k FROM f GROUP BY 1) USING (user_id) GROUP BY ALL
+SELECT k.user_id, c.event_type, {r('coalesce(sum(p), 0) / any_value(k.k)', 6)} AS p
+FROM (SELECT user_id, count(DISTINCT fold) AS k FROM f GROUP BY 1) k
+CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type) c
+LEFT JOIN f ON f.user_id = k.user_id AND f.event_type = c.event_type GROUP BY ALL
 """,
 )
 def fold_mean(spark, sf_dir):
     counts = S.events(spark, sf_dir).groupBy("user_id", (F.col("event_id") % 5).alias("fold"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     shares = R.normalised(counts, ["user_id", "fold"], "n", "p")
     filled = R.cumulative_share(shares, ["user_id", "fold"], "event_type", "p", STATES, "_c")
-    return R.depth_aggregate(filled, ["user_id", "event_type"], ["p"]).filter("p > 0").withColumn("p", C.rounded("p", 6))
+    return R.depth_aggregate(filled, ["user_id", "event_type"], ["p"]).withColumn("p", C.rounded("p", 6))
 
 
 @query(

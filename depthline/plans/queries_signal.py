@@ -95,6 +95,16 @@ def neighbour_covariance(spark, sf_dir):
     return out.drop("nc").withColumn("cov", C.rounded("cov", 6))
 
 
+@query(
+    "neighbour_covariance_narrow",
+    f"WITH {SM}, {COV_SQL.replace('range(-8, 9)', 'range(-3, 4)')} SELECT pid, snippet, c AS channel, CAST(nb AS INTEGER) AS neighbour, "
+    f"CAST(count(*) AS INTEGER) AS multiplicity, {r('any_value(cov)', 6)} AS cov FROM cov GROUP BY ALL",
+)
+def neighbour_covariance_narrow(spark, sf_dir):
+    out = G.neighbour_covariance(G.banded_covariance(S.traces(spark, sf_dir), 3), half_width=3)
+    return out.drop("nc").withColumn("cov", C.rounded("cov", 6))
+
+
 @query(
     "cor_ratio",
     f"""WITH {SM}, {COV_SQL}, {RAW_SIG}, {RMS_SQL}

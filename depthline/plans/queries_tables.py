@@ -354,10 +354,41 @@ SELECT o_orderkey, n.n, m.m AS fast FROM n ASOF JOIN m ON m.m >= n.n
 def next_fast_length(spark, sf_dir):
     n = F.floor("o_totalprice").cast("bigint")
     return S.table(spark, sf_dir, "orders").select(
-        "o_orderkey", n.alias("n"), C.next_fast_length(n, 10_000_000).alias("fast")
+        "o_orderkey", n.alias("n"), C.next_fast_length(n).alias("fast")
     )
 
 
+@query(
+    "next_fast_length_large",
+    """
+WITH m AS (
+  SELECT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS m
+  FROM generate_series(0, 40) t1(a), generate_series(0, 26) t2(b), generate_series(0, 18) t3(c)
+  WHERE pow(2, a) * pow(3, b) * pow(5, c) <= 2199023255552),
+n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 1000003 AS n FROM orders)
+SELECT o_orderkey, n.n, m.m AS fast FROM n ASOF JOIN m ON m.m >= n.n
+""",
+)
+def next_fast_length_large(spark, sf_dir):
+    """Lengths far above 10^7, as of hours of samples."""
+    n = F.floor("o_totalprice").cast("bigint") * 1_000_003
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), C.next_fast_length(n).alias("fast"))
+
+
+@query(
+    "index_with_gaps",
+    """
+WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN event_id END AS place FROM events)
+SELECT event_id, user_id, place, row_number() OVER (PARTITION BY user_id ORDER BY place NULLS FIRST, event_id) - 1 AS position FROM e
+""",
+)
+def index_with_gaps(spark, sf_dir):
+    """Positions within a user where some rows have no order value: they stand first."""
+    rows = S.table(spark, sf_dir, "events").select("event_id", "user_id")
+    rows = rows.withColumn("place", F.when(F.col("event_id") % 7 != 0, F.col("event_id")))
+    return dense_index(rows, ["user_id"], ["place", "event_id"], range_block("place", 65536), "position")
+
+
 @query(
     "zscore_profile",
     f"""

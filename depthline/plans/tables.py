@@ -169,8 +169,3 @@ def features_for_display(meta_features: Sequence[str], hidden: int = 4) -> list[
 
 def depth_extent(df: DataFrame, keys: Sequence[str] = ("pid",), depth: str = "axial_um") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(depth).alias("depth_min"), F.max(depth).alias("depth_max"))
-
-
-def usable_duration(ns_ap: Column, fs_ap: Column, ns_lf: Column, fs_lf: Column, t_start: Column) -> Column:
-    """Longest window both bands can serve from `t_start`."""
-    return F.least(ns_ap / fs_ap, ns_lf / fs_lf) - t_start

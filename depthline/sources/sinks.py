@@ -40,12 +40,14 @@ def _by_probe(df: DataFrame) -> DataFrame:
 
 
 def write_features(df: DataFrame, root: str, feature_set: str, mode: str = "append") -> None:
-    """One folder per set, partitioned by probe, with version stamps.
+    """One folder per set, partitioned by probe and snippet, with version stamps.
 
-    Snippets are sorted within the files, so a filter on them prunes row groups;
-    a folder per snippet would hold a few hundred rows only.
+    `overwrite` replaces the rows of the probes and snippets that `df` holds and
+    leaves all others alone, so a run can be repeated.
     """
-    stamped(_by_probe(df)).write.mode(mode).partitionBy("pid").parquet(f"{root}/{feature_set}_features.parquet")
+    parts = [k for k in ("pid", "snippet") if k in df.columns]
+    out = stamped(_by_probe(df)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*parts).parquet(f"{root}/{feature_set}_features.parquet")
 
 
 def write_traces(traces: DataFrame, path: str, chunks_per_file: int = 64, mode: str = "append") -> None:
@@ -61,13 +63,15 @@ def write_traces(traces: DataFrame, path: str, chunks_per_file: int = 64, mode:
 
 def read_features(spark: SparkSession, root: str, feature_set: str, like: DataFrame | None = None) -> DataFrame | None:
     """A stored set, or None. Partition folders carry no types: `pid` is read as
-    a string, or as in the frame `like`."""
+    a string and `snippet` as an integer, or both as in the frame `like`."""
     path = f"{root}/{feature_set}_features.parquet"
     if not path_exists(spark, path):
         return None
-    pid_type = T.StringType() if like is None else like.schema["pid"].dataType
+    types = {"pid": T.StringType(), "snippet": T.IntegerType()}
+    if like is not None:
+        types = {k: like.schema[k].dataType for k in types if k in like.columns}
     found = spark.read.parquet(path).schema
-    schema = T.StructType([T.StructField(f.name, pid_type if f.name == "pid" else f.dataType, True) for f in found.fields])
+    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True) for f in found.fields])
     return spark.read.schema(schema).parquet(path).drop("features_version", "package_version")
 
 
@@ -124,11 +128,13 @@ def save_model(spark: SparkSession, root: str, model, meta: dict, subfolder: str
 
 
 def load_model(spark: SparkSession, folder: str) -> tuple[object, dict]:
-    """`(model, meta)` of one folder."""
+    """`(model, meta)` of one folder; only classes of `pyspark.ml` are loaded."""
     import importlib
 
     meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
     module, _, name = meta["MODEL_CLASS"].rpartition(".")
+    if not module.startswith("pyspark.ml."):
+        raise ValueError(f"{meta['MODEL_CLASS']} is no class of pyspark.ml")
     kind: type[MLReadable] = getattr(importlib.import_module(module), name)
     return kind.load(f"{folder}/model"), meta
 

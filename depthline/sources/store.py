@@ -169,15 +169,19 @@ def time_windows(
 ) -> DataFrame:
     """As `time_window`, for a table `(pid, snippet, t_start, duration)` of windows.
 
-    Every recording has its own windows, so the condition on `chunk` cannot be
-    a literal; the join is on the probe and keeps the chunks in range.
+    Each window is spread to the chunks that it touches, so the join is on the
+    probe, the rate and the chunk, and no other samples are shuffled with it.
     """
     start = sample_index("fs", "t_start", latency)
-    length = next_fast_length((F.col("fs") * F.col("duration")).cast("bigint"), 2**40)
-    placed = chunks.join(windows, "pid").withColumns({"_start": start, "_stop": start + length})
-    touched = placed.filter(
-        F.col("chunk").between(F.floor(F.col("_start") / chunk_samples), F.floor((F.col("_stop") - 1) / chunk_samples))
-    )
+    length = next_fast_length((F.col("fs") * F.col("duration")).cast("bigint"))
+    rates = chunks.select("pid", "fs").distinct()
+    placed = windows.join(rates, "pid").withColumns({"_start": start, "_stop": start + length})
+    number = chunks.schema["chunk"].dataType
+    first_chunk = F.floor(F.greatest(F.lit(0), F.col("_start")) / chunk_samples).cast("bigint")
+    last_chunk = F.floor((F.col("_stop") - 1) / chunk_samples).cast("bigint")
+    spread = placed.withColumn("chunk", F.explode(F.sequence(first_chunk, last_chunk)))
+    spread = spread.withColumn("chunk", F.col("chunk").cast(number))
+    touched = chunks.join(spread, ["pid", "fs", "chunk"])
     first = F.greatest(F.lit(0), F.col("_start") - F.col("n0"))
     last = F.least(F.size("samples"), F.col("_stop") - F.col("n0"))
     piece = F.slice("samples", (first + 1).cast("int"), F.greatest(F.lit(0), last - first).cast("int"))

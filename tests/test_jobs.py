@@ -77,3 +77,24 @@ def test_recordings_to_regions(spark, traces, channels, tmp_path):
     assert profile["entropy"].count() == 5 * 2 * NC and profile["mean_entropy"].count() == 2 * NC
     top = profile["cumulative"].filter("class_id = 8").agg(F.min("cumulative"), F.max("cumulative")).first()
     assert top[0] == pytest.approx(1.0) and top[1] == pytest.approx(1.0)
+
+
+def test_stored_sets_of_other_probes_and_windows_stay(spark, traces, channels, tmp_path):
+    from depthline.plans import features as J
+
+    root = str(tmp_path / "store")
+    one = lambda pid, t, sets: jobs.recording_features(
+        traces.filter(F.col("pid") == pid), channels.filter(F.col("pid") == pid), root, t, 0.5, requested=sets, chunk_samples=SIZES, q=2
+    )
+    one("a", 0.1, ["lf"]).count()
+    one("b", 0.1, ["lf"]).count()
+    one("a", 0.9, ["lf"]).count()
+    stored = lambda: sorted(map(str, sinks.read_features(spark, root, "lf").collect()))
+    before = stored()
+    assert len(before) == 3 * NC
+    out = one("a", 0.1, ["ap"])
+    rows = out.select("pid", "snippet").distinct().collect()
+    assert [(r["pid"], r["snippet"]) for r in rows] == [("a", J.window_number(0.1, 0.5))]
+    assert out.filter("rms_lf is not null and rms_ap is not null").count() == NC and stored() == before
+    one("a", 0.1, ["lf"]).count()  # again: nothing is doubled
+    assert len(stored()) == 3 * NC

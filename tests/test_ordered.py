@@ -111,3 +111,15 @@ def test_a_hot_key_spreads_over_partitions(spark):
     finally:
         for c, value in saved.items():
             spark.conf.set(c, value)
+
+
+def test_rows_without_an_order_value_stay(spark):
+    from depthline.operators import ordered as O
+
+    rows = [("a", None, 1.0), ("a", 5, None), ("a", 99, 3.0), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    block = O.range_block("t", 10)
+    index = {(r["k"], r["t"]): r["i"] for r in O.dense_index(df, ["k"], ["t"], block, "i").collect()}
+    assert index == {("a", None): 0, ("a", 5): 1, ("a", 99): 2, ("b", None): 0}
+    near = {(r["k"], r["t"]): (r["x"], r["y"]) for r in O.surrounding(df, ["k"], ["t"], block, "v", "x", "y").collect()}
+    assert near["a", 5] == (1.0, 3.0) and near["b", None] == (None, None)

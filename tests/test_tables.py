@@ -50,9 +50,9 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([(0.0, 2.0, 0.0), (100.0, -4.0, 2.0)], "a double, b double, c double")
     rows = df.select(
         C.power_db("a").alias("db"), C.amplitude_db("a").alias("amp"), C.entropy_term("a").alias("h"), C.ratio("b", "c").alias("r"),
-        C.sample_index(F.lit(2500.0), F.lit(0.0005), 3).alias("i"), C.next_fast_length(F.lit(7), 1000).alias("n7"),
-        C.next_fast_length(F.lit(1), 1000).alias("n1"), C.next_fast_length(F.lit(1000), 1000).alias("n1000"),
-        C.next_fast_length(F.lit(257), 1000).alias("n257"),
+        C.sample_index(F.lit(2500.0), F.lit(0.0005), 3).alias("i"), C.next_fast_length(F.lit(7)).alias("n7"),
+        C.next_fast_length(F.lit(1)).alias("n1"), C.next_fast_length(F.lit(1000)).alias("n1000"),
+        C.next_fast_length(F.lit(257)).alias("n257"),
     ).collect()
     assert rows[0]["db"] is None and rows[0]["h"] == 0.0 and rows[0]["r"] is None
     assert rows[1]["db"] == 20.0 and rows[1]["amp"] == 40.0 and rows[1]["r"] == 2.0
@@ -63,7 +63,7 @@ def test_scalar_functions(spark):
 def test_next_fast_length_everywhere(spark):
     from depthline.sources.store import fast_length
 
-    n = spark.range(1, 3000).select("id", C.next_fast_length("id", 3000).alias("m")).collect()
+    n = spark.range(1, 3000).select("id", C.next_fast_length("id").alias("m")).collect()
     assert all(r["m"] == fast_length(r["id"]) for r in n)
 
 
@@ -271,3 +271,20 @@ def test_usable_durations_and_display_features(spark):
     assert J.usable_durations(recordings, 4.0).first()["duration"] == 16.0
     assert P.features_for_display(["a", "b", "x", "y", "z", "o"]) == ["a", "b"]
     assert recordings.groupBy().agg(F.count("*")).first()[0] == 2
+
+
+def test_fast_lengths_have_no_cap(spark):
+    def plain(n):
+        best = None
+        for j in range(40):
+            for k in range(28):
+                m = 3**j * 5**k
+                while m < n:
+                    m *= 2
+                best = m if best is None else min(best, m)
+        return best
+
+    values = [1, 2, 7, 11, 97, 10_000_001, 20_000_000, 2**40 + 1, 3**20 * 5**9 + 1, 2**61 + 12345]
+    rows = spark.createDataFrame([(v,) for v in values], "n long").select("n", C.next_fast_length("n").alias("m")).collect()
+    assert {r["n"]: r["m"] for r in rows} == {v: plain(v) for v in values}
+    assert spark.range(1).select(C.next_fast_length(F.lit(0)).alias("m")).first()["m"] is None
