@@ -130,8 +130,14 @@ def leaks(rows, benchmark, overlap: int, percent: int) -> set[tuple[int, int]]:
         need = min(overlap, len(q))
         if not q:
             continue
+        places = collections.defaultdict(list)
+        for k, x in enumerate(q):
+            places[x].append(k)
         for d, w in docs:
-            for shift in range(-len(q) + need, len(w) - need + 1):
+            equal = collections.Counter(i - k for i, x in enumerate(w) for k in places.get(x, ()))
+            for shift, n in equal.items():
+                if 100 * n < percent * need:
+                    continue
                 same = [w[shift + k] == q[k] if 0 <= shift + k < len(w) else None for k in range(len(q))]
                 if any(None not in same[k : k + need] and 100 * sum(same[k : k + need]) >= percent * need for k in range(len(q) - need + 1)):
                     out.add((d, item))
