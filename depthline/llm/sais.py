@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Places in a text; texts are shards of far less than 2^31 symbols.
+_PLACE = np.int32
+
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stable order by value, rank within the value, the different values and their counts."""
@@ -50,7 +53,7 @@ def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, at: np.ndarray, ste
             where, before, c, limit = where[:m], before[:m], c[:m], limit[:m]
         order, rank, value, count = _groups(c)
         view[place[c[order]] + rank] = before[order]
-        place[value] += count
+        place[value] += count.astype(_PLACE)
         done = min(j, int(limit[-1]))
         size = min(size * 2, 1 << 17) if done == j else max(64, 2 * (done - i))
         i = done
@@ -59,7 +62,7 @@ def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, at: np.ndarray, ste
 def _induce(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Suffixes in the order that the given order of the leftmost S places induces."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, _PLACE)
     order, rank, value, count = _groups(s[lms])
     last = np.repeat(count, count) - 1 - rank
     spots = ends[s[lms][order]] - last
@@ -78,10 +81,10 @@ def suffix_array(s: np.ndarray, size: int | None = None) -> np.ndarray:
     """Places of the suffixes of `s` (whole numbers from 0 below `size`) in ascending order."""
     n = len(s)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, _PLACE)
     size = int(s.max()) + 1 if size is None else size
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, _PLACE)
     # S where the next different value to the right is larger; the end of the text is the smallest.
     differ = np.flatnonzero(s[1:] != s[:-1])
     upto = np.searchsorted(differ, np.arange(n))
@@ -89,10 +92,10 @@ def suffix_array(s: np.ndarray, size: int | None = None) -> np.ndarray:
     edge = differ[np.minimum(upto, max(len(differ) - 1, 0))] if len(differ) else np.zeros(n, np.int64)
     small = np.zeros(n, bool)
     small[known] = s[edge[known]] < s[edge[known] + 1]
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_PLACE)
     count = np.bincount(s, minlength=size)
-    ends = np.cumsum(count) - 1
-    starts = ends - count + 1
+    ends = (np.cumsum(count) - 1).astype(_PLACE)
+    starts = (ends - count + 1).astype(_PLACE)
     if len(lms) == 0:
         return _induce(s, small, starts, ends, lms)
     sa = _induce(s, small, starts, ends, lms)
@@ -102,7 +105,7 @@ def suffix_array(s: np.ndarray, size: int | None = None) -> np.ndarray:
     names = _names(s, small, is_lms, lms, row)
     if names[-1] == len(row) - 1:
         return _induce(s, small, starts, ends, row)
-    name_at = np.zeros(n, np.int64)
+    name_at = np.zeros(n, _PLACE)
     name_at[row] = names
     reduced = name_at[lms]
     return _induce(s, small, starts, ends, lms[suffix_array(reduced, int(names[-1]) + 1)])
@@ -111,7 +114,7 @@ def suffix_array(s: np.ndarray, size: int | None = None) -> np.ndarray:
 def _names(s: np.ndarray, small: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Number of the substring that begins at each of the sorted leftmost S places; equal ones share it."""
     n = len(s)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, _PLACE)
     length[lms] = np.diff(np.append(lms, n)) + 1
     a, b = row[:-1], row[1:]
     new = length[a] != length[b]
@@ -138,7 +141,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n = len(s)
     if n == 0:
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, _PLACE)
     before[sa[1:]] = sa[:-1]
     head = np.ones(n, bool)
     head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (s[:-1] != s[np.maximum(before[:-1], 0)])

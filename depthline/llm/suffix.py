@@ -127,9 +127,9 @@ def _least_docs(content: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs
     crosses from one to the next.
     """
     n = len(sizes)
-    text = np.zeros(len(content) + n, np.int64)
+    text = np.zeros(len(content) + n, np.uint16)
     places = np.arange(len(content)) + np.repeat(np.arange(n), sizes)
-    text[places] = content.astype(np.int64) + 1
+    text[places] = content.astype(np.uint16) + 1
     owner = np.repeat(docs, sizes + 1)
     sa = sais.suffix_array(text, 257)
     shared = sais.permuted_lcp(text, sa)[sa]
@@ -140,6 +140,37 @@ def _least_docs(content: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs
     return out[places]
 
 
+def _may_share(
+    content: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, wanted: np.ndarray, window: int
+) -> np.ndarray:
+    """Which of the `wanted` contents share an anchor of 32 bytes with another one of their group.
+
+    Equal windows have equal anchors, so a content without a shared one has no
+    window in common with any other and needs no place in a suffix array.
+    """
+    out = np.zeros(len(start), bool)
+    some = np.flatnonzero(wanted)
+    if not len(some):
+        return out
+    ends = np.concatenate([[0], np.cumsum(size[some])])
+    keys, owners = [], []
+    for i, j in K.blocks(ends):
+        at = np.arange(ends[j] - ends[i]) + np.repeat(start[some[i:j]] - (ends[i:j] - ends[i]), size[some[i:j]])
+        half = byte_grams(content[at]).astype(U)
+        grams = (K.mix(half[:-16] | (half[16:] << U(32))) >> U(32)).astype(np.uint32)
+        runs = A.runs_of(grams, ends[i : j + 1] - ends[i], A.Rule(window=window, gram=32, distinct_docs=True), placed=False)
+        owner = some[i:j][runs.doc]
+        keys.append(K.mix(runs.anchor.astype(U) | (group[owner].astype(U) << U(32))))
+        owners.append(owner)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first = A._first_of(key)
+    mixed = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    out[owner[np.repeat(mixed, np.diff(np.append(first, len(key))))]] = True
+    return out
+
+
 def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
     """Spans of the entries of a shard whose windows a smaller document has."""
     key, doc, start = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("keys", "docs", "starts"))
@@ -158,6 +189,7 @@ def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
     own_key, own_doc, own_size, own_at = key_[first], doc[order][first], size[order][first], at[:-1][order][first]
     groups = np.append(A._first_of(own_key), len(own_key))
     alone = np.repeat(np.diff(groups) == 1, np.diff(groups))  # one content: its least document has every window
+    near = _may_share(content, own_at, own_size, np.repeat(np.arange(len(groups) - 1), np.diff(groups)), ~alone, window)
     found: dict[int, np.ndarray] = {}
     batch: list[int] = []
     total = 0
@@ -173,13 +205,16 @@ def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
     for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
         if b - a == 1:
             continue
-        batch += range(a, b)
-        total += int(own_size[a:b].sum())
+        some = a + np.flatnonzero(near[a:b])
+        batch += some.tolist()
+        total += int(own_size[some].sum())
         if total >= ARRAY_BYTES:
             solve()
             batch, total = [], 0
     if batch:
         solve()
+    for k in np.flatnonzero(~alone & ~near).tolist():  # shares no window: its own least document stands
+        found[k] = np.full(own_size[k] - window + 1, own_doc[k])
     out_doc, out_start, out_end = [], [], []
     full = alone[which] & (own_doc[which] < doc)
     out_doc.append(doc[full])
