@@ -152,7 +152,9 @@ def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
             bucket, band = group["bucket"][0].as_py(), group["band"][0].as_py()
             ids, labels, sizes = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
             slots = _slots(group["signature"].combine_chunks(), rule.slots)
-            bands = slots.reshape(len(ids), rule.bands, rule.rows)
+            codes = np.zeros((len(ids), band), np.uint64)  # of the bands before this one
+            for k in range(rule.rows):
+                codes = K.mix(codes + slots[:, k : band * rule.rows : rule.rows] + np.uint64(1))
             n = len(ids)
             for i in range(0, n, 256):
                 top = np.full(min(256, n - i), -1.0)
@@ -165,6 +167,9 @@ def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
                     if not best_only:
                         upper = p + i < q + j
                         p, q = p[upper], q[upper]
+                    for k in range(band):  # most pairs that share an earlier band go at the first few
+                        apart = codes[p + i, k] != codes[q + j, k]
+                        p, q = p[apart], q[apart]
                     left, right = [], []
                     for cut in range(0, len(p), 16_384):
                         pc, qc = p[cut : cut + 16_384], q[cut : cut + 16_384]
@@ -175,9 +180,6 @@ def _across(buckets: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
                             better = order[same[order] > top[pc[order]]]
                             top[pc[better]], partner[pc[better]] = same[better], ids[qc[better] + j]
                             continue
-                        if band and len(pc):
-                            earlier = (bands[pc + i, :band] == bands[qc + j, :band]).all(axis=2).any(axis=1)
-                            pc, qc = pc[~earlier], qc[~earlier]
                         left.append(ids[pc + i])
                         right.append(ids[qc + j])
                     if left and sum(map(len, left)):
