@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that an earlier one has; `n_chars` follows the text."""
-    out = lines.without_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Documents without runs of two or more lines that stand earlier; `n_chars` follows the text."""
+    out = lines.without_repeats(docs, lines.Rule(pairs=True)).withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(docs.columns)
 
 

@@ -6,6 +6,10 @@ cuts depend on the lines nearby alone, so texts that share a passage share its
 chunks wherever it stands. Of equal chunks of two or more lines anywhere in the
 corpus the first one stays. Hashes find the candidates; the chunks themselves
 are then the keys of a grouping and a join, which compare them byte by byte.
+
+Cuts miss what a passage shares before its first cut and after its last one, and
+one-line chunks. With `pairs`, every two lines in a row are a chunk as well, so
+any run of two or more lines that stands earlier in the corpus goes whole.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ class Rule:
     """A chunk ends at about one line in `every`; removed chunks have `fewest` lines or more.
 
     Hashes of repeated chunks are broadcast up to `broadcast_rows` of them (16
-    bytes each), else joined by a shuffle.
+    bytes each), else joined by a shuffle. With `pairs`, lines of a repeated pair
+    of neighbouring lines go too, unless both are blank.
     """
 
     every: int = 3
     fewest: int = 2
     broadcast_rows: int = 1_000_000
+    pairs: bool = False
 
 
 def line_hash(line: Column) -> Column:
@@ -59,25 +65,48 @@ def chunk_text(lines: Column, span: Column) -> Column:
 
 
 def _pieces(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, chunk (its end), hash and piece of each chunk that may be removed."""
-    rows = chunked(docs.filter("doc_id is not null").select("doc_id", "text"), rule)
+    """doc_id, chunk (its end), n_lines, pair, hash and piece of each chunk that may be removed."""
+    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    rows = chunked(known, rule)
     long = F.filter("__spans", lambda s: s["e"] - s["a"] >= rule.fewest)
     rows = rows.select("doc_id", "__lines", F.explode(long).alias("s"))
-    rows = rows.select("doc_id", F.col("s.e").alias("chunk"), chunk_text(F.col("__lines"), F.col("s")).alias("piece"))
+    rows = rows.select(
+        "doc_id",
+        F.col("s.e").alias("chunk"),
+        (F.col("s.e") - F.col("s.a")).alias("n_lines"),
+        F.lit(False).alias("pair"),
+        chunk_text(F.col("__lines"), F.col("s")).alias("piece"),
+    )
+    if rule.pairs:
+        rows = rows.unionByName(_pairs(known))
     return rows.withColumn("hash", F.xxhash64("piece"))
 
 
+def _pairs(docs: DataFrame) -> DataFrame:
+    """Every two neighbouring lines of which one is not blank, as a chunk of two lines."""
+    lines = docs.select("doc_id", F.split("text", "\n").alias("ls")).filter(F.size("ls") > 1)
+    pair = lambda e: F.concat(F.get(F.col("ls"), e - 2), F.lit("\n"), F.get(F.col("ls"), e - 1))
+    ends = F.transform(F.sequence(F.lit(2), F.size("ls")), lambda e: F.struct(e.alias("chunk"), pair(e).alias("piece")))
+    rows = lines.select("doc_id", F.inline(ends)).filter(F.col("piece").rlike("\\S"))
+    return rows.select("doc_id", "chunk", F.lit(2).alias("n_lines"), F.lit(True).alias("pair"), "piece")
+
+
 def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id and chunk of every chunk that equals an earlier one, by doc_id and then place."""
+    """doc_id, chunk and n_lines of every chunk that equals an earlier one, by doc_id and then place.
+
+    Pairs overlap; one that shares a line with the first of its kind is no repeat.
+    """
     pieces = _pieces(docs, rule)
-    found = pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    found = pieces.groupBy("hash", "pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "pair")
     found = materialise(found, "chunks")
     if found.count() <= rule.broadcast_rows:
         found = F.broadcast(found)
-    some = pieces.join(found, "hash", "left_semi")
-    firsts = some.groupBy("hash", "piece").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n"))
+    some = pieces.join(found, ["hash", "pair"], "left_semi")
+    key = ["hash", "pair", "piece"]
+    firsts = some.groupBy(*key).agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.filter("n > 1").drop("n")
-    return some.join(firsts, ["hash", "piece"]).filter(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
+    apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("chunk") - F.col("first.chunk") >= F.col("n_lines"))
+    return some.join(firsts, key).filter(apart).select("doc_id", "chunk", "n_lines")
 
 
 def without_repeats(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -88,22 +117,27 @@ def without_repeats(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     empty line. Rows with a null doc_id stay as they are and count for nothing;
     rows that repeat a doc_id count as one. Names with two leading underscores
     are taken, and columns n_lines and n_removed of `docs` are replaced.
+
+    A line goes with any repeated chunk that holds it; the first place of a line
+    in the corpus always stays, as each removal points to an earlier one.
     """
     rule = rule or Rule()
     gone = materialise(repeated(docs, rule), "repeats")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("chunk").alias("__gone"))
+    gone = gone.select("doc_id", F.sequence(F.col("chunk") - F.col("n_lines") + 1, F.col("chunk")).alias("at"))
+    gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("__gone"))
     rest = docs.drop("n_lines", "n_removed")
     # The list grows with the corpus, so it is never broadcast, however small it looks.
-    rows = chunked(rest.join(gone.hint("merge"), "doc_id", "left"), rule)
-    kept = F.filter("__spans", lambda s: ~F.array_contains("__gone", s["e"]))
-    text = F.array_join(F.transform(kept, lambda s: chunk_text(F.col("__lines"), s)), "\n")
-    taken = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + F.when(F.array_contains("__gone", s["e"]), s["e"] - s["a"]).otherwise(F.lit(0)))
+    rows = rest.join(gone.hint("merge"), "doc_id", "left")
+    rows = rows.withColumn("__lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
     changed = F.col("__gone").isNotNull() & F.col("text").isNotNull()
+    left = F.array_except(F.sequence(F.lit(1), F.size("__lines")), "__gone")
+    rows = rows.withColumn("__left", F.when(changed, left))
+    text = F.array_join(F.transform("__left", lambda i: F.get(F.col("__lines"), i - 1)), "\n")
     out = rows.withColumns(
         {
             "text": F.when(changed, text).otherwise(F.col("text")),
             "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("bigint"),
-            "n_removed": F.when(changed, taken).otherwise(F.lit(0)).cast("bigint"),
+            "n_removed": F.when(changed, F.size("__lines") - F.size("__left")).otherwise(F.lit(0)).cast("bigint"),
         }
     )
     return out.select(*rest.columns, "n_lines", "n_removed")
