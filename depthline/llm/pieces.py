@@ -3,7 +3,7 @@
 The agenda of a text holds its adjacent pairs of symbols that form a piece, in
 the order of score and then place; the best pair is joined until none is left,
 and symbols that are no piece become byte pieces. No piece reaches across the
-start of a run of spaces or a line end, so texts are cut there, and the agendas
+start of a run of spaces (U+0020 and U+2581) or a line end, so texts are cut there, and the agendas
 of all different cuts of an Arrow batch are worked off side by side: one row of
 pair scores for each cut, one join in every row at a time. Cuts of more than
 `WIDE` symbols have a heap of their own. `mismatches` holds ids and text against
@@ -202,6 +202,10 @@ class Vocabulary:
         if n == 0:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         space, alone = data == 0x20, self.alone[data]
+        bar = np.flatnonzero(data[:-2] == 0xE2) if n > 2 else np.zeros(0, np.int64)
+        bar = bar[(data[bar + 1] == 0x96) & (data[bar + 2] == 0x81)]
+        for k in range(3):  # a literal U+2581 is the same symbol as a space
+            space[bar + k] = True
         starts = np.zeros(n, bool)
         starts[new_off[:-1][sizes > 0]] = True
         starts[1:] |= (space[1:] & ~space[:-1]) | alone[:-1]
