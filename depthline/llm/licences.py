@@ -1,10 +1,13 @@
 """Licence scans: phrases in place, and an exact set-similarity join with notice templates.
 
-A text block is a line of a document, as the set of its words. A template is
-found where it is contained in a block: 100 * |template & block| >= percent *
-|template|. Words are ordered by how many documents hold them, rarest first.
-Only blocks that pass the prefix, length and positional filters of that order
-are compared; the filters drop no block that meets the threshold.
+A text block is a line of a document, or a window of words over the whole text a
+little longer than the template, as the set of its words; windows find notices
+that are wrapped over lines. A template is found where it is contained in a
+block: 100 * |template & block| >= percent * |template|. Words are ordered by how
+many documents hold them, rarest first. Only lines that pass the prefix, length
+and positional filters of that order are compared, and only windows that begin
+at a template word, of documents that hold enough of the template; the filters
+drop no block that meets the threshold.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ class Rule:
     phrases: tuple[tuple[str, str], ...] = PHRASES
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     percent: int = 90
+    slack: int = 25  # percent by which a window is longer than its template
     vocabulary: tuple[str, ...] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -56,6 +60,10 @@ class Rule:
         """Words of a template that a block has to share."""
         return -(-self.percent * len(set(template.split())) // 100)
 
+    def width(self, template: str) -> int:
+        """Words of a window that a template is sought in."""
+        return -(-(100 + self.slack) * len(template.split()) // 100)
+
 
 def words(text: Column) -> Column:
     """Lower-case words (A-Z only) of a text; null has none."""
@@ -106,11 +114,27 @@ def _share_of(ordered: list[str], rule: Rule, template: str) -> Callable[[Column
     return lambda block: _contained(block, ordered, rule, template)
 
 
+def _in_windows(tokens: Column, held: Column, ordered: list[str], rule: Rule, template: str) -> Column:
+    """Largest share of the template that a window of `tokens` holds, if it meets the threshold, else 0.
+
+    `held` has the template words of the whole text. A window that meets the
+    threshold still does when it is moved on to its first template word.
+    """
+    need, width = rule.least(template), rule.width(template)
+    own = set(template.split())
+    row = _strings([w for w in ordered if w in own])
+    places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(row, F.get(tokens, i)))
+    window = lambda i: F.transform(F.sequence(i, F.least(i + width, F.size(tokens)) - 1), lambda k: F.get(tokens, k))
+    most = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect(row, window(i)))))
+    enough = F.size(F.array_intersect(held, row)) >= need
+    return F.when(enough, F.when(most >= need, most / F.lit(float(len(own))))).otherwise(F.lit(0.0))
+
+
 def scan(docs: DataFrame, rule: Rule | None = None, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`keys`, n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
 
     `score` is 1 for a document with a phrase in place, else the largest share
-    of a template found in a block, else 0. Null and empty texts have no words
+    of a template found in a line or window, else 0. Null and empty texts have no words
     and no labels. Each row is judged by itself, so ids may be null or repeated;
     other columns are left out.
     """
@@ -124,16 +148,22 @@ def scan(docs: DataFrame, rule: Rule | None = None, keys: Sequence[str] = ("doc_
         "text",
         F.size("__words").cast("bigint").alias("n_words"),
         F.arrays_overlap("__words", _strings(rarest)).alias("__some"),
+        "__words",
         *[_places(F.col("__words"), p).alias(f"__p{i}") for i, (p, _) in enumerate(rule.phrases)],
     )
     line_words = lambda line: F.array_intersect(_strings(ordered), words(line))
     fewest = min(rule.least(t) for t, _ in rule.templates)
     blocks = F.filter(F.transform(F.split(F.col("text"), "\n"), line_words), lambda b: F.size(b) >= fewest)
     base = base.withColumn("__blocks", F.when(F.col("__some"), blocks).otherwise(F.array().cast("array<array<string>>")))
+    held = F.array_intersect(_strings(ordered), F.col("__words"))
+    base = base.withColumn("__held", F.when(F.col("__some"), held).otherwise(F.array().cast("array<string>")))
     base = base.select(
         "*",
         *[
-            F.coalesce(F.array_max(F.transform("__blocks", _share_of(ordered, rule, t))), F.lit(0.0)).alias(f"__t{i}")
+            F.greatest(
+                F.coalesce(F.array_max(F.transform("__blocks", _share_of(ordered, rule, t))), F.lit(0.0)),
+                F.coalesce(_in_windows(F.col("__words"), F.col("__held"), ordered, rule, t), F.lit(0.0)),
+            ).alias(f"__t{i}")
             for i, (t, _) in enumerate(rule.templates)
         ],
     )
@@ -161,7 +191,7 @@ def _prefix(ordered: list[str], rule: Rule, template: str) -> list[str]:
 
 
 def oracle(rule: Rule | None = None) -> str:
-    """The scan in DuckDB SQL, by comparing every line with every template."""
+    """The scan in DuckDB SQL, by comparing every line with every template; it has no windows."""
     rule = rule or Rule()
     def split(text: str) -> str:
         low = f"translate({text}, '{_UPPER}', '{_LOWER}')"
