@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthline.llm import decontaminate, language, licences, lines, minhash, pieces, quality, substrings, suffix, warc
+from depthline.llm import boundaries, decontaminate, language, licences, lines, minhash, pieces, quality, substrings
+from depthline.llm import suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,13 @@ def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_seed_extend")
 def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op11_boundaries", boundaries.ORACLE)
+def op11_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = boundaries.transform(table(spark, sf_dir, "documents"))
+    whole = boundaries.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"),
+    )
