@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthline.llm import boundaries, decontaminate, language, licences, lines, minhash, pieces, quality, substrings
-from depthline.llm import suffix, warc
+from depthline.llm import suffix, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"])
@@ -118,3 +124,8 @@ def op11_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"),
     )
+
+
+@query("op12_distinct_words")
+def op12_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode_digests(table(spark, sf_dir, "documents"), word_model(), ["doc_id"])
