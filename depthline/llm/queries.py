@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthline.llm import boundaries, decontaminate, language, licences, lines, minhash, pieces, quality, substrings
-from depthline.llm import suffix, warc, wordbpe
+from depthline.llm import boundaries, decontaminate, language, licences, lines, minhash, pieces, prefixtrie
+from depthline.llm import quality, substrings, suffix, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,9 @@ def op11_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_distinct_words")
 def op12_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode_digests(table(spark, sf_dir, "documents"), word_model(), ["doc_id"])
+
+
+@query("op13_zfast_trie", prefixtrie.ORACLE)
+def op13_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefixtrie.nodes(*prefixtrie.shared_heads(turns))
