@@ -173,7 +173,11 @@ def waveform_shape(recovery_offset: int = 5):
 
 
 def total_variation(image: np.ndarray, weight: float, max_iter: int = 200, tol: float = 2e-4) -> np.ndarray:
-    """Minimise 0.5*|u-f|^2 + weight*TV(u) by dual projection (Chambolle 2004)."""
+    """Minimise 0.5*|u-f|^2 + weight*TV(u) by dual projection (Chambolle 2004).
+
+    Stops once that sum changes by `tol` of itself or less, or after `max_iter`
+    steps; both are part of the definition.
+    """
     if not weight > 0:
         return image.copy()
     step = 0.25
@@ -200,32 +204,113 @@ def total_variation(image: np.ndarray, weight: float, max_iter: int = 200, tol:
     return u
 
 
-def fill_grid(values: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Fill NaNs of a (depth, lateral) grid: linear along depth, then nearest.
+#: Points of the plane that are placed in a triangulation at a time.
+_PLACED_AT_ONCE = 256
+
+
+def _least_corners(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point (x, y), three sites and their weights; weight on a site number of n or more is outside the hull.
 
-    The ends of a column and empty columns take the nearest value, by distance
-    in the plane.
+    The Delaunay triangle of a point has, of all triangles of sites around it,
+    the least weighted sum of squared distances; the sums of squared site numbers
+    decide between sites on one circle. That is a linear programme in three
+    corners. All points start in a triangle far outside and change one corner at
+    a time; corners outside count before anything else.
+    """
+    n = px.size
+    centre_x, centre_y = (px.min() + px.max()) / 2, (py.min() + py.max()) / 2
+    far = 8 * (np.hypot(np.ptp(px), np.ptp(py)) + np.hypot(x - centre_x, y - centre_y).max(initial=0.0) + 1.0)
+    sx = np.concatenate([px - centre_x, far * np.array([-1.0, 1.0, 0.0])])
+    sy = np.concatenate([py - centre_y, far * np.array([-1.0, -1.0, 1.0])])
+    number = np.arange(n + 3, dtype=float)
+    outside = (number >= n).astype(float)
+    # Sites have no distance cost outside, where the first cost decides.
+    costs = [outside, np.where(outside > 0, 0.0, sx**2 + sy**2), np.where(outside > 0, 0.0, number**2)]
+    scales = [1.0, max(1.0, float(costs[1].max())), max(1.0, float(costs[2].max()))]
+    gx, gy = x - centre_x, y - centre_y
+    corner = np.tile(np.arange(n, n + 3), (x.size, 1))
+    sites = np.stack([np.ones(n + 3), sx, sy])
+    open_ = np.arange(x.size)
+    weight = np.zeros((x.size, 3))
+    for turn in range(50 * (n + 3)):
+        basis = np.stack([np.ones((open_.size, 3)), sx[corner[open_]], sy[corner[open_]]], axis=1)
+        inverse = np.linalg.inv(basis)
+        weight[open_] = np.einsum("mij,mj->mi", inverse, np.stack([np.ones(open_.size), gx[open_], gy[open_]], axis=1))
+        tied = np.ones((open_.size, n + 3), bool)
+        better = np.zeros((open_.size, n + 3), bool)
+        worth = np.zeros((open_.size, n + 3))
+        for cost, scale in zip(costs, scales):
+            plane = np.einsum("mi,mij->mj", cost[corner[open_]], inverse) @ sites
+            gain = (cost[None, :] - plane) / scale
+            found = tied & (gain < -1e-9)
+            worth = np.where(found & ~better, gain, worth)
+            better |= found
+            tied &= np.abs(gain) <= 1e-9
+            if better.any(axis=1).all():
+                break
+            better_rows = better.any(axis=1)
+            tied[better_rows] = False  # a cost that can be lowered comes before the next one
+        busy = better.any(axis=1)
+        open_, inverse, better, worth = open_[busy], inverse[busy], better[busy], worth[busy]
+        if not open_.size:
+            break
+        # The best change at first; later the first one, which never runs in a circle.
+        enter = worth.argmin(axis=1) if turn < 4 * n + 20 else better.argmax(axis=1)
+        move = np.einsum("mij,jm->mi", inverse, sites[:, enter])
+        held = np.maximum(weight[open_], 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(move > 1e-12, held / move, np.inf)
+        least = ratio.min(axis=1, keepdims=True)
+        among = np.where(ratio <= least + 1e-12, corner[open_], n + 3)
+        corner[open_, among.argmin(axis=1)] = enter
+    return corner, weight
+
+
+def plane_weights(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sites and weights (three for each point) of linear interpolation on the Delaunay triangulation of the sites.
+
+    Outside the hull all weight is on the nearest site, the first of equals.
+    """
+    sites, weights = np.zeros((x.size, 3), np.int64), np.zeros((x.size, 3))
+    for a in range(0, x.size, _PLACED_AT_ONCE):
+        part = slice(a, a + _PLACED_AT_ONCE)
+        corner, weight = _least_corners(px, py, x[part], y[part])
+        weight = np.where(np.abs(weight) < 1e-9, 0.0, weight)
+        beyond = ((corner >= px.size) & (weight > 0)).any(axis=1)
+        if beyond.any():
+            distance = np.hypot(y[part][beyond, None] - py[None, :], x[part][beyond, None] - px[None, :])
+            corner[beyond] = distance.argmin(axis=1)[:, None]
+            weight[beyond] = (1.0, 0.0, 0.0)
+        sites[part], weights[part] = np.where(corner >= px.size, 0, corner), weight
+    return sites, weights
+
+
+def fill_grid(values: np.ndarray, xs: np.ndarray, ys: np.ndarray, seen: dict | None = None) -> np.ndarray:
+    """Fill NaNs of a (depth, lateral) grid over the plane.
+
+    Places between known sites get the linear interpolation on the sites'
+    triangulation, others the nearest site's value. Sites are numbered by depth,
+    then lateral position. `seen` keeps the weights of a pattern of gaps for the
+    next grid that has the same.
     """
+    known = ~np.isnan(values)
+    gaps = np.argwhere(~known)
+    if not gaps.size or not known.any():
+        return values.copy()
+    key = known.tobytes()
+    if seen is None or key not in seen:
+        at = np.argwhere(known)
+        found = plane_weights(xs[at[:, 1]], ys[at[:, 0]], xs[gaps[:, 1]], ys[gaps[:, 0]])
+        if seen is not None:
+            seen[key] = found
+    else:
+        found = seen[key]
     filled = values.copy()
-    for j in range(values.shape[1]):
-        ok = np.flatnonzero(~np.isnan(values[:, j]))
-        if ok.size > 1:
-            inner = slice(ok[0], ok[-1] + 1)
-            filled[inner, j] = np.interp(ys[inner], ys[ok], values[ok, j])
-    gaps = np.argwhere(np.isnan(filled))
-    if gaps.size:
-        known = np.argwhere(~np.isnan(values))
-        if known.size == 0:
-            return filled
-        distance = np.hypot(
-            ys[gaps[:, :1]] - ys[known[:, 0]][None, :], xs[gaps[:, 1:]] - xs[known[:, 1]][None, :]
-        )
-        nearest = known[distance.argmin(axis=1)]
-        filled[gaps[:, 0], gaps[:, 1]] = values[nearest[:, 0], nearest[:, 1]]
+    filled[gaps[:, 0], gaps[:, 1]] = (values[known][found[0]] * found[1]).sum(axis=1)
     return filled
 
 
-def smooth_on_grid(feature: np.ndarray, x: np.ndarray, y: np.ndarray, fac: float) -> np.ndarray:
+def smooth_on_grid(feature: np.ndarray, x: np.ndarray, y: np.ndarray, fac: float, seen: dict | None = None) -> np.ndarray:
     """Total-variation smoothing of one feature of one probe; NaNs are filled first."""
     xs, col = np.unique(x, return_inverse=True)
     ys, row = np.unique(y, return_inverse=True)
@@ -233,7 +318,7 @@ def smooth_on_grid(feature: np.ndarray, x: np.ndarray, y: np.ndarray, fac: float
     grid[row, col] = feature
     if np.isnan(feature).all():
         return feature
-    filled = fill_grid(grid, xs, ys)
+    filled = fill_grid(grid, xs, ys, seen)
     smoothed = total_variation(filled, float(np.median(np.abs(filled))) * fac)
     return smoothed[row, col]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,12 +152,42 @@ def surface_of(volume: DataFrame, column_keys: Sequence[str], depth: str | Colum
     return volume.filter(marker).groupBy(*column_keys).agg(F.min(d).alias("hull"))
 
 
+def fill_plane(df: DataFrame, features: Sequence[str], keys: Sequence[str] = RECORDING) -> DataFrame:
+    """Every place of a probe's site grid (`axial_um`, `lateral_um`) with all features known.
+
+    The grid has each depth with each lateral position that a site of the probe
+    has. Channels not labelled 0, and NULL or NaN values, are gaps: between known
+    sites they get the linear interpolation on the sites' triangulation,
+    elsewhere the nearest site's value. A feature without a known value is NULL.
+    A group is one probe, whose sites are bounded by the hardware.
+    """
+    names = list(features)
+    columns = [*keys, "axial_um", "lateral_um"]
+    masked = null_unless_good(df.withColumns({n: F.col(n).cast("double") for n in names}), names).select(*columns, *names)
+    schema = T.StructType([*masked.select(*columns).schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, col = np.unique(pdf["lateral_um"].to_numpy(float), return_inverse=True)
+        ys, row = np.unique(pdf["axial_um"].to_numpy(float), return_inverse=True)
+        out = {k: pdf[k].iloc[0] for k in keys}
+        out |= {"axial_um": np.repeat(ys, xs.size), "lateral_um": np.tile(xs, ys.size)}
+        seen: dict = {}
+        for n in names:
+            grid = np.full((ys.size, xs.size), np.nan)
+            grid[row, col] = pdf[n].to_numpy(float)
+            out[n] = K.fill_grid(grid, xs, ys, seen).ravel()
+        return pd.DataFrame(out)
+
+    return masked.groupBy(*keys).applyInPandas(fill, schema)
+
+
 def denoise_features(
     df: DataFrame, features: Sequence[str] | None = None, fac: float = 1.0, keys: Sequence[str] = RECORDING
 ) -> DataFrame:
     """Total-variation smoothing of every feature over the site grid of each probe.
 
-    Channels not labelled 0 are discarded and filled from their neighbours. A
+    Channels not labelled 0 are discarded and filled from the triangulation of
+    the others. A
     group is one probe: its sites are bounded by the hardware. All features of
     the probe are handled in one call, so the table is shuffled once.
     """
@@ -168,6 +199,7 @@ def denoise_features(
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["lateral_um"].to_numpy(float), pdf["axial_um"].to_numpy(float)
-        return pdf.assign(**{n: K.smooth_on_grid(pdf[n].to_numpy(float), x, y, fac) for n in names})
+        seen: dict = {}  # most features of a probe have their gaps at the same sites
+        return pdf.assign(**{n: K.smooth_on_grid(pdf[n].to_numpy(float), x, y, fac, seen) for n in names})
 
     return masked.groupBy(*keys).applyInPandas(smooth, schema)

@@ -446,12 +446,84 @@ def voxel_lookup(spark, sf_dir):
     return out.select("vec_id", "ap", "ml", "dv", "label")
 
 
-@query("tv_denoise")
-def tv_denoise(spark, sf_dir):
-    """Total-variation smoothing; checked by invariants and against a plain solver in the tests."""
-    rows = _with_labels(S.traces(spark, sf_dir)).select(
+# Places of the plane and their values: known sites, the Delaunay triangle of a gap (of its 24 nearest sites, the three
+# around it with the least weighted sum of squared distances), or the nearest site where no triangle holds it.
+PLANE_SQL = f"""
+{SM}, rms AS (SELECT pid, snippet, channel, sqrt(avg(x * x)) AS rms FROM sm GROUP BY ALL),
+site AS (SELECT pid, snippet, channel, axial_um AS y, lateral_um AS x, coalesce({LABEL_SQL} = 0, false) AS good, rms,
+                CAST(embedding[1] AS DOUBLE) AS first FROM tr JOIN rms USING (pid, snippet, channel)),
+known AS (SELECT *, row_number() OVER (PARTITION BY pid, snippet ORDER BY y, x) - 1 AS i FROM site WHERE good),
+grid AS (SELECT DISTINCT a.pid, a.snippet, a.y, b.x FROM site a JOIN site b USING (pid, snippet)),
+gap AS (SELECT g.* FROM grid g ANTI JOIN known USING (pid, snippet, y, x)),
+near AS (
+  SELECT gap.pid, gap.snippet, gap.y, gap.x, k.i, k.y - gap.y AS dy, k.x - gap.x AS dx, k.rms, k.first,
+         pow(k.y - gap.y, 2) + pow(k.x - gap.x, 2) AS d2
+  FROM gap JOIN known k USING (pid, snippet)
+  QUALIFY row_number() OVER (PARTITION BY gap.pid, gap.snippet, gap.y, gap.x ORDER BY d2, i) <= 24),
+tri AS (
+  SELECT a.pid, a.snippet, a.y, a.x, (b.dx - a.dx) * (c.dy - a.dy) - (c.dx - a.dx) * (b.dy - a.dy) AS whole,
+         (b.dx * c.dy - c.dx * b.dy) / whole AS wa, (c.dx * a.dy - a.dx * c.dy) / whole AS wb,
+         (a.dx * b.dy - b.dx * a.dy) / whole AS wc, wa * a.d2 + wb * b.d2 + wc * c.d2 AS far,
+         wa * a.i * a.i + wb * b.i * b.i + wc * c.i * c.i AS num, wa * a.rms + wb * b.rms + wc * c.rms AS rms,
+         wa * a.first + wb * b.first + wc * c.first AS first
+  FROM near a JOIN near b USING (pid, snippet, y, x) JOIN near c USING (pid, snippet, y, x)
+  WHERE a.i < b.i AND b.i < c.i AND (b.dx - a.dx) * (c.dy - a.dy) <> (c.dx - a.dx) * (b.dy - a.dy)),
+inside AS (SELECT pid, snippet, y, x, rms, first FROM tri WHERE least(wa, wb, wc) >= -1e-9
+  QUALIFY row_number() OVER (PARTITION BY pid, snippet, y, x ORDER BY round(far, 6), round(num, 6)) = 1),
+plane AS (
+  SELECT pid, snippet, y, x, rms, first FROM known
+  UNION ALL SELECT * FROM inside
+  UNION ALL (SELECT pid, snippet, y, x, rms, first FROM near ANTI JOIN inside USING (pid, snippet, y, x)
+             QUALIFY row_number() OVER (PARTITION BY pid, snippet, y, x ORDER BY d2, i) = 1))
+"""
+
+
+def _smoothing_rows(spark, sf_dir):
+    return _with_labels(S.traces(spark, sf_dir)).select(
         *KEY, "axial_um", "lateral_um", "labels", A.rms("samples").alias("rms_ap"), F.get("samples", 0).cast("double").alias("rms_lf")
     )
-    return X.denoise_features(rows, ["rms_ap", "rms_lf"])
 
 
+@query(
+    "plane_fill",
+    f"WITH {PLANE_SQL} SELECT pid, snippet, y AS axial_um, x AS lateral_um, {r('rms')} AS rms_ap, {r('first')} AS rms_lf FROM plane",
+)
+def plane_fill(spark, sf_dir):
+    out = X.fill_plane(_smoothing_rows(spark, sf_dir), ["rms_ap", "rms_lf"])
+    return out.withColumns({c: C.rounded(c) for c in ("rms_ap", "rms_lf")})
+
+
+@query(
+    "tv_denoise",
+    f"""WITH RECURSIVE {PLANE_SQL},
+cell AS (SELECT pid, snippet, y, x, unnest(['ap', 'lf']) AS name, unnest([rms, first]) AS f FROM plane),
+image AS (SELECT *, median(abs(f)) OVER (PARTITION BY pid, snippet, name) AS w FROM cell),
+steps AS (
+  SELECT pid, snippet, name, y, x, f, w, 0 AS k, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, f AS u,
+         NULL::DOUBLE AS ep, false AS done
+  FROM image
+  UNION ALL
+  SELECT pid, snippet, name, y, x, f, w, k + 1, (p0 - 0.25 / w * g0) / (1 + 0.25 / w * sqrt(g0 * g0 + g1 * g1)),
+         (p1 - 0.25 / w * g1) / (1 + 0.25 / w * sqrt(g0 * g0 + g1 * g1)), v, e, coalesce(abs(ep - e) <= 2e-4 * ep, false)
+  FROM (
+    SELECT *, sum((v - f) * (v - f) / 2 + w * sqrt(g0 * g0 + g1 * g1)) OVER (PARTITION BY pid, snippet, name) AS e
+    FROM (
+      SELECT *, coalesce(lead(v) OVER down - v, 0) AS g0, coalesce(lead(v) OVER across - v, 0) AS g1
+      FROM (
+        SELECT *, f - w * (p0 - coalesce(lag(p0) OVER down, 0) + p1 - coalesce(lag(p1) OVER across, 0)) AS v
+        FROM steps WHERE NOT done AND k < 200
+        WINDOW down AS (PARTITION BY pid, snippet, name, x ORDER BY y), across AS (PARTITION BY pid, snippet, name, y ORDER BY x)
+      ) WINDOW down AS (PARTITION BY pid, snippet, name, x ORDER BY y), across AS (PARTITION BY pid, snippet, name, y ORDER BY x)
+    )
+  )
+),
+last AS (SELECT pid, snippet, name, y, x, u FROM steps
+         QUALIFY k = max(k) OVER (PARTITION BY pid, snippet, name))
+SELECT s.pid, s.snippet, s.channel, s.y AS axial_um, s.x AS lateral_um, l.labels, {r('a.u')} AS rms_ap, {r('b.u')} AS rms_lf
+FROM site s JOIN (SELECT pid, snippet, channel, {LABEL_SQL} AS labels FROM tr) l USING (pid, snippet, channel)
+JOIN last a ON a.name = 'ap' AND a.pid = s.pid AND a.snippet = s.snippet AND a.y = s.y AND a.x = s.x
+JOIN last b ON b.name = 'lf' AND b.pid = s.pid AND b.snippet = s.snippet AND b.y = s.y AND b.x = s.x""",
+)
+def tv_denoise(spark, sf_dir):
+    out = X.denoise_features(_smoothing_rows(spark, sf_dir), ["rms_ap", "rms_lf"])
+    return out.withColumns({c: C.rounded(c) for c in ("rms_ap", "rms_lf")})

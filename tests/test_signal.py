@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +245,52 @@ def test_denoise_fills_bad_channels_and_keeps_other_columns(spark):
     assert [r["keep"] for r in out] == list(range(NC))
 
 
+def plainly_placed(px, py, x, y):
+    """Weights of one point by trying all triangles: least weighted squared distance, then least squared numbers."""
+    best = None
+    for i, j, k in itertools.combinations(range(px.size), 3):
+        whole = (px[j] - px[i]) * (py[k] - py[i]) - (px[k] - px[i]) * (py[j] - py[i])
+        if whole == 0:
+            continue
+        a = ((px[j] - x) * (py[k] - y) - (px[k] - x) * (py[j] - y)) / whole
+        b = ((px[k] - x) * (py[i] - y) - (px[i] - x) * (py[k] - y)) / whole
+        w = np.array([a, b, 1 - a - b])
+        if w.min() < -1e-12:
+            continue
+        at = np.array([i, j, k])
+        key = (round(w @ ((px[at] - x) ** 2 + (py[at] - y) ** 2), 6), round(w @ at**2, 6))
+        if best is None or key < best[0]:
+            best = key, at, w
+    if best is None:
+        return np.array([np.hypot(py - y, px - x).argmin()]), np.ones(1)
+    return best[1], best[2]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_gaps_of_the_plane_against_all_triangles(seed):
+    rng = np.random.default_rng(seed)
+    x, y = layout(24) if seed % 2 else (np.tile([0.0, 16.0, 32.0], 8), np.repeat(np.arange(8) * 20.0, 3))
+    keep = rng.random(24) < 0.6
+    order = np.lexsort((x[keep], y[keep]))
+    px, py, value = x[keep][order], y[keep][order], rng.normal(size=keep.sum())
+    gx, gy = (g.ravel() for g in np.meshgrid(np.unique(x), np.unique(y)))
+    sites, weights = K.plane_weights(px, py, gx, gy)
+    for got, w, at in zip(sites, weights, zip(gx, gy)):
+        want, v = plainly_placed(px, py, *at)
+        assert value[got] @ w == pytest.approx(value[want] @ v, abs=1e-9)
+
+
+def test_gaps_by_hand():
+    # The point lies in the triangle of (0, 0), (4, 0) and (0, 4): 1/2, 1/4, 1/4.
+    sites, weights = K.plane_weights(np.array([0.0, 4.0, 0.0]), np.array([0.0, 0.0, 4.0]), np.array([1.0, 9.0]), np.array([1.0, 1.0]))
+    assert np.array([10.0, 20.0, 40.0])[sites[0]] @ weights[0] == pytest.approx(20.0)
+    assert sites[1, weights[1] > 0].tolist() == [1]  # outside: the nearest
+    line, w = K.plane_weights(np.zeros(3), np.array([0.0, 20.0, 40.0]), np.array([0.0, 5.0]), np.array([15.0, 39.0]))
+    assert np.array([0.0, 4.0, 9.0])[line[0]] @ w[0] == pytest.approx(3.0)  # sites on one line
+    assert line[1, w[1] > 0].tolist() == [2]
+    assert np.isnan(K.fill_grid(np.full((2, 2), np.nan), np.arange(2.0), np.arange(2.0))).all()
+
+
 def test_radius_neighbours_against_brute_force(spark):
     sites = frame(spark, np.ones((NC, 2)))
     x, y = layout(NC)
