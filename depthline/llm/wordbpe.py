@@ -1,11 +1,11 @@
 """Encoding and decoding with a word-end BPE vocabulary, through a table of distinct words.
 
-Texts are split into words in Spark tasks. A block of texts keeps one list of
-its distinct words and, for each text, the places of its words in that list.
-All blocks' lists together give the table of distinct words; each of these is
-encoded once, and a join with the table of pieces gives what its ids decode to.
-The results go back to the blocks by place, so that a word travels once for each
-block that holds it and not once for each time that it stands there.
+Texts are split into words in Spark tasks. A block of texts has one list of its
+distinct words and, for each text, the places of its words in that list. All
+blocks' lists are shuffled by word, so that each distinct word is encoded once;
+the ids go back to the blocks and are joined to the texts by place. A word
+travels once for each block that holds it and not once for each time that it
+stands there. Ids are decoded through a join with the pieces of the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthline.session import materialise
-
 #: Text of a block, in characters; a longer text is a block of its own.
 BLOCK_CHARS = 32 << 20
+#: Places that a task packs at a time before it sends them back to their blocks.
+PACKED_PLACES = 4_000_000
 #: Words with more symbols than this have a heap of pairs.
 LONG_WORD = 48
 
@@ -95,6 +95,7 @@ class Vocabulary:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that match as plain text are needed")
         self.pieces = {i: p for p, i in [*ids.items(), *self.special.items()]}
+        self.in_order = [self.pieces.get(i, "") for i in range(max(self.pieces) + 1)]
         letters = byte_alphabet()
         self.inner = [ids[c] for c in letters]
         self.last = [ids[c + end] for c in letters]
@@ -177,111 +178,147 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _blocks(rows: DataFrame, keys: list[str], unit: str, split: Callable[[], Callable]) -> DataFrame:
-    """A written table of blocks: their distinct units, their rows' keys, and the places of the rows' units.
-
-    `split()` gives the function from a column's values to lists of units. A
-    block is named by its partition and number, which hold as the table is
-    written once. Units stand in the order in which they come first.
-    """
-    fields = [f"`{k}`: {t}" for k, t in rows.select(*keys).dtypes]
-    key_struct = f"struct<{', '.join([*fields, '`__n`: bigint'])}>"
+@dataclass
+class _Block:
+    """Texts of one task, looked at together: distinct units in the order in which they come first."""
+
+    index: dict = field(default_factory=dict)
+    places: array = field(default_factory=lambda: array("I"))
+    counts: list = field(default_factory=list)
+    slices: list = field(default_factory=list)
+    size: int = 0
+
+    def name(self, number: int) -> bytes:
+        """Task, number in the task, and a digest of the units: the same each time that the texts are read."""
+        place = (TaskContext.get().partitionId() << 32 | number).to_bytes(8, "big")
+        return place + hashlib.sha256("\0".join(map(str, self.index)).encode()).digest()[:8]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], split: Callable[[], Callable]) -> Iterator[tuple[bytes, _Block]]:
+    """Blocks of the rows of a task; `split()` gives the function from a column to sizes and lists of units."""
+    cut, block, number = split(), _Block(), 0
+    for batch in batches:
+        first = 0
+        for k, (size, units) in enumerate(cut(batch["__value"])):
+            if block.counts and block.size + size > BLOCK_CHARS:
+                block.slices.append(batch.slice(first, k - first))
+                yield block.name(number), block
+                block, number, first = _Block(), number + 1, k
+            index = block.index
+            block.places.extend([index.setdefault(u, len(index)) for u in units])
+            block.counts.append(len(units))
+            block.size += size
+        block.slices.append(batch.slice(first))
+    if block.counts:
+        yield block.name(number), block
+
+
+def _units(rows: DataFrame, split: Callable[[], Callable], unit: str) -> DataFrame:
+    """`block`, `at` and `unit` of all distinct units of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = split()
-        partition, number = TaskContext.get().partitionId(), 0
-        index: dict = {}
-        places, chars, columns, counts = array("I"), 0, [[] for _ in keys], []
+        for name, block in _cut(batches, split):
+            units = pa.array(list(block.index), pa.string() if unit == "string" else pa.int32())
+            for i in range(0, len(units), 100_000):
+                part = units.slice(i, 100_000)
+                at = pa.array(np.arange(i, i + len(part), dtype=np.int32))
+                named = pa.repeat(pa.scalar(name, pa.binary()), len(part))
+                yield pa.RecordBatch.from_arrays([named, at, part], ["block", "at", "unit"])
 
-        def flush() -> pa.RecordBatch:
-            nonlocal number, index, places, chars, columns, counts
-            held = [pa.concat_arrays(c) for c in columns] + [pa.array(counts, pa.int64())]
-            struct = pa.StructArray.from_arrays(held, [*keys, "__n"])
-            units = pa.array(list(index), pa.string() if unit == "string" else pa.int32())
-            out = pa.RecordBatch.from_arrays(
+    return rows.mapInArrow(run, f"block binary, at int, unit {unit}")
+
+
+def _places(rows: DataFrame, keys: list[str], split: Callable[[], Callable]) -> DataFrame:
+    """`block`, `rows` (keys and number of units of each row) and the packed `places` of their units."""
+    fields = ", ".join([*[f"`{k}`: {t}" for k, t in rows.select(*keys).dtypes], "`__n`: bigint"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in _cut(batches, split):
+            held = [pa.concat_arrays([s[k] for s in block.slices]) for k in keys]
+            struct = pa.StructArray.from_arrays([*held, pa.array(block.counts, pa.int64())], [*keys, "__n"])
+            packed = _packed(np.frombuffer(block.places, np.uint32))
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(partition << 32) | number], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units),
+                    pa.array([name], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct),
-                    pa.array([zstandard.compress(places.tobytes(), 3)], pa.binary()),
+                    pa.array([packed], pa.binary()),
                 ],
-                ["block", "units", "rows", "places"],
+                ["block", "rows", "places"],
             )
-            number += 1
-            index, places, chars, columns, counts = {}, array("I"), 0, [[] for _ in keys], []
-            return out
 
-        for batch in batches:
-            first = 0
-            for k, (size, units) in enumerate(cut(batch["__value"])):
-                if chars and chars + size > BLOCK_CHARS:
-                    for c, name in zip(columns, keys):
-                        c.append(batch[name].slice(first, k - first))
-                    yield flush()
-                    first = k
-                chars += size
-                counts.append(len(units))
-                places.extend([index.setdefault(u, len(index)) for u in units])
-            for c, name in zip(columns, keys):
-                c.append(batch[name].slice(first))
-        if counts:
-            yield flush()
+    return rows.mapInArrow(run, f"block binary, rows array<struct<{fields}>>, places binary")
 
-    schema = f"block bigint, units array<{unit}>, rows array<{key_struct}>, places binary"
-    return materialise(rows.mapInArrow(run, schema), "blocks")
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
-def _assembled(blocks: DataFrame, found: DataFrame, keys: list[str], finish: Callable, made: str) -> DataFrame:
-    """Rows of all blocks with what `finish` makes of the units of each.
 
-    `found` has a row for each unit: `unit` and its payload columns. `finish`
-    gets the payload rows of a block with their places `at`, the places of all
-    units of the block's rows, and the number of units of each row.
-    """
-    by_place = (
-        blocks.select("block", F.posexplode("units").alias("at", "unit")).join(found, "unit").drop("unit")
-    )
-    key_types = dict(blocks.selectExpr("inline(rows)").dtypes)
-    schema = ", ".join([*[f"`{k}` {key_types[k]}" for k in keys], made])
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _assembled(places: DataFrame, payload: DataFrame, keys: list[str], finish: Callable, made: str) -> DataFrame:
+    """Rows of all blocks with what `finish` makes of their places and of the block's rows of `payload`."""
+    kinds = dict(places.selectExpr("inline(rows)").dtypes)
     names = [part.split()[0] for part in made.split(", ")]
 
     def run(block: pa.Table, units: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            raise RuntimeError("the texts were not the same when they were read again; write the table first")
         rows = block["rows"].combine_chunks().flatten()
-        packed = block["places"][0].as_py()
-        places = np.frombuffer(zstandard.decompress(packed), np.uint32)
-        counts = rows.field("__n").to_numpy()
-        columns = finish(units.combine_chunks(), places, np.concatenate([[0], np.cumsum(counts)]))
+        at = _unpacked(block["places"][0].as_py())
+        columns = finish(units, at, np.concatenate([[0], np.cumsum(rows.field("__n").to_numpy())]))
         return pa.Table.from_arrays([*[rows.field(k) for k in keys], *columns], [*keys, *names])
 
-    whole = blocks.select(F.col("block").alias("of"), "rows", "places")
-    return whole.groupBy("of").cogroup(by_place.groupBy("block")).applyInArrow(run, schema)
+    whole = places.withColumnRenamed("block", "of").groupBy("of")
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], made])
+    return whole.cogroup(payload.groupBy("block")).applyInArrow(run, schema)
 
 
 def _rows(docs: DataFrame, keys: list[str], column: str) -> DataFrame:
     return docs.select(*keys, F.col(column).alias("__value"))
 
 
-def _pieces(docs: DataFrame, model: str) -> DataFrame:
-    """The table of pieces (`id`, `piece`); it has the size of the vocabulary, which bounds its broadcast."""
-    return docs.sparkSession.createDataFrame(sorted(vocabulary(model).pieces.items()), "id int, piece string")
-
+def encoded_words(units: DataFrame, model: str) -> DataFrame:
+    """Ids of all units, packed for each block: places, numbers of ids, and ids.
 
-def distinct_words(blocks: DataFrame, model: str) -> DataFrame:
-    """`unit` (a word), its `ids` and the text that they decode to, once for each word of all blocks."""
+    Units are shuffled by word and sorted, so each distinct word is encoded once,
+    whatever the number of its blocks. A task sends a block's places back in one
+    row, or in one for every `PACKED_PLACES` that the task has read.
+    """
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for words in batches:
-            yield pd.Series([v.encode_word(w) for w in words])
+        held: dict[bytes, tuple[array, array, array]] = {}
+        n, last, ids = 0, None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = [[_packed(np.frombuffer(c[k], np.uint32)) for c in held.values()] for k in range(3)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.binary()) for c in (list(held), *columns)], ["block", "at", "counts", "ids"]
+            )
+
+        for batch in batches:
+            for block, at, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != last:
+                    last, ids = unit, v.encode_word(unit)
+                if block not in held:
+                    held[block] = array("I"), array("I"), array("I")
+                places, counts, flat = held[block]
+                places.append(at)
+                counts.append(len(ids))
+                flat.extend(ids)
+                n += 1
+            if n > PACKED_PLACES:
+                yield flush()
+                held, n = {}, 0
+        if held:
+            yield flush()
 
-    # Not to be moved below `distinct`, where it would run on every block's words.
-    once = encoded.asNondeterministic()
-    words = blocks.select(F.explode("units").alias("unit")).distinct().withColumn("ids", once("unit"))
-    # Exploded, joined and grouped by the same word: the rows stay where `distinct` has put them.
-    joined = words.select("unit", F.posexplode("ids").alias("k", "id")).join(F.broadcast(_pieces(blocks, model)), "id")
-    parts = joined.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("p"))
-    return parts.select("unit", F.col("p.id").alias("ids"), F.array_join("p.piece", " ").alias("text"))
+    by_word = units.repartition("unit").sortWithinPartitions("unit")
+    return by_word.mapInArrow(run, "block binary, at binary, counts binary, ids binary")
 
 
 def _split_texts(model: str) -> Callable[[], Callable]:
@@ -301,54 +338,63 @@ def _split_texts(model: str) -> Callable[[], Callable]:
 def _split_ids() -> Callable:
     def cut(column: pa.Array):
         for value in column:
-            ids = value.as_py() or []
+            ids = [i for i in value.as_py() or [] if i is not None]
             yield 8 * len(ids), ids
 
     return cut
 
 
-def _word_payload(units: pa.Table, places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ids of all rows of a block one after the other, each row's range of them, and the words' texts by place."""
-    at = units["at"].to_numpy()
-    order = np.empty(len(at), np.int64)
-    order[at] = np.arange(len(at))
-    lists = units["ids"].combine_chunks() if len(at) else pa.array([], pa.list_(pa.int32()))
-    flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    row = order[places] if len(at) else places.astype(np.int64)
-    count = offsets[row + 1] - offsets[row]
-    total = np.concatenate([[0], np.cumsum(count)])
-    ids = flat[np.arange(total[-1]) + np.repeat(offsets[row] - total[:-1], count)]
-    texts = units["text"].combine_chunks().take(pa.array(order)).to_pylist() if len(at) else []
-    return ids.astype("<u4"), total[bounds], texts
+def _joined_ids(payload: pa.Table, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a block one after the other, and each row's range of them."""
+    parts = [[_unpacked(x) for x in payload[c].to_pylist()] for c in ("at", "counts", "ids")]
+    place, count, flat = (np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts)
+    starts = np.cumsum(count, dtype=np.int64) - count
+    if len(place) != (at.max() + 1 if len(at) else 0):
+        raise RuntimeError("the texts were not the same when they were read again; write the table first")
+    start_of, count_of = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    start_of[place], count_of[place] = starts, count
+    n = count_of[at]
+    total = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(total[-1]) + np.repeat(start_of[at] - total[:-1], n)], total[bounds]
 
 
-def _joined(texts: list[str], places: np.ndarray, bounds: np.ndarray) -> Iterator[str]:
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        yield " ".join(map(texts.__getitem__, places[a:b].tolist()))
+def _decoded(ids: np.ndarray, ranges: np.ndarray, model: str) -> Iterator[str]:
+    """Texts of ranges of ids: a map-side join of the ids with the pieces, which stand in the order of their ids."""
+    piece = vocabulary(model).in_order.__getitem__
+    for a, b in zip(ranges[:-1].tolist(), ranges[1:].tolist()):
+        yield " ".join(map(piece, ids[a:b].tolist()))
+
+
+def _encoded(docs: DataFrame, model: str, keys: list[str], text: str, finish: Callable, made: str) -> DataFrame:
+    rows, split = _rows(docs, keys, text), _split_texts(model)
+
+    def run(payload: pa.Table, at: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        ids, ranges = _joined_ids(payload, at, bounds)
+        return [pa.array(np.diff(ranges)), *finish(ids.astype("<u4"), ranges)]
+
+    payload = encoded_words(_units(rows, split, "string"), model)
+    return _assembled(_places(rows, keys, split), payload, keys, run, f"n_tokens bigint, {made}")
 
 
 def encode(docs: DataFrame, model: str, keys: list[str], text: str = "text") -> DataFrame:
-    """`keys`, ids (array<int>), n_tokens and the decoded text of every whole text.
+    """`keys`, n_tokens, ids (array<int>) and the decoded text of every whole text.
 
     A null or empty text has no ids and decodes to the empty text. Repeated rows
     give repeated rows, null keys are kept, and other columns are left out,
     whatever their names. A text of any length is at most one block; a word of
-    any length is one row of the table of words. Code points that Python's
-    Unicode tables don't know are taken as they stand when a text is composed.
+    any length is one row. Code points that Python's Unicode tables don't know
+    are taken as they stand when a text is composed.
+
+    The table is read twice, once for its words and once for their places, which
+    needs less disk than a copy of it. It has to give the same rows in the same
+    tasks both times, as tables of files do; if it doesn't, the job fails.
     """
 
-    def finish(units: pa.Table, places: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        ids, ranges, texts = _word_payload(units, places, bounds)
-        return [
-            pa.ListArray.from_arrays(pa.array(ranges.astype(np.int32)), pa.array(ids.astype(np.int32))),
-            pa.array(np.diff(ranges)),
-            pa.array(_joined(texts, places, bounds), pa.string()),
-        ]
+    def finish(ids: np.ndarray, ranges: np.ndarray) -> list[pa.Array]:
+        lists = pa.ListArray.from_arrays(pa.array(ranges.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return [lists, pa.array(_decoded(ids, ranges, model), pa.string())]
 
-    blocks = _blocks(_rows(docs, keys, text), keys, "string", _split_texts(model))
-    return _assembled(
-        blocks, distinct_words(blocks, model), keys, finish, "ids array<int>, n_tokens bigint, decoded string"
-    )
+    return _encoded(docs, model, keys, text, finish, "ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model: str, keys: list[str], text: str = "text") -> DataFrame:
@@ -359,37 +405,34 @@ def encode_digests(docs: DataFrame, model: str, keys: list[str], text: str = "te
     ids crosses to the JVM.
     """
 
-    def finish(units: pa.Table, places: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        ids, ranges, texts = _word_payload(units, places, bounds)
-        data = ids.tobytes()
-        spans = zip(ranges[:-1].tolist(), ranges[1:].tolist())
-        return [
-            pa.array(np.diff(ranges)),
-            pa.array([hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in _joined(texts, places, bounds)], pa.string()),
-        ]
+    def finish(ids: np.ndarray, ranges: np.ndarray) -> list[pa.Array]:
+        data, spans = ids.tobytes(), zip(ranges[:-1].tolist(), ranges[1:].tolist())
+        of_ids = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in spans]
+        of_text = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(ids, ranges, model)]
+        return [pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
-    blocks = _blocks(_rows(docs, keys, text), keys, "string", _split_texts(model))
-    return _assembled(
-        blocks, distinct_words(blocks, model), keys, finish, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    return _encoded(docs, model, keys, text, finish, "ids_sha256 string, decoded_sha256 string")
 
 
 def decode(rows: DataFrame, model: str, keys: list[str], ids: str = "ids") -> DataFrame:
     """`keys` and the decoded text of every list of ids: its pieces, joined by spaces.
 
-    A null or empty list decodes to the empty text; ids without a piece and null
-    ids are passed over. Repeated rows give repeated rows.
+    The distinct ids of each block are joined with the table of pieces and go
+    back to the rows by place. A null or empty list decodes to the empty text;
+    ids without a piece and null ids are passed over. Repeated rows give repeated
+    rows. `rows` is read twice, as the texts of `encode`.
     """
 
-    def finish(units: pa.Table, places: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        piece = dict(zip(units["at"].to_pylist(), units["piece"].to_pylist()))
+    def finish(payload: pa.Table, at: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        piece = dict(zip(payload["at"].to_pylist(), payload["piece"].to_pylist()))
         texts = [
-            " ".join([piece[p] for p in places[a:b].tolist() if p in piece])
+            " ".join([piece[p] for p in at[a:b].tolist() if piece[p] is not None])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
         ]
         return [pa.array(texts, pa.string())]
 
-    blocks = _blocks(_rows(rows, keys, ids), keys, "int", _split_ids)
-    found = _pieces(rows, model).withColumnRenamed("id", "unit")
-    return _assembled(blocks, found, keys, finish, "decoded string")
+    held = _rows(rows, keys, ids)
+    pieces = rows.sparkSession.createDataFrame(sorted(vocabulary(model).pieces.items()), "unit int, piece string")
+    # The table of pieces has the size of the vocabulary, which bounds its broadcast.
+    payload = _units(held, _split_ids, "int").join(F.broadcast(pieces), "unit", "left").drop("unit")
+    return _assembled(_places(held, keys, _split_ids), payload, keys, finish, "decoded string")
