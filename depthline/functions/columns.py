@@ -1,9 +1,12 @@
-"""Scalar column functions. All are built-in expressions and stay in codegen."""
+"""Scalar column functions: built-in expressions that stay in codegen, but for `next_fast_length`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,22 +121,29 @@ def smooth_lengths(limit: int) -> list[int]:
     return sorted(found)
 
 
+LONGEST = 2**62
+
+
+@cache
+def _all_smooth() -> np.ndarray:
+    """Every 5-smooth number up to `LONGEST`, in order: some ten thousand."""
+    return np.array(smooth_lengths(LONGEST), np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def _next_smooth(n: pa.Array) -> pa.Array:
+    lengths = n.fill_null(0).to_numpy()
+    fit = (lengths >= 1) & (lengths <= LONGEST)
+    at = np.searchsorted(_all_smooth(), np.where(fit, lengths, 1))
+    return pa.array(_all_smooth()[at], mask=~fit)
+
+
 def next_fast_length(n) -> Column:
     """The least 5-smooth number that is not below `n`, for any whole `n` from 1 to 2^62; NULL for others.
 
-    Each odd 5-smooth number, of which there are some hundreds, is doubled until
-    it reaches `n`; the least of these is the answer.
+    A binary search in the table of all 5-smooth numbers, an Arrow batch at a time.
     """
-    odd = [m for m in (3**j * 5**k for j in range(40) for k in range(27)) if m <= 2**62]
-    listed = F.expr("array(" + ",".join(f"{m}L" for m in sorted(odd)) + ")")
-    n = _c(n).cast("bigint")
-
-    def reached(m: Column) -> Column:
-        whole = F.when(m >= n, F.lit(0).cast("bigint")).otherwise(F.call_function("div", n - 1, m))
-        doublings = F.when(whole > 0, F.length(F.bin(whole))).otherwise(0)
-        return F.when(doublings + F.length(F.bin(m)) <= 63, F.call_function("shiftleft", m, doublings))
-
-    return F.when(n.between(1, 2**62), F.array_min(F.transform(listed, reached)))
+    return _next_smooth(_c(n).cast("bigint"))
 
 
 def tilted_angles(theta_deg, phi_deg, tilt_deg: float = -5.0) -> tuple[Column, Column]:
