@@ -333,25 +333,53 @@ def banded_products(channels: np.ndarray, v: np.ndarray, half_width: int) -> np.
     return out
 
 
+#: Log probabilities are whole numbers of this part of a nat, so that sums are the same in every order.
+LOG_UNIT = 2**36
+#: The score of what cannot be; sums that hold it are cut back to it.
+NEVER = -(2**60)
+
+
+def whole_logs(p: np.ndarray) -> np.ndarray:
+    """Logarithms as whole multiples of 1/`LOG_UNIT`; `NEVER` for 0."""
+    p = np.asarray(p, dtype=float)
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    return np.where(p > 0, np.rint(np.where(p > 0, logs, 0.0) * LOG_UNIT), NEVER).astype(np.int64)
+
+
+def _levelled(scores: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores less their maximum over `axes`, and that maximum (0 where nothing is possible)."""
+    top = scores.max(axis=axes, keepdims=True)
+    top = np.where(top < NEVER // 2, 0, top)
+    return np.where(scores < NEVER // 2, NEVER, scores - top), top
+
+
 def viterbi(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, observed: np.ndarray, log: bool = False):
     """Best state path of one or many observed sequences of equal length.
 
     observed: (..., n). start: (..., K). Returns (path, score). The first state
-    wins ties. In log space the score is a log probability.
+    wins ties. In log space scores are sums of `whole_logs`, exact in any
+    order, and the score returned is a log probability.
     """
     observed = np.asarray(observed, dtype=int)
     single = observed.ndim == 1
     obs = np.atleast_2d(observed)
     runs, n = obs.shape
-    with np.errstate(divide="ignore"):
-        e, t, s = (np.log(a) if log else np.asarray(a, dtype=float) for a in (emission, transition, start))
-    join = np.add if log else np.multiply
-    mu = join(np.broadcast_to(s, (runs, e.shape[0])), e[:, obs[:, 0]].T)
+    if log:
+        e, t, s = whole_logs(emission), whole_logs(transition), whole_logs(start)
+        first = np.broadcast_to(s, (runs, e.shape[0]))
+        mu, back, total = log_forward(e, t, first, obs, np.zeros((runs, e.shape[0]), np.int64), np.ones(runs, dtype=bool))
+        path, _ = walk_back(back, mu.argmax(axis=1))
+        best = mu.max(axis=1)
+        score = np.where(best < NEVER // 2, -np.inf, (best + total) / LOG_UNIT)
+        return (path[0], float(score[0])) if single else (path, score)
+    e, t, s = (np.asarray(a, dtype=float) for a in (emission, transition, start))
+    mu = np.broadcast_to(s, (runs, e.shape[0])) * e[:, obs[:, 0]].T
     back = np.empty((n, runs, e.shape[0]), dtype=np.int32)
     for i in range(1, n):
-        reach = join(mu[:, :, None], t[None, :, :])
+        reach = mu[:, :, None] * t[None, :, :]
         back[i] = reach.argmax(axis=1)
-        mu = join(reach.max(axis=1), e[:, obs[:, i]].T)
+        mu = reach.max(axis=1) * e[:, obs[:, i]].T
     path = np.empty((runs, n), dtype=np.int32)
     path[:, -1] = mu.argmax(axis=1)
     score = mu[np.arange(runs), path[:, -1]]
@@ -361,29 +389,37 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, obs
 
 
 def log_forward(log_e, log_t, log_s, obs: np.ndarray, entry: np.ndarray, fresh: np.ndarray):
-    """Scores at the end and the links of each step, for rows of equal length.
+    """Scores at the end, the links of each step, and what was taken off the scores, for rows of equal length.
 
     `entry` holds the scores before the first observation; `fresh` rows start
-    from the start probabilities instead.
+    from the start probabilities instead. All are whole numbers.
     """
     runs, n = obs.shape
     back = np.zeros((n, runs, log_e.shape[0]), dtype=np.int16)
     reach = entry[:, :, None] + log_t[None]
     back[0] = np.where(fresh[:, None], 0, reach.argmax(axis=1))
-    mu = np.where(fresh[:, None], log_s[None], reach.max(axis=1)) + log_e[:, obs[:, 0]].T
+    mu, total = _levelled(np.where(fresh[:, None], log_s, reach.max(axis=1)) + log_e[:, obs[:, 0]].T, (1,))
     for i in range(1, n):
-        reach = mu[:, :, None] + log_t[None]
+        reach = np.maximum(mu[:, :, None] + log_t[None], NEVER)
         back[i] = reach.argmax(axis=1)
-        mu = reach.max(axis=1) + log_e[:, obs[:, i]].T
-    return mu, back
+        mu, top = _levelled(reach.max(axis=1) + log_e[:, obs[:, i]].T, (1,))
+        total = total + top
+    return mu, back, total[:, 0]
 
 
-def log_span(log_e, log_t, obs: np.ndarray) -> np.ndarray:
-    """(rows, K, K): best scores from the state before a chunk to the state at its end."""
-    m = log_t[None] + log_e[:, obs[:, 0]].T[:, None, :]
+def log_span(log_e, log_t, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, K, K): best scores from the state before a chunk to the state at its end, and what was taken off."""
+    m, total = _levelled(log_t[None] + log_e[:, obs[:, 0]].T[:, None, :], (1, 2))
     for i in range(1, obs.shape[1]):
-        m = (m[:, :, :, None] + log_t[None, None]).max(axis=2) + log_e[:, obs[:, i]].T[:, None, :]
-    return m
+        m, top = _levelled((m[:, :, :, None] + log_t[None, None]).max(axis=2) + log_e[:, obs[:, i]].T[:, None, :], (1, 2))
+        total = total + top
+    return m, total[:, 0, 0]
+
+
+def max_plus(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Product of two score matrices (or of a vector and one), and what was taken off."""
+    out, top = _levelled((a[..., :, None] + b).max(axis=-2), tuple(range(a.ndim)))
+    return out, int(top.ravel()[0])
 
 
 def walk_back(back: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

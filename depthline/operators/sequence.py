@@ -176,20 +176,22 @@ def decode(
 
     1. each chunk is summed up as a (K, K) matrix of best log scores from the
        state before it to the state at its end;
-    2. the matrices are chained (two levels of at most `fan` and the rest), to
-       give the scores with which each chunk is entered;
+    2. the matrices are chained by max-plus products (two levels of at most
+       `fan` and the rest), to give the scores with which each chunk is entered;
     3. with those scores each chunk runs the usual recursion and reports, per
        end state, the state it came from;
     4. these small maps are chained from the end, to give the end state;
     5. each chunk walks back from its end state.
 
-    The chunks, entry scores and maps are written once, as later steps read
-    them several times. Where no sequence exceeds a chunk, steps 1-5 reduce to
-    one pass.
+    Scores are whole numbers, so a product is the same however it is put
+    together: of equal paths, the one with the least state at the end, and then
+    at each place before it, is found for every `chunk` and `fan`. There is one
+    plan for all lengths; sequences of one chunk have no matrices to chain. The
+    chunks, entry scores and maps are written once, as later steps read them
+    several times.
     """
     k = model.transition.shape[0]
-    with np.errstate(divide="ignore"):
-        log_e, log_t, log_s = np.log(model.emission), np.log(model.transition), np.log(model.start)
+    log_e, log_t, log_s = (K.whole_logs(a) for a in (model.emission, model.transition, model.start))
     key_fields = [df.schema[c] for c in keys]
     placed = dense_index(df.select(*keys, *order, observed), keys, order, block, "_pos")
     # Decoding is heavy for its bytes: name the partitions so that they are not merged by size.
@@ -201,55 +203,57 @@ def decode(
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", observed))), lambda s: s[observed].cast("int")).alias("_obs")),
         "chunks",
     )
-    if chunks.filter("_chunk > 0").isEmpty():
-        whole = chunks.repartition(spread, *keys).withColumn("_d", path_function(model, True)("_obs"))
-        return whole.select(
-            *keys, F.col("_d.score").alias("log_score"), F.posexplode("_d.path").alias("position", "state")
-        ).select(*keys, F.col("position").cast("long").alias("position"), "state", "log_score")
-
     last = chunks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
     chunks = chunks.join(last, list(keys))
 
     def entry_rows(entry: pd.Series, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fresh = np.array([entry.iat[i] is None for i in at])
-        return np.stack([np.zeros(k) if new else np.asarray(entry.iat[i], dtype=float) for i, new in zip(at, fresh)]), fresh
+        rows = [np.zeros(k, np.int64) if new else np.asarray(entry.iat[i], np.int64) for i, new in zip(at, fresh)]
+        return np.stack(rows), fresh
 
-    @F.pandas_udf("array<double>")
-    def summary(obs: pd.Series, index: pd.Series) -> pd.Series:
-        out = np.empty(len(obs), dtype=object)
+    @F.pandas_udf("m array<bigint>, off double")
+    def summary(obs: pd.Series, index: pd.Series) -> pd.DataFrame:
+        out, off = np.empty(len(obs), dtype=object), np.zeros(len(obs))
         for at, o in K.slices_of_equal_length(obs):
             first = index.to_numpy()[at] == 0
-            spans = np.empty((len(at), k, k))
+            spans = np.empty((len(at), k, k), np.int64)
             if first.any():
-                mu, _ = K.log_forward(log_e, log_t, log_s, o[first], np.zeros((first.sum(), k)), np.ones(first.sum(), dtype=bool))
+                fresh = np.zeros((first.sum(), k), np.int64), np.ones(first.sum(), dtype=bool)
+                mu, _, off[at[first]] = K.log_forward(log_e, log_t, log_s, o[first], *fresh)
                 spans[first] = mu[:, None, :]
             if (~first).any():
-                spans[~first] = K.log_span(log_e, log_t, o[~first])
+                spans[~first], off[at[~first]] = K.log_span(log_e, log_t, o[~first])
             for i, m in zip(at, spans):
                 out[i] = m.ravel()
-        return pd.Series(out)
+        return pd.DataFrame({"m": out, "off": off})
 
     # 1-2: only sequences of several chunks need the chain.
-    inner = chunks.filter("_chunk < _last").withColumn("_m", summary("_obs", "_chunk")).select(*keys, "_chunk", "_m")
+    inner = chunks.filter("_chunk < _last").withColumn("_s", summary("_obs", "_chunk"))
+    inner = inner.select(*keys, "_chunk", F.col("_s.m").alias("_m"), F.col("_s.off").alias("_off"))
     long_key = F.floor(F.col("_chunk") / fan).cast("long")
-    chain_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_m", T.ArrayType(T.DoubleType()))])
-
-    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a[:, :, None] + b[None, :, :]).max(axis=1)
-
+    chain_schema = T.StructType(
+        [
+            *key_fields,
+            T.StructField("_chunk", T.LongType()),
+            T.StructField("_m", T.ArrayType(T.LongType())),
+            T.StructField("_off", T.DoubleType()),
+        ]
+    )
     names = list(keys)
 
     def chained(with_total: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_chunk")
-            total, rows = None, []
-            for m in pdf["_m"]:
-                m = np.asarray(m).reshape(k, k)
-                total = m if total is None else product(total, m)
+            total, taken, rows, offs = None, 0.0, [], []
+            for m, off in zip(pdf["_m"], pdf["_off"]):
+                m = np.asarray(m, np.int64).reshape(k, k)
+                total, top = (m, 0) if total is None else K.max_plus(total, m)
+                taken += off + top
                 rows.append(total.ravel())
+                offs.append(taken)
             if with_total:
-                return pdf[names].iloc[:1].assign(_chunk=pdf["_group"].iloc[:1], _m=rows[-1:])
-            return pdf[[*names, "_chunk"]].assign(_m=rows)
+                return pdf[names].iloc[:1].assign(_chunk=pdf["_group"].iloc[:1], _m=rows[-1:], _off=offs[-1:])
+            return pdf[[*names, "_chunk"]].assign(_m=rows, _off=offs)
 
         return run
 
@@ -257,39 +261,46 @@ def decode(
     within = grouped.groupBy(*keys, "_group").applyInPandas(chained(False), chain_schema)
     totals = grouped.groupBy(*keys, "_group").applyInPandas(chained(True), chain_schema)
     across = totals.groupBy(*keys).applyInPandas(chained(False), chain_schema)
-    ahead = across.select(*keys, (F.col("_chunk") + 1).alias("_group"), F.slice("_m", 1, k).alias("_before"))
-
-    @F.pandas_udf("array<double>")
-    def entered(before: pd.Series, m: pd.Series) -> pd.Series:
-        def one(b, x):
-            x = np.asarray(x).reshape(k, k)
-            return x[0] if b is None else (np.asarray(b)[:, None] + x).max(axis=0)
+    ahead = across.select(
+        *keys, (F.col("_chunk") + 1).alias("_group"), F.slice("_m", 1, k).alias("_before"), F.col("_off").alias("_taken")
+    )
 
-        return pd.Series([one(b, x) for b, x in zip(before, m)])
+    @F.pandas_udf("e array<bigint>, off double")
+    def entered(before: pd.Series, taken: pd.Series, m: pd.Series, off: pd.Series) -> pd.DataFrame:
+        rows, offs = [], []
+        for b, c, x, o in zip(before, taken, m, off):
+            x = np.asarray(x, np.int64).reshape(k, k)
+            e, top = (x[0], 0) if b is None else K.max_plus(np.asarray(b, np.int64), x)
+            rows.append(e)
+            offs.append(o + top + (0.0 if b is None else c))
+        return pd.DataFrame({"e": rows, "off": offs})
 
     entries = materialise(
         within.withColumn("_group", long_key)
         .join(ahead, [*keys, "_group"], "left")
-        .select(*keys, (F.col("_chunk") + 1).alias("_chunk"), entered("_before", "_m").alias("_entry")),
+        .withColumn("_e", entered("_before", "_taken", "_m", "_off"))
+        .select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_e.e").alias("_entry"), F.col("_e.off").alias("_ahead")),
         "entries",
     )
     ready = chunks.join(entries, [*keys, "_chunk"], "left")
 
     # 3: the state before the chunk for each end state; the best end state of the last chunk.
     @F.pandas_udf("origin array<int>, best int, score double")
-    def origins(obs: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    def origins(obs: pd.Series, entry: pd.Series, ahead: pd.Series) -> pd.DataFrame:
         origin = np.empty(len(obs), dtype=object)
         best, score = np.zeros(len(obs), dtype="int32"), np.zeros(len(obs))
+        before = ahead.fillna(0.0).to_numpy()
         for at, o in K.slices_of_equal_length(obs):
-            mu, back = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
-            best[at], score[at] = mu.argmax(axis=1), mu.max(axis=1)
+            mu, back, off = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
+            top = mu.max(axis=1)
+            best[at], score[at] = mu.argmax(axis=1), np.where(top < K.NEVER // 2, -np.inf, (before[at] + off + top) / K.LOG_UNIT)
             sources = np.stack([K.walk_back(back, np.full(len(at), end))[1] for end in range(k)], axis=1)
             for i, row in zip(at, sources):
                 origin[i] = row.astype("int32")
         return pd.DataFrame({"origin": origin, "best": best, "score": score})
 
     maps = materialise(
-        ready.withColumn("_o", origins("_obs", "_entry")).select(
+        ready.withColumn("_o", origins("_obs", "_entry", "_ahead")).select(
             *keys, "_chunk", "_last", F.col("_o.origin").alias("_origin"), "_o.best", "_o.score"
         ),
         "maps",
@@ -336,7 +347,7 @@ def decode(
     def walked(obs: pd.Series, entry: pd.Series, end: pd.Series) -> pd.Series:
         out = np.empty(len(obs), dtype=object)
         for at, o in K.slices_of_equal_length(obs):
-            _, back = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
+            _, back, _ = K.log_forward(log_e, log_t, log_s, o, *entry_rows(entry, at))
             for i, path in zip(at, K.walk_back(back, end.to_numpy()[at].astype(int))[0]):
                 out[i] = path
         return pd.Series(out)
@@ -390,12 +401,34 @@ def drawn_class(cells, u, share: str = "c", klass: str = "event_type") -> Column
     return F.coalesce(F.get(above, 0), F.element_at(cells, -1))[klass]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A mixing bijection of 32-bit numbers, in 64-bit ones."""
+    m = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & m
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & m
+    return x ^ (x >> np.uint64(16))
+
+
+def drawn(key: int, seed: int, runs: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """32-bit numbers that depend on key, seed, run and counter alone: one row for each run."""
+    m = np.uint64(0xFFFFFFFF)
+    start = _mixed(np.array([(key ^ seed) & 0xFFFFFFFF], np.uint64))
+    of_run = _mixed((start + runs.astype(np.uint64)) & m)
+    return _mixed((of_run[:, None] + counters.astype(np.uint64)[None, :]) & m)
+
+
+def key_number(keys: Sequence[str]) -> Column:
+    """A 32-bit number of the key columns, from a digest of their texts."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *texts).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def _sampled(p: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     """Inverse-CDF draws per depth; rows are normalised first."""
     total = p.sum(axis=1, keepdims=True)
     cumulative = np.cumsum(np.divide(p, total, out=np.full_like(p, 1.0 / p.shape[1]), where=total > 0), axis=1)
-    drawn = (uniform[:, :, None] >= cumulative[None, :, :]).sum(axis=2)
-    return np.minimum(drawn, p.shape[1] - 1)
+    chosen = (uniform[:, :, None] >= cumulative[None, :, :]).sum(axis=2)
+    return np.minimum(chosen, p.shape[1] - 1)
 
 
 def _normal(p: np.ndarray) -> np.ndarray:
@@ -414,8 +447,11 @@ def sampled_histogram(
     """`(keys, depth, state, n)`: decoded states over sampled observations.
 
     The runs of a probe are split into slices that Spark spreads over tasks.
-    A slice decodes its runs together and returns counts, not paths. Draws are
-    seeded by key and slice, so a retried task repeats itself.
+    A slice decodes its runs together and returns counts, not paths. A draw
+    depends on key, run and place in the profile alone (`drawn`), so the result
+    is the same for every `runs_per_task` and in a retried task. `two_ways`
+    starts each run at a drawn depth between the first and the last; a profile
+    of fewer than three depths has none and is decoded one way.
     """
     if method not in ("one_way", "two_ways"):
         raise ValueError("method must be one_way or two_ways")
@@ -423,7 +459,7 @@ def sampled_histogram(
     tasks = F.array(*[F.struct(F.lit(i).alias("slice"), F.lit(n).alias("runs")) for i, n in slices])
     # The work is heavy for its bytes, so its partitions must not be merged by size.
     spread = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = profiles.select("*", F.xxhash64(*keys).alias("_key"), F.explode(tasks).alias("_task")).repartition(
+    work = profiles.select("*", key_number(keys).alias("_key"), F.explode(tasks).alias("_task")).repartition(
         spread, *keys, F.col("_task.slice")
     )
     names = list(keys)
@@ -438,12 +474,12 @@ def sampled_histogram(
     k = model.transition.shape[0]
     upward = model.reversed
 
-    def decoded(p: np.ndarray, obs: np.ndarray, rng: np.random.Generator):
+    def decoded(p: np.ndarray, obs: np.ndarray, spare: np.ndarray):
         runs, nd = obs.shape
         if method == "one_way" or nd < 3:
             return K.viterbi(model.emission, model.transition, _normal(p[0]), obs, log=True)
         paths, scores = np.empty((runs, nd), dtype=np.int32), np.empty(runs)
-        starts = rng.integers(1, nd - 1, size=runs)
+        starts = 1 + (spare % np.uint64(nd - 2)).astype(int)
         for at in np.unique(starts):
             mine = np.flatnonzero(starts == at)
             start = _normal(p[at])
@@ -458,9 +494,11 @@ def sampled_histogram(
             parts = []
             for i, row in enumerate(pdf.to_dict("records")):
                 p = np.stack([np.asarray(v, dtype=float) for v in row["profile"]])
-                rng = np.random.default_rng([seed, row["_key"] & 0xFFFFFFFFFFFFFFFF, row["_task"]["slice"]])
-                obs = _sampled(p, rng.random((row["_task"]["runs"], p.shape[0])))
-                paths, _ = decoded(p, obs, rng)
+                runs = row["_task"]["slice"] * runs_per_task + np.arange(row["_task"]["runs"])
+                # One number for each depth, and one more for where a run starts.
+                numbers = drawn(row["_key"], seed, runs, np.arange(p.shape[0] + 1))
+                obs = _sampled(p, numbers[:, :-1] / 2.0**32)
+                paths, _ = decoded(p, obs, numbers[:, -1])
                 cells = np.bincount((paths + k * np.arange(p.shape[0])[None, :]).ravel(), minlength=k * p.shape[0])
                 hit = np.flatnonzero(cells)
                 parts.append((np.full(hit.size, i), np.asarray(row["depths"], dtype=float)[hit // k], hit % k, cells[hit]))

@@ -304,18 +304,29 @@ st AS (SELECT * FROM (VALUES (0, 0.3), (1, 0.1), (2, 0.2), (3, 0.15), (4, 0.25))
 """
 
 
-def _viterbi_sql(obs: str) -> str:
-    """Log-space decoding of `ob(k, pos, o)` by a recursive query; gives `path(k, pos, state)`."""
+def _whole(p: str) -> str:
+    """SQL of `kernels.whole_logs`; the model has no zeros."""
+    return f"CAST(round(ln({p}) * 68719476736) AS BIGINT)"
+
+
+def _viterbi_sql(obs: str, start: str = "SELECT DISTINCT k, j, v FROM ob, st") -> str:
+    """Log-space decoding of `ob(k, pos, o)` by a recursive query; gives `path(k, pos, state)`.
+
+    Scores are whole numbers; of equal ones the least state counts.
+    """
     return f"""
-{MODEL_SQL}, {obs}, last AS (SELECT k, max(pos) AS last FROM ob GROUP BY 1),
+{MODEL_SQL}, {obs}, begin AS ({start}), lt AS (SELECT i, j, {_whole('v')} AS v FROM tm), le AS (SELECT i, j, {_whole('v')} AS v FROM em),
+last AS (SELECT k, max(pos) AS last FROM ob GROUP BY 1),
 fwd AS (
-  SELECT k, 0::BIGINT AS pos, st.j AS state, ln(st.v::DOUBLE) + ln(em.v) AS mu, -1 AS back FROM ob JOIN st ON true JOIN em ON em.i = st.j AND em.j = ob.o WHERE pos = 0
+  SELECT ob.k, 0::BIGINT AS pos, begin.j AS state, {_whole('begin.v::DOUBLE')} + le.v AS mu, -1 AS back
+  FROM ob JOIN begin USING (k) JOIN le ON le.i = begin.j AND le.j = ob.o WHERE pos = 0
   UNION ALL
-  SELECT k, pos, state, max(mu) AS mu, arg_min(back, -mu * 1000000 + back * 0.000001) AS back FROM (
-    SELECT fwd.k, ob.pos, tm.j AS state, fwd.mu + ln(tm.v) + ln(em.v) AS mu, fwd.state AS back
-    FROM fwd JOIN ob ON ob.k = fwd.k AND ob.pos = fwd.pos + 1 JOIN tm ON tm.i = fwd.state JOIN em ON em.i = tm.j AND em.j = ob.o)
+  SELECT k, pos, state, max(mu) AS mu, arg_max(back, mu * 8 - back) AS back FROM (
+    SELECT fwd.k, ob.pos, lt.j AS state, fwd.mu + lt.v + le.v AS mu, fwd.state AS back
+    FROM fwd JOIN ob ON ob.k = fwd.k AND ob.pos = fwd.pos + 1 JOIN lt ON lt.i = fwd.state JOIN le ON le.i = lt.j AND le.j = ob.o)
   GROUP BY k, pos, state),
-best AS (SELECT fwd.k, arg_min(state, -mu) AS state, max(mu) AS score, any_value(last) AS last FROM fwd JOIN last ON fwd.k = last.k AND fwd.pos = last.last GROUP BY 1),
+best AS (SELECT fwd.k, arg_max(state, mu * 8 - state) AS state, max(mu) / 68719476736.0::DOUBLE AS score, any_value(last) AS last
+  FROM fwd JOIN last ON fwd.k = last.k AND fwd.pos = last.last GROUP BY 1),
 path AS (
   SELECT k, last AS pos, state FROM best
   UNION ALL
@@ -334,7 +345,8 @@ path AS (
 )
 def viterbi_path(spark, sf_dir):
     ev = S.events(spark, sf_dir).select("user_id", *ORDER, L.class_position("event_type", STATES).cast("int").alias("o"))
-    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", BLOCK_SECONDS))
+    # Small chunks, so that every sequence has several of them.
+    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", BLOCK_SECONDS), chunk=16, fan=3)
     return out.withColumn("log_score", C.rounded("log_score"))
 
 
@@ -363,13 +375,43 @@ def hmm_path(spark, sf_dir):
     )
 
 
-@query("hmm_sampled")
+def _mixed_sql(x: str) -> str:
+    """SQL of `sequence._mixed` for a UBIGINT below 2^32."""
+    one = f"((xor({x}, {x} >> 16) * 2246822507) & 4294967295)"
+    two = "((xor(a, a >> 13) * 3266489909) & 4294967295)"
+    return f"list_transform(list_transform([{one}], lambda a: {two}), lambda b: xor(b, b >> 16))[1]"
+
+
+@query(
+    "hmm_sampled",
+    "WITH RECURSIVE "
+    + _viterbi_sql(
+        f"""sh AS (SELECT user_id, hour(ts) AS hour, list_position({STATE_SQL}, event_type) - 1 AS s, count(*) AS n FROM events GROUP BY ALL),
+dense AS (SELECT d.user_id, d.hour, j AS s, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id, hour FROM sh) d
+  CROSS JOIN range(0, 5) q(j) LEFT JOIN sh ON sh.user_id = d.user_id AND sh.hour = d.hour AND sh.s = q.j),
+cum AS (SELECT user_id, hour, s, sum(n) OVER (PARTITION BY user_id, hour ORDER BY s) / sum(n) OVER (PARTITION BY user_id, hour)::DOUBLE AS c,
+               n / sum(n) OVER (PARTITION BY user_id, hour)::DOUBLE AS p FROM dense),
+deep AS (SELECT user_id, hour, row_number() OVER (PARTITION BY user_id ORDER BY hour) - 1 AS pos FROM (SELECT DISTINCT user_id, hour FROM sh)),
+keyed AS (SELECT user_id, {_mixed_sql("xor(('0x' || substr(md5(user_id::VARCHAR), 1, 8))::UBIGINT, 12345::UBIGINT)")} AS h
+          FROM (SELECT DISTINCT user_id FROM sh)),
+runs AS (SELECT user_id, run, {_mixed_sql("((h + run::UBIGINT) & 4294967295)")} AS h FROM keyed, range(0, 1000) r(run)),
+draws AS (SELECT user_id, run, pos, hour, {_mixed_sql("((h + pos::UBIGINT) & 4294967295)")} / 4294967296.0::DOUBLE AS u
+          FROM runs JOIN deep USING (user_id)),
+ob AS (SELECT user_id * 1000 + run AS k, pos, least(count(*) FILTER (WHERE u >= c), 4) AS o
+       FROM draws JOIN cum USING (user_id, hour) GROUP BY user_id, run, pos)""",
+        "SELECT user_id * 1000 + run AS k, s AS j, p AS v FROM runs JOIN deep USING (user_id) JOIN cum USING (user_id, hour) WHERE pos = 0 AND p > 0",
+    )
+    + """, counts AS (SELECT k // 1000 AS user_id, hour::DOUBLE AS depth, state::INTEGER AS state, count(*) AS n
+  FROM path JOIN deep ON deep.user_id = k // 1000 AND deep.pos = path.pos GROUP BY ALL)
+SELECT user_id, depth, state, n, floor(n / sum(n) OVER (PARTITION BY user_id, depth)::DOUBLE * 1e6 + 0.5) / 1e6 AS share,
+       first(state) OVER (PARTITION BY user_id, depth ORDER BY n DESC, state) AS mode FROM counts""",
+)
 def hmm_sampled(spark, sf_dir):
-    """Sampled decoding of class shares per user (probe) and hour (depth); invariants in the tests."""
+    """Sampled decoding of class shares per user (probe) and hour (depth), with the default number of runs."""
     shares = _shares(spark, sf_dir, ["user_id", "hour"])
     profiles = Q.packed_profiles(shares, ["user_id"], "hour", "event_type", "p", STATES)
-    counts = Q.sampled_histogram(profiles, ["user_id"], _model(), n_runs=100, runs_per_task=50)
-    histogram = R.normalised(counts, ["user_id", "depth"], "n", "share")
+    counts = Q.sampled_histogram(profiles, ["user_id"], _model())
+    histogram = R.normalised(counts, ["user_id", "depth"], "n", "share").withColumn("share", C.rounded("share", 6))
     mode = R.modes_of_counts(counts, ["user_id", "depth"], "state", "mode").drop("n")
     return histogram.join(mode, ["user_id", "depth"])
 

@@ -7,6 +7,7 @@ from depthline.operators import sequence as Q
 from depthline.operators.ordered import range_block
 from pyspark.sql import functions as F
 
+# The model, observations, path and probability that the decoder has to give.
 MODEL = Q.HiddenMarkov(
     emission=np.array([[0.1, 0.9], [0.3, 0.7], [0.5, 0.5]]),
     transition=np.array([[0.1, 0.2, 0.7], [0.1, 0.1, 0.8], [0.5, 0.4, 0.1]]),
@@ -81,6 +82,42 @@ def test_long_sequences_decode_as_short_ones(spark):
         assert r["state"] == path[r["position"]] and r["log_score"] == pytest.approx(score)
 
 
+def test_states_do_not_depend_on_the_chunk(spark):
+    """A model with very many ties: the same states for every chunk, those of one pass."""
+    even = Q.HiddenMarkov(np.full((4, 4), 0.2) + np.eye(4) * 0.2, np.full((4, 4), 0.25), np.full(4, 0.25))
+    torn = Q.HiddenMarkov(np.full((4, 4), 0.25), np.array([[0, 0.5, 0, 0.5], [0.5, 0, 0.5, 0]] * 2), np.array([0.5, 0.5, 0, 0]))
+    rng = np.random.default_rng(2)
+    rows = [(key, i, int(rng.integers(0, 4))) for key, n in {"a": 700, "b": 64, "c": 1, "d": 65}.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, at int, o int")
+    for model in (even, torn):
+        want = {}
+        for key in "abcd":
+            path, score = K.viterbi(model.emission, model.transition, model.start, [o for k, _, o in rows if k == key], log=True)
+            want |= {(key, i): (int(state), round(score, 6)) for i, state in enumerate(path)}
+        for chunk, fan in ((8, 3), (64, 1024), (4096, 1024)):
+            got = Q.decode(df, ["k"], ["at"], "o", model, range_block("at", 50), chunk, fan).collect()
+            assert {(r["k"], r["position"]): (r["state"], round(r["log_score"], 6)) for r in got} == want
+
+
+def test_golden_path_in_chunks(spark):
+    df = spark.createDataFrame([("g", i, o) for i, o in enumerate([1, 1, 0, 1])], "k string, at int, o int")
+    for chunk in (1, 2, 4096):
+        got = Q.decode(df, ["k"], ["at"], "o", MODEL, range_block("at", 50), chunk, 2).orderBy("position").collect()
+        assert [r["state"] for r in got] == [2, 0, 2, 0] and np.exp(got[0]["log_score"]) == pytest.approx(0.0212625)
+
+
+def test_draws_depend_on_key_run_and_place_alone(spark):
+    rng = np.random.default_rng(3)
+    profiles = _profiles(spark, rng.dirichlet(np.ones(3), 6))
+    model = Q.HiddenMarkov(np.eye(3) * 0.7 + 0.1, np.eye(3) * 0.4 + 0.2, np.ones(3) / 3)
+    for method in ("one_way", "two_ways"):
+        runs = [sorted(map(tuple, Q.sampled_histogram(profiles, ["pid"], model, 150, n, method).collect())) for n in (7, 50, 150)]
+        assert runs[0] == runs[1] == runs[2]
+    numbers = Q.drawn(77, 1, np.arange(4000), np.arange(20)) / 2.0**32
+    assert abs(numbers.mean() - 0.5) < 0.01 and np.abs(np.corrcoef(numbers.T) - np.eye(20)).max() < 0.07
+    assert np.array_equal(Q.drawn(77, 1, np.arange(10, 20), np.arange(20)), Q.drawn(77, 1, np.arange(4000), np.arange(20))[10:20])
+
+
 def test_model_must_be_stochastic():
     with pytest.raises(ValueError):
         Q.HiddenMarkov(MODEL.emission, MODEL.transition * 2, MODEL.start)
