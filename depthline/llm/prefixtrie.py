@@ -41,7 +41,7 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
     Turns are in the order of `turn`, null first, and of their digest where that
     is the same; a null role or text is empty. Rows with a null conv_id belong to
     no conversation and are left out. A conversation of any length is ordered in
-    blocks of turns.
+    blocks of turns. The table is written once.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     rows = conversations.select(
@@ -51,7 +51,8 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
         F.size(F.array_remove(F.split(text, _SPACE), "")).cast("bigint").alias("n_words"),
     )
     block = F.floor(F.col("turn") / SEGMENT)
-    return ordered.dense_index(rows, ["conv_id"], ["turn", "digest"], block, "at").drop("turn")
+    placed = ordered.dense_index(rows, ["conv_id"], ["turn", "digest"], block, "at").drop("turn")
+    return materialise(placed, "turns")  # read for counts, for heads and for all turns
 
 
 def paths(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,19 +83,19 @@ def shared_heads(turns: DataFrame, every: int = 20, most: int = 4) -> tuple[Data
     return own.select(columns).unionByName(lent.select(columns)), convs.select("conv_id", "total")
 
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """A written table with the keys of all prefixes, up to `SEGMENT` turns in a row.
+def _segments(rows: DataFrame, size: int) -> DataFrame:
+    """A written table with the keys of all prefixes, up to `size` turns in a row.
 
     Inside a segment each key is a digest of the key before it and the turn. The
     key at a segment's end comes from the sum of the digests of all segments up
     to there, so that segments of one conversation are worked on apart.
     """
-    parts = rows.groupBy("conv_id", F.floor((F.col("depth") - 1) / SEGMENT).alias("segment"), "total").agg(
+    parts = rows.groupBy("conv_id", F.floor((F.col("depth") - 1) / size).alias("segment"), "total").agg(
         F.sort_array(F.collect_list(F.struct("depth", "digest", "n_words"))).alias("turns")
     )
     hexed = F.array_join(F.transform("turns.digest", F.hex), "")
     named = F.sha2(F.concat(F.col("segment").cast("string"), F.lit(":"), hexed), 256)
-    full = parts.filter(F.size("turns") == SEGMENT).select("conv_id", "segment", named.alias("name"))
+    full = parts.filter(F.size("turns") == size).select("conv_id", "segment", named.alias("name"))
     so_far = Window.partitionBy("conv_id").orderBy("segment")  # one short row for each full segment
     lanes = [
         F.sum(F.conv(F.substring("name", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).over(so_far) for k in range(4)
@@ -124,7 +125,7 @@ def _segments(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["conv_id"],
-                    pc.multiply(batch["segment"], SEGMENT),
+                    pc.multiply(batch["segment"], size),
                     batch["total"],
                     pa.array(bases, pa.binary()),
                     pa.array(keys, pa.binary()),
@@ -314,7 +315,7 @@ def _key_at(place: Column) -> Column:
     return F.substring(F.col("keys"), ((place - 1) * KEY_BYTES + 1).cast("int"), F.lit(KEY_BYTES))
 
 
-def nodes(rows: DataFrame, convs: DataFrame) -> DataFrame:
+def nodes(rows: DataFrame, convs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """One row for each distinct prefix of the conversations of `paths` or `shared_heads`, the empty one included.
 
     `conv_id` is the least member and `parent_conv_id` that of the prefix one
@@ -324,7 +325,7 @@ def nodes(rows: DataFrame, convs: DataFrame) -> DataFrame:
     and `ends_sha256` the digest of the ids that end there. Without
     conversations there are no rows. Keys have 16 bytes of a digest.
     """
-    segments = _segments(rows)
+    segments = _segments(rows, segment)
     merged = _expanded(segments).groupBy("key").agg(
         F.sum("n_convs").alias("n_convs"), F.min("owner").alias("owner"), F.max("depth").alias("depth"),
         F.max("parent").alias("parent"), F.max("n_words").alias("n_words"),
@@ -358,9 +359,9 @@ def nodes(rows: DataFrame, convs: DataFrame) -> DataFrame:
     )
     below = below.groupBy("key").agg(F.sum("owned").alias("below"), F.sum("leaves").alias("leaves_below"))
 
-    before = ordered.running_total(tree, ["owner"], ["depth"], F.floor(F.col("depth") / SEGMENT), "own", "so_far")
+    before = ordered.running_total(tree, ["owner"], ["depth"], F.floor(F.col("depth") / segment), "own", "so_far")
     whole = before.join(owners.select("owner", "owned", "leaves"), "owner").join(below, "key", "left")
-    last = segments.filter(F.col("total") <= F.col("base") + SEGMENT)
+    last = segments.filter(F.col("total") <= F.col("base") + segment)
     ends = last.select(_key_at(F.col("total") - F.col("base")).alias("key"), "conv_id")
     ends = ends.unionByName(convs.filter("total = 0").select(F.lit(ROOT).alias("key"), "conv_id"))
     above = tree.select(F.col("key").alias("parent"), F.col("owner").alias("parent_conv_id"))
