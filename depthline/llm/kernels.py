@@ -6,7 +6,7 @@ or looped over by text unless a caller needs to. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE_HASH = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+_BYTE_HASH = np.random.RandomState(20240229).randint(1, 2**31 - 1, 256, dtype=np.int64).astype(U)
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans are hashed by two polynomials over a prime field; one modulo a power of two has spans that collide for every base.
+_PRIME = 2**31 - 1
+_BASES = (1_147_483_629, 628_318_531)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,23 +90,56 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, off)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_of(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, U)
+    have = 1
+    while have < size:
+        step = U(pow(base, have, _PRIME))
+        out[have : 2 * have] = out[:have] * step % U(_PRIME)
+        have *= 2
+    return out
+
+
+def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, for `n` places or more."""
     size = 1 << max(12, int(n).bit_length())
-    if size not in _powers:
-        ones = np.ones(size, U)
-        up, down = ones.copy(), ones.copy()
-        up[1:] = U(_BASE)
-        down[1:] = U(pow(_BASE, -1, 2**64))
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
+    if (base, size) not in _powers:
+        _powers[base, size] = _powers_of(base, size), _powers_of(pow(base, -1, _PRIME), size)
+    return _powers[base, size]
+
+
+def running_hash(first: np.ndarray, second: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from starts and ends to 64-bit hashes of the values between, from two running polynomials.
+
+    Each value is a pair of numbers below the prime, one for each polynomial.
+    Equal runs have equal hashes wherever they stand.
+    """
+    n, sums, term = len(first), [], np.empty(len(first), U)
+    for base, values in zip(_BASES, (first, second)):
+        np.multiply(values, _power_tables(base, n)[0][:n], out=term)
+        np.remainder(term, U(_PRIME), out=term)
+        total = np.zeros(n + 1, U)
+        np.cumsum(term, out=total[1:])
+        sums.append(total)
+
+    def between(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.asarray(end - start).astype(U)
+        for base, total in zip(_BASES, sums):
+            part = total[end]
+            part -= total[start]
+            np.remainder(part, U(_PRIME), out=part)
+            part *= _power_tables(base, n)[1][start]
+            np.remainder(part, U(_PRIME), out=part)
+            out = mix(out + (part << U(32)) + part)
+        return out
+
+    return between
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial over the block."""
-    up, down = _power_tables(len(buf))
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum(_BYTE_HASH[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    """64-bit hashes of byte spans."""
+    values = _BYTE_HASH[buf]
+    return running_hash(values, values)(start, end)
 
 
 def run_hash(values: np.ndarray, k: int) -> np.ndarray:

@@ -31,10 +31,8 @@ def _word_grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    up, down = K._power_tables(len(hashes))
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return (K.mix((total[k:] - total[:-k]) * down[:n]) >> U(32)).astype(np.uint32)
+    at = np.arange(n)
+    return (_run_hashes(hashes)(at, at + k) >> U(32)).astype(np.uint32)
 
 
 def _split(rule: A.Rule) -> A.Split:
@@ -122,10 +120,7 @@ def _contexts(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int
 
 def _run_hashes(hashes: np.ndarray):
     """A function from starts and ends to hashes of the words between."""
-    up, down = K._power_tables(len(hashes))
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return lambda start, end: K.mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    return K.running_hash(hashes >> U(33), hashes & U(2**31 - 1))
 
 
 def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
