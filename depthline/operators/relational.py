@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depthline.functions.columns import contains_ignoring_case, entropy_term, json_flag_is, known
-from depthline.operators.quantiles import exact_quantiles
+from depthline.operators.quantiles import quantiles_of
 
 # ---------------------------------------------------------------- joins
 
@@ -164,12 +164,10 @@ def count_known(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     return df.groupBy(*keys).agg(*[F.count(F.col(c)).alias(c) for c in columns])
 
 
-def summary_statistics(df: DataFrame, features: Sequence[str] | str, accuracy: int = 10_000) -> DataFrame:
+def summary_statistics(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
     """`(feature, median, q05, q95, dq)`, one row per feature, exact."""
     features = [features] if isinstance(features, str) else list(features)
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    long = df.select(F.inline(pairs))
-    quantiles = exact_quantiles(long, ["feature"], "value", [0.5, 0.05, 0.95], accuracy)
+    quantiles = quantiles_of(df, [], features, [0.5, 0.05, 0.95])
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))

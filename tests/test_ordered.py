@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depthline.operators import ordered as O
-from depthline.operators.quantiles import exact_quantiles
+from depthline.operators.quantiles import exact_quantiles, from_order_numbers, order_numbers, quantiles_of
 from depthline.operators.spatial import interpolate_track
 
 
@@ -41,26 +41,44 @@ def test_ordered_operators_equal_plain_windows(rows, width):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
-@pytest.mark.parametrize("kind", ["normal", "ties", "outlier"])
-def test_quantiles_are_exact(spark, accuracy, kind):
+@pytest.mark.parametrize("kind", ["normal", "ties", "outlier", "signs"])
+def test_quantiles_are_exact(spark, kind):
     rng = np.random.default_rng(7)
     v = {
         "normal": rng.normal(size=3001),
         "ties": rng.integers(0, 4, 3001).astype(float),
         "outlier": np.r_[rng.normal(size=3000), 1e12],
+        "signs": np.r_[np.zeros(700), -np.zeros(700), np.full(800, -1e-300), rng.normal(size=800) * 10.0 ** rng.integers(-200, 200, 800)],
     }[kind]
     data = [("a", float(x)) for x in v] + [("b", float(x)) for x in v[:11]] + [("a", float("nan")), ("a", None)]
     df = spark.createDataFrame(data, "k string, v double")
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
     for keys in (["k"], []):
-        got = {(r["k"] if keys else None, r["prob"]): r["quantile"] for r in exact_quantiles(df, keys, "v", probs, accuracy).collect()}
+        got = {(r["k"] if keys else None, r["prob"]): r["quantile"] for r in exact_quantiles(df, keys, "v", probs).collect()}
         groups = {"a": v, "b": v[:11]} if keys else {None: np.r_[v, v[:11]]}
         for key, x in groups.items():
             for p in probs:
                 assert got[(key, p)] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
 
 
+def test_order_numbers():
+    v = np.array([-np.inf, -1e308, -2.0, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.5, 1e308, np.inf])
+    n = order_numbers(v)
+    assert (np.diff(n) > 0).all() and np.array_equal(from_order_numbers(n), v)
+    assert order_numbers(np.array([-0.0])) == order_numbers(np.array([0.0]))
+
+
+def test_quantiles_of_several_columns(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=500), rng.integers(0, 9, 500).astype(float)
+    rows = [(int(i % 3), float(x), float(y), None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, never double")
+    got = {(r["k"], r["feature"]): r["quantile"] for r in quantiles_of(df, ["k"], ["a", "b", "never"], [0.3]).collect()}
+    assert got.keys() == {(k, f) for k in range(3) for f in "ab"}  # a column without values has no rows
+    for (k, f), v in got.items():
+        assert v == pytest.approx(np.quantile({"a": a, "b": b}[f][k::3], 0.3), rel=1e-12)
+
+
 def test_track_interpolation_equals_numpy(spark):
     rng = np.random.default_rng(2)
     d = np.sort(rng.uniform(0, 100, 30))
