@@ -20,19 +20,17 @@ from depthline.session import materialise
 
 
 def grouped_folds(
-    df: DataFrame, group: str, n_folds: int = 5, seed: int = 12345, order: Column | None = None, block: Column | None = None
+    df: DataFrame, group: str, n_folds: int = 5, seed: int = 12345, order: Column | None = None
 ) -> DataFrame:
     """`(group, fold)`: whole groups per fold, sizes as equal as floor(i/n*k) makes them.
 
-    Groups are shuffled by a seeded hash, which is also what cuts them into
-    blocks, so ranking them needs no single-task sort. Give `order` and a
-    matching `block` for another order.
+    Groups are shuffled by a seeded digest and numbered range by range, so ranking
+    them needs no single-task sort. Give `order` for another order.
     """
     members = df.select(group).distinct()
     if order is None:
-        order = F.xxhash64(F.col(group), F.lit(seed))
-        block = F.shiftright(order, 48)
-    placed = dense_index(members.withColumn("_rank", order), [], ["_rank", group], block, "_pos")
+        order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary"))
+    placed = dense_index(members.withColumn("_rank", order), [], ["_rank", group], None, "_pos")
     total = members.agg(F.count(F.lit(1))).scalar()
     fold = F.floor(F.col("_pos") * F.lit(n_folds) / total).cast("int")
     return placed.select(group, F.least(fold, F.lit(n_folds - 1)).alias("fold"))

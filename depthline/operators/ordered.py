@@ -6,7 +6,9 @@ key is cut into blocks by an expression that does not decrease along the order
 to cross a block edge is one small row per block, computed by an aggregate with
 map-side combine and joined back on the same `(key, block)` partitioning.
 Rows with a NULL key are dropped; a NULL order value stands before all others,
-in a block of its own.
+in a block of its own, or in blocks of the next order column where two block
+expressions are given. Without a key there is nothing to partition by:
+`dense_index` then numbers the rows of a range-partitioned table.
 """
 
 from __future__ import annotations
@@ -16,8 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthline.session import materialise
+
 _BLOCK = "_block"
 _NULL_BLOCK = -(2**62)
+#: `monotonically_increasing_id` counts the rows of a partition in its lowest bits.
+_ROW_BITS = 33
+#: Partitions whose counts one task adds up.
+_FAN = 256
 
 
 def time_block(ts, seconds: int) -> Column:
@@ -32,15 +40,28 @@ def range_block(value, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("bigint")
 
 
-def _with_block(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    out = df.withColumn(_BLOCK, F.coalesce(block, F.lit(_NULL_BLOCK)))
+def _with_block(df: DataFrame, keys: Sequence[str], block: Column | Sequence[Column]) -> DataFrame:
+    first, *rest = [block] if isinstance(block, Column) else list(block)
+    placed = F.coalesce(first, F.lit(_NULL_BLOCK))
+    if rest:  # rows without a place have their blocks by what they are ordered by next
+        placed = F.struct(placed, F.when(first.isNull(), F.coalesce(rest[0], F.lit(_NULL_BLOCK))).otherwise(F.lit(0)))
+    out = df.withColumn(_BLOCK, placed)
     for k in keys:
         out = out.filter(F.col(k).isNotNull())
     return out
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str) -> DataFrame:
-    """Add the 0-based position of each row within its key."""
+def dense_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | Sequence[Column] | None, name: str
+) -> DataFrame:
+    """Add the 0-based position of each row within its key, or in the whole table where there are no keys.
+
+    `block` cuts a key into blocks; give two expressions, of the first and the
+    second order column, where many rows have no first one. It isn't needed
+    without keys.
+    """
+    if not keys:
+        return _numbered(df, order, name)
     rows = _with_block(df, keys, block)
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,6 +79,37 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     )
 
 
+def _numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Positions in the whole table: rows are dealt to ranges, and a range starts after the rows of those before it.
+
+    The ranges are written once, so that they are the same for the counts and
+    for the rows. The counts, one for each partition, are added up in groups of
+    `_FAN`, and the groups' sums in one row; that small table is broadcast.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = materialise(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_id", _ROW_BITS)
+    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_group", F.floor(F.col("_part") / _FAN))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sums = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
+    listed = F.sort_array(F.collect_list(F.struct("_group", "_n")))
+    running = F.aggregate(
+        F.col("_l"),
+        F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<_group:bigint,_ahead:bigint>>").alias("out")),
+        lambda a, x: F.struct(
+            (a["sum"] + x["_n"]).alias("sum"),
+            F.concat(a["out"], F.array(F.struct(x["_group"].alias("_group"), a["sum"].alias("_ahead")))).alias("out"),
+        ),
+    )
+    ahead = sums.agg(listed.alias("_l")).select(F.inline(running["out"]))
+    starts = counts.join(ahead, "_group").select("_part", (F.col("_inside") + F.col("_ahead")).alias("_start"))
+    numbered = held.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row for each partition
+    row = F.col("_id").bitwiseAND(F.lit(2**_ROW_BITS - 1))
+    return numbered.withColumn(name, (row + F.col("_start")).cast("bigint")).drop("_id", "_part", "_start")
+
+
 def next_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, columns: dict[str, str]
 ) -> DataFrame:

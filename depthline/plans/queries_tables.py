@@ -211,7 +211,7 @@ def membership_split(spark, sf_dir):
     customers = S.table(spark, sf_dir, "customer")
     first = customers.agg(F.min("c_mktsegment")).scalar()
     chosen = customers.filter(F.col("c_mktsegment") == first).select(F.col("c_custkey").alias("o_custkey"))
-    members = dense_index(chosen, [], ["o_custkey"], range_block("o_custkey", 65536), "position")
+    members = dense_index(chosen, [], ["o_custkey"], None, "position")
     orders = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return R.membership_position(orders, "o_custkey", members, "position").withColumn(
         "is_test", F.col("position").isNotNull()
@@ -386,7 +386,8 @@ def index_with_gaps(spark, sf_dir):
     """Positions within a user where some rows have no order value: they stand first."""
     rows = S.table(spark, sf_dir, "events").select("event_id", "user_id")
     rows = rows.withColumn("place", F.when(F.col("event_id") % 7 != 0, F.col("event_id")))
-    return dense_index(rows, ["user_id"], ["place", "event_id"], range_block("place", 65536), "position")
+    blocks = [range_block("place", 4096), range_block("event_id", 4096)]
+    return dense_index(rows, ["user_id"], ["place", "event_id"], blocks, "position")
 
 
 @query(
@@ -520,15 +521,14 @@ def symmetric_matrix(spark, sf_dir):
 @query(
     "grouped_folds",
     """
-SELECT c_custkey, CAST(least(floor((row_number() OVER (ORDER BY c_custkey) - 1) * 5 / (SELECT count(*) FROM customer)), 4) AS INTEGER) AS fold
+SELECT c_custkey, CAST(least(floor((row_number() OVER (ORDER BY md5('12345:' || c_custkey), c_custkey) - 1) * 5 / (SELECT count(*) FROM customer)), 4) AS INTEGER) AS fold
 FROM customer
 """,
 )
 def grouped_folds(spark, sf_dir):
     from depthline.operators.learn import grouped_folds as folds
 
-    rows = S.table(spark, sf_dir, "customer")
-    return folds(rows, "c_custkey", 5, order=F.col("c_custkey"), block=range_block("c_custkey", 65536))
+    return folds(S.table(spark, sf_dir, "customer"), "c_custkey", 5)
 
 
 @query(

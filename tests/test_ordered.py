@@ -41,6 +41,29 @@ def test_ordered_operators_equal_plain_windows(rows, width):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_numbers_without_a_key(spark):
+    """Ranges are numbered one after the other, ties and NULL first, and no window takes the whole table."""
+    rng = np.random.default_rng(3)
+    rows = [(None if x < 4 else int(x), i) for i, x in enumerate(rng.integers(0, 40, 3000))] + [(41, 9000)] * 3
+    df = spark.createDataFrame(rows, "v int, id int").repartition(7)
+    got = O.dense_index(df, [], ["v", "id"], None, "i")
+    assert sorted((r["i"], r["v"] is not None, r["v"] or 0, r["id"]) for r in got.collect()) == [
+        (i, *r) for i, r in enumerate(sorted((v is not None, v or 0, i) for v, i in rows))
+    ]
+    for part in got._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "Window [" not in part or "_group" in part
+    assert O.dense_index(df.limit(0), [], ["v"], None, "i").collect() == []
+
+
+def test_rows_without_a_place_have_blocks(spark):
+    rows = [("a", None if i % 3 else i, i) for i in range(900)] + [("b", None, i) for i in range(50)] + [("b", 3, None), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, place int, id int").repartition(5)
+    order = Window.partitionBy("k").orderBy("place", "id")
+    want = df.withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+    got = O.dense_index(df, ["k"], ["place", "id"], [O.range_block("place", 64), O.range_block("id", 64)], "i")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("kind", ["normal", "ties", "outlier", "signs"])
 def test_quantiles_are_exact(spark, kind):
     rng = np.random.default_rng(7)
