@@ -166,11 +166,12 @@ def csd_second_difference(spark, sf_dir):
     f"""WITH {SM}, {_fir_sql(2)}, low AS (SELECT pid, snippet, channel, axial_um, lateral_um, k AS s, y AS x, n // 2 AS n FROM fir),
 {CSD_CORE.format(source='low')},
 sig AS (SELECT pid, snippet, channel, s, y AS x, n, 32.0 AS fs FROM csd WHERE y IS NOT NULL),
-{SPECTRUM_SQL}, {RMS_SQL} {_lf_sql('_csd').replace(r('any_value(rms)'), r('any_value(rms)', 8))}""",
+{SPECTRUM_SQL}, {RMS_SQL}, found AS ({_lf_sql('_csd').replace(r('any_value(rms)'), r('any_value(rms)', 8))})
+SELECT * FROM (SELECT pid, snippet, channel FROM tr) LEFT JOIN found USING (pid, snippet, channel)""",
 )
 def csd_features(spark, sf_dir):
-    rows = S.traces(spark, sf_dir)
-    out = G.csd_features(rows, q=2).filter("rms_lf_csd IS NOT NULL")
+    """Channels of columns with fewer than three sites have no density, and NULL features."""
+    out = G.csd_features(S.traces(spark, sf_dir), q=2)
     return out.withColumns({c: C.rounded(c, 8 if c == "rms_lf_csd" else 4) for c in out.columns if c not in KEY})
 
 

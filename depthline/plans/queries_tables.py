@@ -129,28 +129,30 @@ def feature_channel_join(spark, sf_dir):
     return R.drop_incomplete(joined).withColumns({"a": C.rounded("a", 6), "b": C.rounded("b", 6)})
 
 
-_PER_TYPE = [("click", "lf"), ("purchase", "ap"), ("error", "wf")]
+_PER_TYPE = ["click", "error", "purchase", "signup", "view"]
 
 
 @query(
     "feature_outer_merge",
     "WITH "
     + ", ".join(
-        f"{s} AS (SELECT user_id, count(*) AS n_{s}, {r('avg(value)')} AS mean_{s} FROM events "
-        f"WHERE event_type = '{t}' AND value > 110 GROUP BY 1)"
-        for t, s in _PER_TYPE
+        f"{t} AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_{t}, {r('avg(value)')} AS mean_{t} FROM events "
+        f"WHERE event_type = '{t}' GROUP BY ALL)"
+        for t in _PER_TYPE
     )
-    + " SELECT user_id, n_lf, mean_lf, n_ap, mean_ap, n_wf, mean_wf FROM lf FULL JOIN ap USING (user_id) FULL JOIN wf USING (user_id)",
+    + f" SELECT user_id, day, {', '.join(f'n_{t}, mean_{t}' for t in _PER_TYPE)} FROM {_PER_TYPE[0]} "
+    + " ".join(f"FULL JOIN {t} USING (user_id, day)" for t in _PER_TYPE[1:]),
 )
 def feature_outer_merge(spark, sf_dir):
-    ev = S.events(spark, sf_dir).filter("value > 110")
+    """One set of features for each event type, over all events; most users lack some type on most days."""
+    ev = S.events(spark, sf_dir).withColumn("day", F.to_date("ts"))
     sets = [
         ev.filter(F.col("event_type") == t)
-        .groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias(f"n_{s}"), C.rounded(F.avg("value")).alias(f"mean_{s}"))
-        for t, s in _PER_TYPE
+        .groupBy("user_id", "day")
+        .agg(F.count(F.lit(1)).alias(f"n_{t}"), C.rounded(F.avg("value")).alias(f"mean_{t}"))
+        for t in _PER_TYPE
     ]
-    return R.outer_merge(sets, ["user_id"])
+    return R.outer_merge(sets, ["user_id", "day"])
 
 
 @query(
