@@ -88,6 +88,30 @@ def spectral_summary(bands: Mapping[str, tuple[float, float]], high_from: float
     return summary
 
 
+def spectral_sums(bands: Mapping[str, tuple[float, float]], high_from: float = 0.8):
+    """Arrow function `(samples, fs) -> [n, sum of squares, n * power of each band, n * high power, n * power]`.
+
+    Sums over the parts of a recording give its RMS, and means of its parts'
+    spectra. A part that is too short for a band has NaN there.
+    """
+    bands = dict(bands)
+
+    @F.pandas_udf("array<double>")
+    def sums(samples: pd.Series, fs: pd.Series) -> pd.Series:
+        out = np.empty(len(samples), dtype=object)
+        for at, x, rate in _equal_shapes(samples, fs):
+            n = x.shape[1]
+            density = power_spectrum(x, rate)
+            high = np.fft.rfftfreq(n, 1.0 / rate) > high_from * rate / 2.0
+            powers = density @ band_weights(n, rate, bands)
+            rows = [np.full(len(at), n), (x * x).sum(axis=1), n * powers, n * density[:, high].sum(axis=1), n * density.sum(axis=1)]
+            for i, row in zip(at, np.column_stack(rows)):
+                out[i] = row
+        return pd.Series(out)
+
+    return sums
+
+
 def low_pass(q: int) -> np.ndarray:
     """Hamming-windowed sinc of 20q+1 taps, cut at 1/q of Nyquist, unit sum."""
     m = np.arange(-10 * q, 10 * q + 1)
@@ -111,9 +135,9 @@ def decimator(q: int):
     return decimated
 
 
-def peaks_over(x: np.ndarray, threshold: float, reach: int):
-    """`(row, sample, z, ptp)` of samples of |x|/rms >= threshold that lead within +-reach."""
-    level = np.sqrt((x * x).mean(axis=1))
+def peaks_over(x: np.ndarray, threshold: float, reach: int, level: np.ndarray | None = None):
+    """`(row, sample, z, ptp)` of samples of |x|/level >= threshold that lead within +-reach; the level is the RMS unless given."""
+    level = np.sqrt((x * x).mean(axis=1)) if level is None else level
     size = np.abs(x)
     row, sample = np.nonzero((size >= threshold * level[:, None]) & (level[:, None] > 0))
     offsets = np.arange(-reach, reach + 1)

@@ -64,6 +64,28 @@ def lf_features(
     )
 
 
+def summed_spectra(df: DataFrame, bands: Mapping[str, tuple[float, float]], keys: Sequence[str]) -> DataFrame:
+    """`rms` and the mean power of each band of traces that lie in several rows.
+
+    Sums of squares and numbers of samples are added; spectra are averaged over
+    the rows with their numbers of samples as weights, without those that are
+    too short for the band.
+    """
+    sums = df.select(*keys, "channel", K.spectral_sums(bands)("samples", "fs").alias("_s")).filter("_s is not null")
+    n = F.col("_s")[0]
+    powers = []
+    for i, band in enumerate(bands):
+        power = known(F.col("_s")[2 + i])
+        powers.append(F.try_divide(F.sum(power), F.sum(F.when(power.isNotNull(), n))).alias(band))
+    last = 2 + len(bands)
+    return sums.groupBy(*keys, "channel").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("_s")[1]), F.sum(n))).alias("rms"),
+        *powers,
+        F.sum(F.col("_s")[last]).alias("_high"),
+        F.sum(F.col("_s")[last + 1]).alias("_power"),
+    )
+
+
 def decimate(df: DataFrame, q: int) -> DataFrame:
     """Low-pass and keep every q-th sample. `fs` keeps its value; see `csd_features`."""
     return df.withColumn("samples", K.decimator(q)("samples"))
@@ -210,17 +232,23 @@ def quality_labels(
     high_share: float = 0.5,
     outside_below: float = 0.1,
     keys: Sequence[str] = RECORDING,
+    parts: Sequence[str] = (),
 ) -> DataFrame:
     """Channel labels: 0 good, 1 dead, 2 noisy, 3 outside.
 
     Dead and noisy compare the RMS with the probe's median and the share of
     high-frequency power; outside is the unbroken run of uncorrelated channels
-    at the top.
+    at the top. `parts` names columns (a frame) over which a trace is cut; sums
+    over them give the measures of the whole.
     """
-    measures = df.select(*keys, "channel", K.spectral_summary({})("samples", "fs").alias("_s")).select(
-        *keys, "channel", F.col("_s")[0].alias("rms"), F.col("_s")[1].alias("high")
-    )
-    banded = banded_covariance(df, half_width=1, keys=keys)
+    if parts:
+        summed = summed_spectra(df, {}, keys)
+        measures = summed.select(*keys, "channel", "rms", F.coalesce(F.try_divide("_high", "_power"), F.lit(0.0)).alias("high"))
+    else:
+        measures = df.select(*keys, "channel", K.spectral_summary({})("samples", "fs").alias("_s")).select(
+            *keys, "channel", F.col("_s")[0].alias("rms"), F.col("_s")[1].alias("high")
+        )
+    banded = banded_covariance(df, half_width=1, parts=parts, keys=keys)
     # products[1] of channel c-1 is its covariance with c.
     previous = banded.select(
         *keys, (F.col("channel") + 1).alias("channel"), known(F.col("products")[1]).alias("_with_prev")
@@ -299,8 +327,13 @@ def destripe(df: DataFrame, radius_um: float = 60.0, keys: Sequence[str] = RECOR
 # ---------------------------------------------------------------- events
 
 
-def candidate_events(df: DataFrame, threshold: float = 5.0, reach: int = 20, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """Samples whose |x|/rms reaches the threshold and is the largest within +-reach."""
+def candidate_events(
+    df: DataFrame, threshold: float = 5.0, reach: int = 20, keys: Sequence[str] = RECORDING, level: str | None = None
+) -> DataFrame:
+    """Samples whose |x|/rms reaches the threshold and is the largest within +-reach.
+
+    `level` names a column with the RMS to use, where the samples are a part of a trace.
+    """
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [df.schema[c] for c in ("channel", "lateral_um", "axial_um")]
@@ -312,10 +345,11 @@ def candidate_events(df: DataFrame, threshold: float = 5.0, reach: int = 20, key
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, x in K.equal_lengths(pdf["samples"]):
-                row, sample, z, ptp = K.peaks_over(x, threshold, reach)
+                given = None if level is None else pdf[level].to_numpy(dtype=float)[at]
+                row, sample, z, ptp = K.peaks_over(x, threshold, reach, given)
                 yield pdf[fixed].iloc[at[row]].assign(sample=sample, z=z, ptp=ptp)
 
-    return df.select(*fixed, "samples").mapInPandas(found, schema)
+    return df.select(*fixed, "samples", *([level] if level else [])).mapInPandas(found, schema)
 
 
 def strongest_events(

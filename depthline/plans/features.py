@@ -12,6 +12,7 @@ from depthline.functions.columns import affine, clipped, tilted_angles
 from depthline.operators import signal as G
 from depthline.operators.relational import first_by_preference, outer_merge
 from depthline.operators.spatial import interpolate_track
+from depthline.plans import recordings as whole
 from depthline.schemas import FEATURE_SETS, checked_sets
 from depthline.session import materialise
 from depthline.sources import sinks
@@ -106,11 +107,15 @@ def compute_features(
     these keys where they exist. All sets are computed in one
     job, in which those of a band share its shuffles, and then stored.
     """
-    found = feature_sets(ap, lf, requested, keys=keys, **options)
+    return merged_sets(feature_sets(ap, lf, requested, keys=keys, **options), store, keys)
+
+
+def merged_sets(found: Mapping[str, DataFrame], store: str | None = None, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """Computed sets merged on the channel, and stored where there is a `store`; see `compute_features`."""
     on = [*keys, "channel"]
     if store is None:
         return outer_merge(list(found.values()), on)
-    spark = ap.sparkSession
+    spark = next(iter(found.values())).sparkSession
     marked = [df.withColumn(f"_has_{name}", F.lit(True)) for name, df in found.items()]
     merged = materialise(outer_merge(marked, on), "features")
     for name, df in found.items():
@@ -133,13 +138,17 @@ def compute_windows(
     duration: float | None = None,
     chunk_samples: Mapping[str, int] | None = None,
     lf_latency: int = 3,
+    frame_samples: Mapping[str, int] | None = None,
+    store: str | None = None,
+    requested: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """Features of one time window of every recording, in one job.
 
     Without a duration each recording is used to its end, as far as both bands
-    reach. Raises when a recording cannot serve the window. The low band starts
-    `lf_latency` samples later than the high band.
+    reach, in frames of `frame_samples` (see `plans.recordings`). Raises when a
+    recording cannot serve the window. The low band starts `lf_latency` samples
+    later than the high band.
     """
     sizes = chunk_samples or {"ap": 30_000, "lf": 2_500}
     windows = (
@@ -153,7 +162,24 @@ def compute_windows(
     def window(chunks: DataFrame, band: str, latency: int) -> DataFrame:
         return time_windows(chunks, windows, sizes[band], latency).join(layout, ["pid", "channel"])
 
-    return compute_features(window(ap_chunks, "ap", 0), window(lf_chunks, "lf", lf_latency), **options)
+    if duration is None:
+        lengths = frame_samples or {"ap": 90_000, "lf": 7_500}
+        q, before = options.get("q", 10), options.get("before", 42)
+        if lengths["lf"] % q:
+            raise ValueError(f"frames of the low band must be a multiple of {q} samples")
+        halo_ap, halo_lf = whole.halo_of(q, before, **(options.get("detection") or {}))
+        # The low band ends `lf_latency` samples earlier than the usable duration.
+        low = windows.join(lf_chunks.select("pid", "fs").distinct(), "pid")
+        low = low.withColumn("duration", F.col("duration") - F.lit(lf_latency) / F.col("fs"))
+        ap = whole.frames(ap_chunks, windows, lengths["ap"], halo_ap).join(layout, ["pid", "channel"])
+        lf = whole.frames(lf_chunks, low, lengths["lf"], halo_lf, lf_latency).join(layout, ["pid", "channel"])
+        options.pop("write_once", None)
+        numbered = windows.select("pid", "snippet")
+        sets = whole.whole_sets(ap, lf, requested, **options)
+        return merged_sets({name: numbered.join(df, "pid") for name, df in sets.items()}, store)
+    return compute_features(
+        window(ap_chunks, "ap", 0), window(lf_chunks, "lf", lf_latency), requested=requested, store=store, **options
+    )
 
 
 def window_number(t_start: float, duration: float | None) -> int:

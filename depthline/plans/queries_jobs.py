@@ -80,6 +80,55 @@ def compute_features(spark, sf_dir):
     return out.withColumns({c: C.rounded(c, places.get(c, 4)) for c in out.columns if c not in (*KEY, "spike_count")})
 
 
+def _framed_sql(source: str, size: int, fs: float, suffix: str) -> str:
+    """Band powers of `source(pid, snippet, channel, s, x)` as means over frames of `size`, the last of 64 / 20 frames being longer."""
+    signal = (
+        f"sig AS (SELECT pid, snippet * 10 + fr AS snippet, channel, s - fr * {size} AS s, x, {size} + fr // 2 * {size // 5} AS n, "
+        f"{fs} AS fs FROM (SELECT *, least(s // {size}, 2) AS fr FROM ({source})))"
+    )
+    bands, means = [], []
+    for band, (low, high) in SIG.BANDS.items():
+        c, w = (low + high) / 2.0, high - low
+        weight = f"CASE WHEN abs(f-{c})<{w} THEN (1-cos(pi()*(1-abs(f-{c})/{w})))/2 ELSE 0 END"
+        bands.append(f"sum(p*{weight})/nullif(sum({weight}),0) AS {band}")
+        means.append(f"{r(f'10*log10(sum(n*{band})/sum(n) FILTER ({band} IS NOT NULL))')} AS psd_{band}{suffix}")
+    return (
+        f"{signal}, {SIG.SPECTRUM_SQL}, part AS (SELECT pid, snippet // 10 AS snippet, channel, "
+        f"{size} + snippet % 10 // 2 * {size // 5} AS n, {', '.join(bands)} FROM psd GROUP BY pid, snippet, channel), "
+        f"square AS (SELECT pid, snippet, channel, {r('sqrt(avg(x * x))', 8 if suffix else 4)} AS rms_lf{suffix} FROM ({source}) GROUP BY ALL) "
+        f"SELECT pid, snippet, channel, any_value(rms_lf{suffix}) AS rms_lf{suffix}, {', '.join(means)} "
+        "FROM part JOIN square USING (pid, snippet, channel) GROUP BY ALL"
+    )
+
+
+_LOW_SQL = f"""{SIG.SM}, {SIG._fir_sql(2)}, low AS (SELECT pid, snippet, channel, axial_um, lateral_um, k AS s, y AS x, n // 2 AS n FROM fir),
+{SIG.CSD_CORE.format(source='low')}"""
+
+
+@query(
+    "whole_recordings",
+    f"""SELECT concat_ws('-', pid, snippet) AS pid, channel, * EXCLUDE (pid, snippet, channel) FROM (
+WITH {SIG.SM}, {_framed_sql('SELECT pid, snippet, channel, s, x FROM sm', 20, 64.0, '')})
+LEFT JOIN (WITH {_LOW_SQL}, {_framed_sql('SELECT pid, snippet, channel, s, y AS x FROM csd WHERE y IS NOT NULL', 10, 32.0, '_csd')}) USING (pid, snippet, channel)
+FULL JOIN ({ORACLES['cor_ratio']}) USING (pid, snippet, channel) FULL JOIN ({ORACLES['spike_features']}) USING (pid, snippet, channel)""",
+)
+def whole_recordings(spark, sf_dir):
+    """All sets of recordings used to their end: three frames of 20, 20 and 24 samples each."""
+    chunks = _chunks(spark, sf_dir)
+    layout = S.traces(spark, sf_dir).select(F.concat_ws("-", "pid", "snippet").alias("pid"), "channel", "axial_um", "lateral_um")
+    bands = [chunks.select("pid").distinct().select("pid", F.lit(b).alias("band")) for b in ("ap", "lf")]
+    recordings = bands[0].unionByName(bands[1]).select(
+        "*", F.lit(64).alias("ns"), F.lit(S.FS).alias("fs"), F.lit(385).alias("nc"), F.lit(1).alias("nsync")
+    )
+    detection = {"threshold": SIG.THRESHOLD, "radius_um": SIG.RADIUS, "reach": SIG.REACH, "length": SIG.LENGTH}
+    out = J.compute_windows(
+        chunks, chunks, recordings, layout, chunk_samples={"ap": 16, "lf": 16}, lf_latency=0, frame_samples={"ap": 20, "lf": 20},
+        destriped=True, fs_ap=S.FS, q=2, before=SIG.BEFORE, detection=detection,
+    ).drop("snippet")
+    places = {"rms_ap": 6, "rms_lf_csd": 8}
+    return out.withColumns({c: C.rounded(c, places.get(c, 4)) for c in out.columns if c not in ("pid", "channel", "spike_count")})
+
+
 @query(
     "input_shape_check",
     f"""

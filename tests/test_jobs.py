@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthline.operators import learn as L
+from depthline.plans import features as F_
 from depthline.plans import jobs
+from depthline.plans import recordings as whole_plans
 from depthline.sources import sinks, store
 
 NC = 20
@@ -44,6 +46,39 @@ def test_windows_of_a_table_equal_literal_windows(spark, traces):
     assert len(got) == 3 * NC
 
 
+def test_whole_recordings_equal_one_window(spark, traces, channels):
+    """Frames with halos add up to what one window over the whole recording gives, labels and destriping included."""
+    ap, lf = (traces.filter(f"band = '{b}'") for b in ("ap", "lf"))
+    rows = [(p, b, fs * n, float(fs), NC + 1, 1) for p, n in (("a", 3), ("b", 2)) for b, fs in (("ap", 300), ("lf", 100))]
+    recordings = spark.createDataFrame(rows, "pid string, band string, ns long, fs double, nc int, nsync int")
+    detection = {"threshold": 3.0, "radius_um": 60.0, "reach": 5, "length": 40}
+    common = dict(chunk_samples=SIZES, lf_latency=0, q=2, fs_ap=300.0, before=10, detection=detection)
+    whole = F_.compute_windows(ap, lf, recordings, channels, frame_samples={"ap": 70, "lf": 40}, **common)
+    got = {(r["pid"], r["channel"]): r for r in whole.collect()}
+    one = F_.compute_windows(ap, lf, recordings, channels, frame_samples={"ap": 10_000, "lf": 10_000}, **common)
+    single = {(r["pid"], r["channel"]): r for r in one.collect()}
+    window = F_.compute_windows(ap, lf, recordings.filter("pid = 'b'"), channels.filter("pid = 'b'"), duration=2.0, **common)
+    cut = {(r["pid"], r["channel"]): r for r in window.collect()}
+
+    def same(x, y):
+        return x is y is None or x == pytest.approx(y, rel=1e-9, abs=1e-12)
+
+    assert len(got) == len(single) == 2 * NC
+    for key, r in got.items():
+        for name in r.asDict():
+            if name.startswith("psd"):
+                assert r[name] is not None
+            elif name not in ("pid", "snippet", "channel"):
+                assert same(r[name], single[key][name]), (key, name)
+    for key, r in cut.items():  # one frame is one window, spectra included
+        for name in set(r.asDict()) - {"pid", "snippet", "channel"}:
+            assert same(single[key][name], r[name]), (key, name)
+    framed = whole_plans.frames(ap, recordings.filter("band = 'ap'").selectExpr("pid", "0.1D t_start", "ns / fs - 0.1 duration"), 70, 25)
+    rows = framed.selectExpr("pid", "channel", "frame", "lead", "core", "size(samples) n").collect()
+    assert max(r["n"] for r in rows) < 2 * 70 + 2 * 25 and {r["lead"] for r in rows} == {0, 25}
+    assert sum(r["core"] for r in rows) == NC * (870 + 570)
+
+
 def test_recordings_to_regions(spark, traces, channels, tmp_path):
     root = str(tmp_path / "out")
     tracks = spark.createDataFrame(
