@@ -8,7 +8,7 @@ a probe with very many recordings spreads over its snippets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -472,8 +472,20 @@ def event_shapes(events: DataFrame, fs: float, keys: Sequence[str] = RECORDING)
 
 
 def waveform_features(
-    df: DataFrame, fs: float, before: int = 42, keys: Sequence[str] = RECORDING, **detection
+    df: DataFrame,
+    fs: float,
+    before: int = 42,
+    keys: Sequence[str] = RECORDING,
+    sink: Callable[[DataFrame, DataFrame], None] | None = None,
+    **detection,
 ) -> DataFrame:
-    """The 14 waveform features of every channel that has events."""
-    events, _ = detect_events(df, before=before, keys=keys, **detection)
+    """The 14 waveform features of every channel that has events.
+
+    A `sink` is given the waveforms and the events, which are then written once
+    for it and for the features.
+    """
+    events, waveforms = detect_events(df, before=before, keys=keys, **detection)
+    if sink is not None:
+        events = materialise(events, "events")
+        sink(waveforms, events)
     return channel_event_features(event_shapes(events, fs, keys), [*keys, "channel"], fs, before)

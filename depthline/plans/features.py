@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,7 @@ def feature_sets(
     destriped: bool = False,
     write_once: bool = False,
     keys: Sequence[str] = RECORDING,
+    waveform_sink: Callable[[DataFrame, DataFrame], None] | None = None,
 ) -> dict[str, DataFrame]:
     """Name -> features of each requested set: `lf`, `csd`, `ap`, `waveforms`.
 
@@ -87,7 +88,7 @@ def feature_sets(
         "lf": lambda: G.lf_features(lf, bands, keys=keys),
         "csd": lambda: G.csd_features(lf, bands, q, keys=keys),
         "ap": lambda: G.ap_features(ap, keys),
-        "waveforms": lambda: G.waveform_features(ap, fs_ap, before, keys, **(detection or {})),
+        "waveforms": lambda: G.waveform_features(ap, fs_ap, before, keys, waveform_sink, **(detection or {})),
     }
     return {name: makers[name]() for name in sets}
 
@@ -98,6 +99,7 @@ def compute_features(
     requested: Sequence[str] | None = None,
     store: str | None = None,
     keys: Sequence[str] = RECORDING,
+    save_waveforms: bool = False,
     **options,
 ) -> DataFrame:
     """All sets, merged on the channel.
@@ -105,8 +107,13 @@ def compute_features(
     With a `store`, computed sets are written there, in place of stored rows of
     the same `keys`, and sets that were not requested are taken from it for
     these keys where they exist. All sets are computed in one
-    job, in which those of a band share its shuffles, and then stored.
+    job, in which those of a band share its shuffles, and then stored. With
+    `save_waveforms` the waveforms of the events go there too.
     """
+    if save_waveforms:
+        if store is None:
+            raise ValueError("waveforms are saved to a store")
+        options["waveform_sink"] = lambda waveforms, events: sinks.write_waveforms(waveforms, events, store)
     return merged_sets(feature_sets(ap, lf, requested, keys=keys, **options), store, keys)
 
 
@@ -173,6 +180,8 @@ def compute_windows(
         low = low.withColumn("duration", F.col("duration") - F.lit(lf_latency) / F.col("fs"))
         ap = whole.frames(ap_chunks, windows, lengths["ap"], halo_ap).join(layout, ["pid", "channel"])
         lf = whole.frames(lf_chunks, low, lengths["lf"], halo_lf, lf_latency).join(layout, ["pid", "channel"])
+        if options.pop("save_waveforms", False):
+            raise ValueError("waveforms are saved for windows with a duration")
         options.pop("write_once", None)
         numbered = windows.select("pid", "snippet")
         sets = whole.whole_sets(ap, lf, requested, **options)

@@ -198,6 +198,60 @@ def feature_store_round_trip(spark, sf_dir):
     return sinks.reuse_or_compute(wanted, stored, compute).withColumn("rms_lf", C.rounded("rms_lf", 6))
 
 
+@query(
+    "store_windows",
+    f"""
+WITH {S.TRACES_SQL}, w AS (SELECT pid, snippet * 5000 + t AS snippet, channel, sum(x * x) AS e FROM sm, range(0, 2) q(t)
+  WHERE s // 32 = t GROUP BY ALL)
+SELECT pid, snippet, channel, {r('sqrt(e / 32)', 6)} AS rms_lf FROM w WHERE pid <> 3 OR snippet % 5000 = 1
+""",
+)
+def store_windows(spark, sf_dir):
+    """Store two windows of every probe, one probe after the others and one window twice, and read back what is asked for."""
+    from depthline.operators.signal import rms_by_channel
+
+    rows, root = S.traces(spark, sf_dir), fresh_path(spark, "store")
+    for late in (0, 1):
+        half = rows.withColumns({"snippet": F.col("snippet") * 5000 + late, "samples": F.slice("samples", 1 + 32 * late, 32)})
+        sinks.write_features(rms_by_channel(half.filter("pid <> 3"), "rms_lf"), root, "lf", mode="overwrite")
+        sinks.write_features(rms_by_channel(half.filter("pid = 3"), "rms_lf"), root, "lf", mode="overwrite")
+    sinks.write_features(rms_by_channel(half, "rms_lf"), root, "lf", mode="overwrite")  # again
+    most = sinks.read_features(spark, root, "lf").filter("pid <> 3")
+    one = sinks.read_features(spark, root, "lf", pid=3).filter("snippet % 5000 = 1")
+    return most.unionByName(one).withColumn("rms_lf", C.rounded("rms_lf", 6))
+
+
+@query(
+    "waveform_store",
+    f"""WITH {SIG.SM}, {SIG.EVENT_SQL}, {SIG.LOCATED_SQL},
+power AS (SELECT e.pid, e.snippet, e.channel, e.s, sum(t.x * t.x) AS energy FROM near e JOIN sm t
+  ON t.pid = e.pid AND t.snippet = e.snippet AND t.channel = e.nb AND t.s BETWEEN e.s - {SIG.BEFORE} AND e.s - {SIG.BEFORE} + {SIG.LENGTH} - 1 GROUP BY ALL)
+SELECT pid, snippet, channel, CAST(s AS INTEGER) AS sample, string_agg(nb::VARCHAR, ',' ORDER BY nb) AS neighbours, {SIG.LENGTH} AS length,
+       {r('any_value(energy)')} AS energy, {r('any_value(ptp) FILTER (nb = channel)', 6)} AS ptp
+FROM size JOIN power USING (pid, snippet, channel, s) GROUP BY ALL""",
+)
+def waveform_store(spark, sf_dir):
+    """The job stores waveforms with their channel index and the events, twice; both are read back."""
+    rows, root = S.traces(spark, sf_dir), fresh_path(spark, "store")
+    detection = {"threshold": SIG.THRESHOLD, "radius_um": SIG.RADIUS, "reach": SIG.REACH, "length": SIG.LENGTH}
+    for _ in range(2):
+        J.compute_features(
+            rows, rows, ["waveforms"], root, destriped=True, fs_ap=S.FS, before=SIG.BEFORE, detection=detection, save_waveforms=True
+        )
+    waveforms, events = sinks.read_waveforms(spark, root)
+    energy = F.aggregate(
+        F.flatten("waveform"), F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
+    )
+    key = [*KEY, "sample"]
+    return waveforms.join(events.select(*key, "ptp"), key).select(
+        *key,
+        F.array_join(F.transform("neighbours", lambda c: c.cast("string")), ",").alias("neighbours"),
+        F.array_max(F.transform("waveform", lambda w: F.size(w))).alias("length"),
+        C.rounded(energy).alias("energy"),
+        C.rounded("ptp", 6).alias("ptp"),
+    )
+
+
 @query(
     "correlogram_unpack",
     """

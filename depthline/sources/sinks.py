@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.util import MLReadable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,29 +25,71 @@ def stamped(df: DataFrame) -> DataFrame:
     return df.withColumns({"features_version": F.lit(FEATURES_VERSION), "package_version": F.lit(__version__)})
 
 
-SNIPPETS_PER_FILE = 256
+#: Stored rows lie in folders of so many consecutive snippets, and of probes by a hash of their id.
+SNIPPETS_PER_FOLDER = 4096
+PROBE_SHARDS = 64
+#: A file has so many rows at most.
+ROWS_PER_FILE = 1_000_000
+_LAYOUT = ("snippets", "probes")
 
 
-def _by_probe(df: DataFrame) -> DataFrame:
-    """Rows of a probe meet in few files, at most `SNIPPETS_PER_FILE` snippets in each.
+def _shard(pid: Column) -> Column:
+    return F.pmod(F.xxhash64(pid.cast("string")), F.lit(PROBE_SHARDS)).cast("int")
 
-    So files stay large where probes are small, and a probe with very many
-    snippets is written by many tasks.
+
+def _block(snippet: Column) -> Column:
+    return F.floor(snippet / SNIPPETS_PER_FOLDER).cast("bigint")
+
+
+def store_rows(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows of probes and snippets to `path`: few folders, sorted files of bounded size.
+
+    Rows are dealt out by ranges of folder, probe and snippet, so the statistics
+    of a file and its row groups tell which probes and snippets it holds.
+    `overwrite` replaces the rows of the probes and snippets that `df` holds:
+    only the folders that they lie in are written anew, with the other rows that
+    those had. Two runs that write to one folder have to follow each other.
     """
-    if "snippet" not in df.columns:
-        return df.repartition("pid", F.pmod(F.xxhash64("channel"), F.lit(16)))
-    return df.repartition("pid", F.floor(F.col("snippet") / SNIPPETS_PER_FILE)).sortWithinPartitions("pid", "snippet")
+    spark = df.sparkSession
+    keys = [k for k in ("pid", "snippet") if k in df.columns]
+    block = _block(F.col("snippet")) if "snippet" in keys else F.lit(0).cast("bigint")
+    placed = df.withColumn("snippets", block).withColumn("probes", _shard(F.col("pid")))
+    if mode == "overwrite" and path_exists(spark, path):
+        placed = materialise(placed, "rows")  # read for its folders, its keys and the rows
+        touched = placed.select(*_LAYOUT).distinct().collect()  # one row a folder
+        earlier = spark.read.parquet(path).filter(
+            F.col("snippets").isin(*{r["snippets"] for r in touched}) & F.col("probes").isin(*{r["probes"] for r in touched})
+        )
+        same = placed.select(*_LAYOUT, *keys).distinct()
+        earlier = earlier.join(same.select(*_LAYOUT).distinct(), list(_LAYOUT), "left_semi")
+        kept = earlier.withColumns({k: F.col(k).cast(df.schema[k].dataType) for k in keys}).join(same.select(keys), keys, "left_anti")
+        # Written before the folders are replaced, as it is read from them.
+        placed = placed.unionByName(materialise(kept, "kept"), allowMissingColumns=True)
+    order = [*_LAYOUT, *keys]
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.partitionBy(*_LAYOUT).parquet(path)
+
+
+def stored_rows(spark: SparkSession, path: str, pid=None, snippet=None) -> DataFrame | None:
+    """What `store_rows` has written, or None; one probe or snippet opens its folders and row groups only."""
+    if not path_exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    if pid is not None:
+        rows = rows.filter((F.col("probes") == _shard(F.lit(pid))) & (F.col("pid") == F.lit(pid)))
+    if snippet is not None:
+        rows = rows.filter((F.col("snippets") == snippet // SNIPPETS_PER_FOLDER) & (F.col("snippet") == F.lit(snippet)))
+    return rows.drop(*_LAYOUT)
 
 
 def write_features(df: DataFrame, root: str, feature_set: str, mode: str = "append") -> None:
-    """One folder per set, partitioned by probe and snippet, with version stamps.
+    """One table per set, with version stamps; see `store_rows` for its layout.
 
     `overwrite` replaces the rows of the probes and snippets that `df` holds and
     leaves all others alone, so a run can be repeated.
     """
-    parts = [k for k in ("pid", "snippet") if k in df.columns]
-    out = stamped(_by_probe(df)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    out.partitionBy(*parts).parquet(f"{root}/{feature_set}_features.parquet")
+    store_rows(stamped(df), f"{root}/{feature_set}_features.parquet", mode)
 
 
 def write_traces(traces: DataFrame, path: str, chunks_per_file: int = 64, mode: str = "append") -> None:
@@ -61,18 +103,17 @@ def write_traces(traces: DataFrame, path: str, chunks_per_file: int = 64, mode:
     placed.write.mode(mode).partitionBy("band", "pid").parquet(path)
 
 
-def read_features(spark: SparkSession, root: str, feature_set: str, like: DataFrame | None = None) -> DataFrame | None:
-    """A stored set, or None. Partition folders carry no types: `pid` is read as
-    a string and `snippet` as an integer, or both as in the frame `like`."""
-    path = f"{root}/{feature_set}_features.parquet"
-    if not path_exists(spark, path):
+def read_features(
+    spark: SparkSession, root: str, feature_set: str, like: DataFrame | None = None, pid=None, snippet: int | None = None
+) -> DataFrame | None:
+    """A stored set, or None; of one probe or snippet where given. `pid` and `snippet` have the types of the frame `like`."""
+    rows = stored_rows(spark, f"{root}/{feature_set}_features.parquet", pid, snippet)
+    if rows is None:
         return None
-    types = {"pid": T.StringType(), "snippet": T.IntegerType()}
     if like is not None:
-        types = {k: like.schema[k].dataType for k in types if k in like.columns}
-    found = spark.read.parquet(path).schema
-    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True) for f in found.fields])
-    return spark.read.schema(schema).parquet(path).drop("features_version", "package_version")
+        shared = [k for k in ("pid", "snippet") if k in like.columns and k in rows.columns]
+        rows = rows.withColumns({k: F.col(k).cast(like.schema[k].dataType) for k in shared})
+    return rows.drop("features_version", "package_version")
 
 
 def write_if_absent(df: DataFrame, path: str) -> None:
@@ -81,12 +122,26 @@ def write_if_absent(df: DataFrame, path: str) -> None:
 
 
 def write_waveforms(waveforms: DataFrame, events: DataFrame, root: str, save: bool = True) -> None:
-    """Event table, and the waveforms of every channel in reach as float arrays."""
+    """Event table, and one ragged array (neighbour, time) of float samples for each event, with its channel index.
+
+    An event's row has `neighbours`, the channels in reach in ascending order,
+    and `waveform`, the samples of each of them. Rows of the probes and snippets
+    at hand are replaced, so a repeated run doubles nothing.
+    """
     if not save:
         return
-    small = waveforms.withColumn("waveform", F.col("waveform").cast("array<float>"))
-    _by_probe(small).write.mode("append").partitionBy("pid").parquet(f"{root}/waveforms.parquet")
-    _by_probe(events).write.mode("append").partitionBy("pid").parquet(f"{root}/spikes.parquet")
+    keys = [k for k in ("pid", "snippet", "channel", "sample") if k in waveforms.columns]
+    of_event = F.sort_array(F.collect_list(F.struct("neighbour", F.col("waveform").cast("array<float>").alias("w"))))
+    ragged = waveforms.groupBy(*keys).agg(of_event.alias("_n")).select(
+        *keys, F.transform("_n", lambda n: n.neighbour).alias("neighbours"), F.transform("_n", lambda n: n.w).alias("waveform")
+    )
+    store_rows(ragged, f"{root}/waveforms.parquet", "overwrite")
+    store_rows(events, f"{root}/spikes.parquet", "overwrite")
+
+
+def read_waveforms(spark: SparkSession, root: str, pid=None, snippet: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """`(waveforms, events)` as written by `write_waveforms`."""
+    return stored_rows(spark, f"{root}/waveforms.parquet", pid, snippet), stored_rows(spark, f"{root}/spikes.parquet", pid, snippet)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

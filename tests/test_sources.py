@@ -132,16 +132,49 @@ def test_sinks(spark, tmp_path):
     sinks.write_if_absent(df, f"{root}/channels")
     sinks.write_if_absent(df.unionByName(df), f"{root}/channels")
     assert spark.read.parquet(f"{root}/channels").count() == 2
-    waves = df.withColumn("waveform", F.array(F.lit(1.0)))
+    waves = df.withColumn("sample", F.lit(7)).withColumn("neighbour", F.explode(F.array(F.lit(4), F.lit(3))))
+    waves = waves.withColumn("waveform", F.array(F.col("neighbour").cast("double"), F.lit(1.0)))
     sinks.write_waveforms(waves, df, f"{root}/none", save=False)
     assert not store.path_exists(spark, f"{root}/none")
-    sinks.write_waveforms(waves, df, f"{root}/w")
-    assert spark.read.parquet(f"{root}/w/waveforms.parquet").schema["waveform"].dataType.elementType.typeName() == "float"
+    for _ in range(2):  # a repeated run doubles nothing
+        sinks.write_waveforms(waves, df, f"{root}/w")
+        waveforms, events = sinks.read_waveforms(spark, f"{root}/w")
+        rows = waveforms.orderBy("snippet").collect()
+        assert [(r["pid"], r["snippet"], r["sample"], r["neighbours"], r["waveform"]) for r in rows] == [
+            ("a", i, 7, [3, 4], [[3.0, 1.0], [4.0, 1.0]]) for i in (0, 1)
+        ]
+        assert waveforms.schema["waveform"].dataType.elementType.elementType.typeName() == "float" and events.count() == 2
     preds = df.withColumn("fold", F.lit(0))
     sinks.write_predictions(preds, f"{root}/p")
     assert spark.read.parquet(f"{root}/p").count() == 2
 
 
+def test_many_windows_make_few_files(spark, tmp_path):
+    """10,000 windows of two probes: tens of files; a window is found by folder and statistics; others stay when it is replaced."""
+    import os
+
+    root, path = str(tmp_path), tmp_path / "lf_features.parquet"
+    df = spark.range(80_000).selectExpr(
+        "concat('p', id % 2) pid", "cast(id div 8 as int) snippet", "cast(id % 8 div 2 as int) channel", "cast(id as double) rms_lf"
+    )
+    sinks.write_features(df, root, "lf")
+    listing = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = listing()
+    assert len(before) <= 40
+    one = sinks.read_features(spark, root, "lf", pid="p1", snippet=5000)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "snippets#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(snippet,5000)" in plan and "EqualTo(pid,p1)" in plan
+    assert one.count() == 4 and one.select(F.input_file_name()).distinct().count() == 1
+    again = df.filter("pid = 'p1' and snippet = 5000").withColumn("rms_lf", F.lit(-1.0))
+    for _ in range(2):
+        sinks.write_features(again, root, "lf", mode="overwrite")
+    assert sinks.read_features(spark, root, "lf").count() == 80_000
+    assert sinks.read_features(spark, root, "lf").filter("rms_lf = -1").count() == 4
+    after = listing()
+    assert sum(after.get(f) == t for f, t in before.items()) >= len(before) - 3  # one folder is new
+
+
 def test_reuse_or_compute(spark):
     wanted = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "pid string, snippet int")
     existing = spark.createDataFrame([("a", 0, 5.0), ("z", 0, 7.0)], "pid string, snippet int, v double")
