@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -162,7 +161,7 @@ def compute_windows(
         recordings.select("pid").distinct().withColumn("duration", F.lit(float(duration)))
         if duration is not None
         else usable_durations(recordings, t_start)
-    ).withColumns({"t_start": F.lit(float(t_start)), "snippet": F.lit(window_number(t_start, duration))})
+    ).withColumns({"t_start": F.lit(float(t_start)), "snippet": F.lit(window_number(t_start, duration)).cast("bigint")})
     checked_windows(windows.select("pid", "t_start", "duration"), recordings)
     layout = channels.select("pid", "channel", *[c for c in ("lateral_um", "axial_um", "labels") if c in channels.columns])
 
@@ -191,9 +190,20 @@ def compute_windows(
     )
 
 
+#: Stands for the duration of a window that goes to the end of its recording.
+_TO_THE_END = 2**31 - 1
+
+
 def window_number(t_start: float, duration: float | None) -> int:
-    """The snippet number of a time window: equal for equal windows, so that stored sets of one window meet."""
-    return zlib.crc32(f"{t_start:.3f}_{'end' if duration is None else format(duration, '.3f')}".encode()) >> 1
+    """The snippet number of a time window: its start and duration in milliseconds side by side.
+
+    Equal windows have equal numbers, so that stored sets of one window meet, and others have others.
+    """
+    start = round(t_start * 1000)
+    length = _TO_THE_END if duration is None else round(duration * 1000)
+    if not 0 <= start < 2**31 or not 0 <= length <= _TO_THE_END - (duration is not None):
+        raise ValueError("start and duration must lie between 0 and 24 days")
+    return start << 31 | length
 
 
 def usable_durations(recordings: DataFrame, t_start: float) -> DataFrame:

@@ -420,7 +420,7 @@ def _training_rows(spark, sf_dir):
     rows = S.table(spark, sf_dir, "embeddings").withColumn("pid", F.floor(F.col("vec_id") / 20))
     folds = L.grouped_folds(rows, "pid", 5)
     return rows.join(folds, "pid").select(
-        "pid", F.col("vec_id").alias("channel"), "label", "fold", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(16)]
+        "pid", F.col("vec_id").alias("channel"), "label", "fold", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)]
     )
 
 
@@ -428,7 +428,7 @@ def _training_rows(spark, sf_dir):
 def train_infer_folds(spark, sf_dir):
     """Grouped-fold training, then inference by every fold's model; invariants in the tests."""
     rows = _training_rows(spark, sf_dir)
-    result = L.train_folds(rows, [f"x{i}" for i in range(16)], "label", ["pid", "channel"], trees=10)
+    result = L.train_folds(rows, [f"x{i}" for i in range(64)], "label", ["pid", "channel"])
     scored = L.infer_regions(rows, result.models, [result.meta] * 5, denoise=False)
     held = result.predictions.select("pid", "channel", F.col("fold").alias("held_out_fold"), "label", "predicted")
     return L.long_probabilities(scored, ["fold", "pid", "channel", "predicted_index"], result.classes).join(
