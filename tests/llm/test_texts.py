@@ -237,5 +237,5 @@ def test_entry_has_the_queries():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {"op7_line_chunks", "op9_warc", "op10_licences"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {"op7_line_chunks", "op9_warc", "op10_licences", "op11_boundaries", "op13_zfast_trie"} <= set(entry.oracle_sql())
