@@ -14,6 +14,7 @@ from depthline.operators import sequence as Q
 from depthline.operators import spatial as X
 from depthline.operators.ordered import next_value, time_block
 from depthline.plans import standins as S
+from depthline.plans import tables as P
 from depthline.plans.registry import query, r
 
 # The states of the event stream, in class order.
@@ -226,14 +227,19 @@ def top_class(spark, sf_dir):
 @query(
     "depth_predictions",
     f"""
-WITH p AS (SELECT user_id, hour(ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL),
-s AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id, hour) AS p FROM p)
-SELECT hour // 6 AS depth, event_type, {r('avg(p)', 6)} AS p FROM s GROUP BY ALL
+WITH n AS (SELECT user_id AS pid, hour(ts) AS channel, event_type, count(*) AS n FROM events GROUP BY ALL),
+predictions AS (SELECT pid, channel, event_type, n / sum(n) OVER (PARTITION BY pid, channel) AS p FROM n),
+channels AS (SELECT DISTINCT user_id AS pid, hour(ts) AS channel, CAST(20 * (hour(ts) // 2) AS DOUBLE) AS axial_um FROM events WHERE hour(ts) <> 5)
+SELECT pid, axial_um, event_type, {r('avg(p)', 6)} AS p FROM predictions JOIN channels USING (pid, channel) GROUP BY ALL
 """,
 )
 def depth_predictions(spark, sf_dir):
-    shares = _shares(spark, sf_dir, ["user_id", "hour"]).withColumn("depth", F.floor(F.col("hour") / 6))
-    return R.depth_aggregate(shares, ["depth", "event_type"], ["p"]).withColumn("p", C.rounded("p", 6))
+    """Class shares per user (probe) and hour (channel) joined with the channels' depths, two to a depth and one unknown."""
+    predictions = _shares(spark, sf_dir, ["user_id", "hour"]).withColumnsRenamed({"user_id": "pid", "hour": "channel"})
+    hours = S.events(spark, sf_dir).select(F.col("user_id").alias("pid"), F.hour("ts").alias("channel")).distinct()
+    channels = hours.filter("channel <> 5").withColumn("axial_um", F.floor(F.col("channel") / 2).cast("double") * 20)
+    out = P.predictions_by_depth(channels, predictions, klass="event_type", proba="p")
+    return out.withColumn("p", C.rounded("p", 6))
 
 
 @query(

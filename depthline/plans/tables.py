@@ -154,6 +154,19 @@ def join_depths(
     return by_channel.join(by_cluster, list(keys))
 
 
+def predictions_by_depth(
+    channels: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("pid",), klass: str = "class_index", proba: str = "proba"
+) -> DataFrame:
+    """Mean probability of each class at each depth of a probe, the observations of a decoder.
+
+    Long predictions, with a row for each class of a channel, get their depth from
+    the channel table. Channels without a prediction, and predictions of unknown
+    channels, are left out.
+    """
+    placed = channels.select(*keys, "channel", "axial_um").join(predictions, [*keys, "channel"])
+    return R.depth_aggregate(placed, [*keys, "axial_um", klass], [proba])
+
+
 def depth_profile(
     df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("pid",), depth: str = "axial_um"
 ) -> DataFrame:
