@@ -9,30 +9,11 @@ from pyspark.sql import functions as F
 
 from depthline.functions.columns import amplitude_db, log_count, nulled_infinities, ratio
 from depthline.operators import relational as R
+from depthline.schemas import CLUSTER_MEANS
 
 MAPPINGS = ("Cosmos", "Beryl", "Allen")
 
-# Measures of the depth table.
-CLUSTER_MEANS = [
-    "amp_max",
-    "amp_min",
-    "amp_median",
-    "amp_std_dB",
-    "contamination",
-    "contamination_alt",
-    "drift",
-    "missed_spikes_est",
-    "noise_cutoff",
-    "presence_ratio",
-    "presence_ratio_std",
-    "slidingRP_viol",
-    "spike_count",
-    "firing_rate",
-    "label",
-    "x",
-    "y",
-    "z",
-]
+# Measures of the depth table; those of clusters are in `schemas`.
 CLUSTER_FIRSTS = ["acronym", "atlas_id"]
 RAW_MEANS = [
     "alpha_mean",

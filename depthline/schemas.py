@@ -126,32 +126,31 @@ TRACE_SCHEMA = T.StructType(
     ]
 )
 
+# Measures of a cluster.
+CLUSTER_MEANS = [
+    "amp_max",
+    "amp_min",
+    "amp_median",
+    "amp_std_dB",
+    "contamination",
+    "contamination_alt",
+    "drift",
+    "missed_spikes_est",
+    "noise_cutoff",
+    "presence_ratio",
+    "presence_ratio_std",
+    "slidingRP_viol",
+    "spike_count",
+    "firing_rate",
+    "label",
+    "x",
+    "y",
+    "z",
+]
+
 CLUSTER_SCHEMA = T.StructType(
     [T.StructField("pid", T.StringType(), False), T.StructField("cluster_id", T.LongType(), False)]
-    + _doubles(
-        [
-            "axial_um",
-            "amp_max",
-            "amp_min",
-            "amp_median",
-            "amp_std_dB",
-            "contamination",
-            "contamination_alt",
-            "drift",
-            "missed_spikes_est",
-            "noise_cutoff",
-            "presence_ratio",
-            "presence_ratio_std",
-            "slidingRP_viol",
-            "spike_count",
-            "firing_rate",
-            "label",
-            "x",
-            "y",
-            "z",
-        ],
-        nullable=True,
-    )
+    + _doubles(["axial_um", *CLUSTER_MEANS], nullable=True)
     + [T.StructField("acronym", T.StringType(), True), T.StructField("atlas_id", T.LongType(), True)]
 )
 
