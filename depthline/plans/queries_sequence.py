@@ -352,7 +352,7 @@ path AS (
 def viterbi_path(spark, sf_dir):
     ev = S.events(spark, sf_dir).select("user_id", *ORDER, L.class_position("event_type", STATES).cast("int").alias("o"))
     # Small chunks, so that every sequence has several of them.
-    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", BLOCK_SECONDS), chunk=16, fan=3)
+    out = Q.decode(ev, ["user_id"], ORDER, "o", _model(), time_block("ts", BLOCK_SECONDS), chunk=32)
     return out.withColumn("log_score", C.rounded("log_score"))
 
 
