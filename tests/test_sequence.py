@@ -166,3 +166,26 @@ def test_transitions_respect_the_mask_and_the_direction(spark):
     assert sorted(map(tuple, counts.collect())) == [(1, 1, 1), (2, 1, 1)]
     up = Q.transition_matrix(counts, [1, 2], reverse=True)
     assert sorted(map(tuple, up.collect())) == [(1, 1, 1, 0.5), (1, 2, 1, 0.5), (2, 1, 0, None), (2, 2, 0, None)]
+
+
+def test_many_short_sequences_share_their_tasks(spark):
+    """Chains run over sorted partitions: a sequence of few chunks costs no Python group of its own."""
+    rng = np.random.default_rng(8)
+    model = Q.HiddenMarkov(rng.dirichlet(np.ones(4), 3), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3)))
+    rows = [(key, i, int(rng.integers(0, 4))) for key in range(300) for i in range(1 + key % 23)]
+    df = spark.createDataFrame(rows, "k long, at int, o int")
+    out = Q.decode(df, ["k"], ["at"], "o", model, range_block("at", 50), chunk=4, fan=3)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    found = {(r["k"], r["position"]): (r["state"], r["log_score"]) for r in out.collect()}
+    assert len(found) == len(rows)
+    for key in range(300):
+        path, score = K.viterbi(model.emission, model.transition, model.start, [o for k, _, o in rows if k == key], log=True)
+        assert [found[key, i][0] for i in range(len(path))] == path.tolist()
+        assert found[key, 0][1] == pytest.approx(score, rel=1e-9)
+
+
+def test_runs_of_many_profiles_are_drawn_together():
+    keys, runs, places = np.array([7, 7, 2**32 - 1]), np.array([0, 5, 3]), np.arange(9)
+    together = Q.drawn(keys, 12345, runs, places)
+    for i, key in enumerate(keys.tolist()):
+        assert np.array_equal(together[i], Q.drawn(key, 12345, runs[i : i + 1], places)[0])
