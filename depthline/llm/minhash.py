@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from depthline.llm import graph
 from depthline.llm import kernels as K
 from depthline.llm import signatures as S
-from depthline.session import materialise
+from depthline.session import grows, materialise
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def _alike(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     side = members.select("doc_id", F.col("n_shingles").alias("n"), F.col("signature").alias("s"))
     left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(grows(left), "a").join(grows(right), "b")
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent)
     least = rule.percent / 100 - rule.slack
 
@@ -116,7 +116,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                     linked.append(shared > 0 and 100 * shared >= rule.percent * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(grows(left), "a").join(grows(right), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -203,7 +203,7 @@ def _verified_tiles(tiles: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     A text comes once to a tile, however many pairs it is in.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    members = tiles.select("tile", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).join(texts, "doc_id")
+    members = tiles.select("tile", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")).join(grows(texts), "doc_id")
     empty = F.lit(None).cast("array<bigint>")
     rows = members.select("tile", "doc_id", "text", empty.alias("a"), empty.alias("b")).unionByName(
         tiles.select("tile", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b")
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     known = every.filter("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "one", "two"]
     classes = known.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    member = known.join(classes, key)
+    member = known.join(grows(classes), key)
     copies = materialise(member.filter("doc_id <> class_id").select("doc_id", "class_id").distinct(), "copies")
     first = materialise(
         member.filter("doc_id = class_id").dropDuplicates(["doc_id", *key]).select("doc_id", "n_shingles", "signature"), "first"
@@ -269,25 +269,25 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         ),
     )
     heads = bands.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = bands.join(heads, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = bands.join(grows(heads), "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = materialise(_verified(_alike(stars, first, rule), docs, rule), "links")
-    crowded = materialise(bands.join(heads, "bucket").select("bucket", "band", "doc_id"), "buckets")
+    crowded = materialise(bands.join(grows(heads), "bucket").select("bucket", "band", "doc_id"), "buckets")
     for best_only in (True, False):
         label = graph.components(links)
-        labelled = crowded.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        labelled = crowded.join(grows(label.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn(
             "label", F.coalesce("component", "doc_id")
         )
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
-        members = labelled.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "band", "doc_id", "label")
-        tiles = materialise(_across(members.join(first, "doc_id"), rule, best_only), "tiles")
+        members = labelled.join(grows(open_.select("bucket")), "bucket", "left_semi").select("bucket", "band", "doc_id", "label")
+        tiles = materialise(_across(members.join(grows(first), "doc_id"), rule, best_only), "tiles")
         more = materialise(_verified_tiles(tiles, docs, rule), "links")
         links = links.unionByName(more)
     label = graph.components(links).select(F.col("node").alias("class_id"), "component")
     return (
         every.select("doc_id", "n_shingles")
-        .join(copies, "doc_id", "left")
+        .join(grows(copies), "doc_id", "left")
         .withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        .join(label, "class_id", "left")
+        .join(grows(label), "class_id", "left")
         .select(
             "doc_id",
             "n_shingles",

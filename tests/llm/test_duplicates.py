@@ -142,3 +142,16 @@ def test_word_repeats(frame, mixed, heavy):
 def test_word_repeats_of_nothing(frame):
     assert substrings.without_repeats(frame([])).count() == 0
     assert substrings.without_repeats(frame([(1, "a b")])).first().kept == "a b"
+
+
+def test_lists_that_grow_are_never_broadcast(spark):
+    """A small table has the plan of a large one, so its shuffles tell what a large one's will be."""
+    from depthline.llm import minhash
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y z u v w")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    verified = minhash._verified(pairs, docs, minhash.Rule())
+    found = minhash.near_duplicates(docs)
+    for df in (verified, found):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
