@@ -26,6 +26,8 @@ U = np.uint64
 RULE = A.Rule(window=50, gram=16, distinct_docs=True)
 #: Bytes of content that one suffix array takes; one anchor's contents always share an array.
 ARRAY_BYTES = 1_000_000
+#: Bytes of content of a shard whose windows are looked at together; an anchor's contents always are.
+PART_BYTES = 8_000_000
 
 
 def byte_grams(buf: np.ndarray) -> np.ndarray:
@@ -171,12 +173,37 @@ def _may_share(
     return out
 
 
-def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
-    """Spans of the entries of a shard whose windows a smaller document has."""
-    key, doc, start = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("keys", "docs", "starts"))
-    size = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
+def _parts(rows: list[dict], part_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys, documents, starts, sizes and content of a shard's entries, in parts by key; takes the rows away."""
     unpacker = zstandard.ZstdDecompressor()
-    content = np.frombuffer(b"".join(unpacker.decompress(r["content"]) for r in rows), np.uint8)
+    total = sum(int(np.frombuffer(r["sizes"], np.int32).sum()) for r in rows)
+    n = max(1, -(-total // part_bytes))
+    parts: list[list[tuple]] = [[] for _ in range(n)]
+    while rows:
+        row = rows.pop()
+        key, doc, start = (np.frombuffer(row[c], np.int64) for c in ("keys", "docs", "starts"))
+        size = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+        content = np.frombuffer(unpacker.decompress(row["content"]), np.uint8)
+        part = (K.mix(key.astype(U) ^ U(0xA5A5A5A5A5A5A5A5)) % U(n)).astype(np.int64)
+        byte_part = np.repeat(part, size)
+        for p in np.unique(part).tolist():
+            own = part == p
+            parts[p].append((key[own], doc[own], start[own], size[own], content[byte_part == p]))
+    while parts:
+        found = parts.pop()
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _shard_spans(rows: list[dict], window: int, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, bytes]]:
+    """Spans of the entries of a shard whose windows a smaller document has; takes the rows away."""
+    for part in _parts(rows, part_bytes):
+        yield from _part_spans(*part, window)
+
+
+def _part_spans(
+    key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, content: np.ndarray, window: int
+) -> Iterator[tuple[int, bytes]]:
     at = np.concatenate([[0], np.cumsum(size)])
     digest = np.concatenate([K.span_hash(content[at[a] : at[b]], at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in K.blocks(at)])
     order = np.lexsort((doc, digest, key))
@@ -235,21 +262,29 @@ def _shard_spans(rows: list[dict], window: int) -> Iterator[tuple[int, bytes]]:
 
 def _spans(entries: DataFrame, rule: A.Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[dict]] = {}
+        held: list[dict] = []
         for batch in batches:
             direct = batch.filter(pa.compute.is_valid(batch["doc_id"]))
             if direct.num_rows:
                 yield direct.select(["doc_id", "spans"])
-            for row in batch.filter(pa.compute.is_null(batch["doc_id"])).to_pylist():
-                shards.setdefault(row["shard"], []).append(row)
-        while shards:
-            _, rows = shards.popitem()
-            found = list(_shard_spans(rows, rule.window))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "spans"]
-            )
-
-    return entries.repartition("shard").mapInArrow(run, "doc_id bigint, spans binary")
+            packed = batch.filter(pa.compute.is_null(batch["doc_id"]))
+            for i in range(packed.num_rows):
+                row = packed.slice(i, 1).to_pylist()[0]
+                if held and held[-1]["shard"] != row["shard"]:
+                    yield from solved(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from solved(held)
+
+    def solved(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        found = list(_shard_spans(rows, rule.window))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "spans"]
+        )
+
+    # In order of the shards, so that a task holds one of them at a time, however many it gets.
+    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id bigint, spans binary")
 
 
 def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:

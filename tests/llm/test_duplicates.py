@@ -155,3 +155,30 @@ def test_lists_that_grow_are_never_broadcast(spark):
     for df in (verified, found):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_shard_is_worked_on_in_parts():
+    """Parts by key give the spans that the whole shard does, and no part is much larger than asked for."""
+    import zstandard
+
+    from depthline.llm import anchors, suffix
+
+    rng = np.random.default_rng(4)
+    passages = [rng.integers(97, 123, 120).astype(np.uint8).tobytes() for _ in range(40)]
+    rows = []
+    for doc in range(1, 30):
+        keys = rng.choice(40, 12, replace=False).astype(np.int64)
+        texts = [passages[k][int(rng.integers(0, 5)) :] for k in keys]
+        lists = {"keys": keys, "docs": np.full(12, doc), "starts": np.arange(12) * 1000, "sizes": np.array([len(x) for x in texts], np.int32)}
+        rows.append({"shard": 0, **{c: v.tobytes() for c, v in lists.items()}, "content": zstandard.ZstdCompressor().compress(b"".join(texts))})
+
+    def spans(part_bytes):
+        out = {}
+        for doc, pairs in suffix._shard_spans(list(rows), 50, part_bytes):
+            out.setdefault(doc, []).append(np.frombuffer(pairs, np.int64).reshape(-1, 2))
+        merged = {d: np.concatenate(x) for d, x in out.items()}
+        return {d: np.stack(anchors.merged_spans(np.zeros(len(x), np.int64), x[:, 0], x[:, 1])[1:]).tolist() for d, x in merged.items()}
+
+    assert spans(10**9) == spans(4000) and spans(10**9)
+    sizes = [len(part[4]) for part in suffix._parts(list(rows), 4000)]
+    assert len(sizes) > 5 and max(sizes) < 16_000
