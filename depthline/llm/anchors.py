@@ -10,6 +10,10 @@ Frequent anchors: a batch of texts sends one entry for an anchor, or for a run's
 content, however often it holds it, and settles what it can settle by itself.
 An anchor with more entries than `Rule.heavy` has its windows dealt out one by
 one by their own hashes, to as many shards as it needs.
+
+What a shard has found goes back to the documents by mail: one row from a task to
+a bucket of documents, whose mail is then put together, one row a document. A row
+for each document and shard would grow with the product of the two.
 """
 
 from __future__ import annotations
@@ -93,13 +97,13 @@ def _first_of(order_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-_ASK, _SURE = 0, 1
+_ASK, _SURE, _MAIL = 0, 1, 2
 
 
 def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
-    """doc_id and anchors (array<int>) that occur elsewhere, over several rows; and heavy ones.
+    """Mail to documents with their anchors that occur elsewhere; and heavy anchors.
 
-    A row with a null doc_id has heavy anchors and, in `weights`, their numbers
+    A row with a null bucket has heavy anchors and, in `weights`, their numbers
     of entries.
     """
     spark = docs.sparkSession
@@ -126,13 +130,15 @@ def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
                 many = np.repeat(n > 1, n)
                 out = [*_packed(_ASK, doc[~many], anchor[~many], shards), *_weighed(anchor[first[n > 1]], n[n > 1], shards)]
                 if many.any():  # known here and now
-                    out += _by_doc(doc[many], anchor[many])
+                    out += [{"kind": _MAIL, "shard": r["bucket"], **r} for r in mailed(doc[many], anchor[many], shards)]
                 yield pa.RecordBatch.from_pylist(out, _ASKED)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, anchor, heavy, weight = [], [], [], []
+        doc, anchor, heavy, weight, settled = [], [], [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            mail = pa.compute.equal(batch["kind"], _MAIL)
+            settled.append(mail_of(batch.filter(mail)))
+            for row in batch.filter(pa.compute.invert(mail)).to_pylist():
                 a = np.frombuffer(row["anchors"], np.uint32)
                 c = np.frombuffer(row["counts"], np.int32)
                 if row["kind"] == _ASK:
@@ -141,7 +147,7 @@ def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
                 else:
                     heavy.append(a)
                     weight.append(c)
-        if not anchor and not heavy:
+        if not settled:
             return
         none = np.zeros(0, np.int64)
         doc, anchor = np.concatenate([none, *doc]), np.concatenate([none.astype(np.uint32), *anchor])
@@ -157,38 +163,26 @@ def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
             twice = n > 1
         twice = twice | np.isin(value, sure)
         known = np.repeat(twice, n)
-        rows = [{"doc_id": r["doc_id"], "anchors": np.frombuffer(r["anchors"], np.int32), "weights": None} for r in _by_doc(doc[known], anchor[known])]
+        settled.append((doc[known], anchor[known].view(np.int32)))
+        rows = mailed(*(np.concatenate(x) for x in zip(*settled)), shards)
         every, place = np.unique(np.concatenate([value, sure]), return_inverse=True)
         total = np.bincount(place, np.concatenate([n, times])).astype(np.int64)
         big = total >= rule.heavy
         if big.any():
-            rows.append({"doc_id": None, "anchors": every[big].view(np.int32), "weights": total[big]})
-        for i in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_pylist(rows[i : i + 20_000], _ANSWERED)
-
-    asked = docs.select("doc_id", "text").mapInArrow(ask, "kind int, shard int, doc_id bigint, docs binary, counts binary, anchors binary")
-    # What a batch knows for certain passes through the same shuffle, dealt by document.
-    dealt = asked.repartition("shard")
+            rows.append({"heavy": every[big].view(np.int32), "weights": total[big]})
+        yield pa.RecordBatch.from_pylist(rows, _ANSWERED)
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.RecordBatch] = []
-        for batch in batches:
-            direct = batch.filter(pa.array(~np.isnan(batch["doc_id"].to_numpy(zero_copy_only=False).astype(float))))
-            if direct.num_rows:
-                lists = [np.frombuffer(x, np.int32) for x in direct["anchors"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [direct["doc_id"], pa.array(lists, pa.list_(pa.int32())), pa.nulls(len(lists), pa.list_(pa.int64()))], schema=_ANSWERED
-                )
-            open_.append(batch.filter(pa.compute.is_null(batch["doc_id"])))
-        yield from answer(iter(open_))
+    asked = docs.select("doc_id", "text").mapInArrow(ask, f"kind int, shard int, anchors binary, {MAIL_SQL}")
+    # What a batch knows for certain passes through the same shuffle, dealt by bucket.
+    answered = asked.repartition("shard").mapInArrow(answer, f"{MAIL_SQL}, heavy array<int>, weights array<bigint>")
+    return materialise(answered, "anchors")
 
-    return materialise(dealt.mapInArrow(both, "doc_id bigint, anchors array<int>, weights array<bigint>"), "anchors")
 
-
-_ASKED = pa.schema(
-    [("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("anchors", pa.binary())]
-)
-_ANSWERED = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.int32())), ("weights", pa.list_(pa.int64()))])
+#: Columns of mail: a bucket of documents, its documents, how many values each has, and the values, of 32 bits.
+MAIL = [("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("mail", pa.binary())]
+MAIL_SQL = "bucket int, docs binary, counts binary, mail binary"
+_ASKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("anchors", pa.binary()), *MAIL])
+_ANSWERED = pa.schema([*MAIL, ("heavy", pa.list_(pa.int32())), ("weights", pa.list_(pa.int64()))])
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -222,16 +216,53 @@ def _weighed(anchor: np.ndarray, n: np.ndarray, shards: int) -> list[dict]:
     ]
 
 
-def _by_doc(doc: np.ndarray, anchor: np.ndarray) -> list[dict]:
-    order = np.argsort(doc, kind="stable")
-    doc, anchor = doc[order], anchor[order]
-    cuts = np.append(_first_of(doc), len(doc)) if len(doc) else [0]
-    return [{"kind": -1, "shard": int(doc[a]) % 1_000_003, "doc_id": int(doc[a]), "anchors": anchor[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:])]
+def mailed(doc: np.ndarray, values: np.ndarray, buckets: int) -> list[dict]:
+    """Mail with a value (or row of values) for each of `doc`, one row for each bucket that has any."""
+    bucket = _shard(doc, buckets)
+    order = np.lexsort((doc, bucket))
+    doc, values, bucket = doc[order], values[order], bucket[order]
+    first = _first_of(doc)
+    edge = np.append(first, len(doc))
+    n = np.diff(edge).astype(np.int32)
+    cuts = np.append(_first_of(bucket[first]), len(first)).tolist()
+    return [
+        {
+            "bucket": int(bucket[first[a]]),
+            "docs": doc[first[a:b]].tobytes(),
+            "counts": n[a:b].tobytes(),
+            "mail": values[edge[a] : edge[b]].tobytes(),
+        }
+        for a, b in zip(cuts[:-1], cuts[1:])
+    ]
+
+
+def mail_of(rows: pa.RecordBatch | pa.Table, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and values of mail; with a `width`, rows of so many values."""
+    kinds = (("docs", np.int64), ("counts", np.int32), ("mail", np.int32))
+    doc, n, values = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in rows[c].to_pylist())]) for c, t in kinds)
+    return np.repeat(doc, n), values if width == 1 else values.reshape(-1, width)
+
+
+def mailed_spans(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and spans, as rows of start and end, of what `span_rows` gives."""
+    pairs = np.frombuffer(b"".join(s for _, s in rows), np.int64).reshape(-1, 2).astype(np.int32)
+    return np.repeat(np.array([d for d, _ in rows], np.int64), [len(s) // 16 for _, s in rows]), pairs
+
+
+def spans_by_document(mail: DataFrame) -> DataFrame:
+    """doc_id and spans (merged pairs of start and end as bytes) of mail with spans, one row a document."""
+
+    def merged(rows: pa.Table) -> pa.Table:
+        doc, pairs = mail_of(rows, 2)
+        found = span_rows(doc, *pairs.astype(np.int64).T)
+        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "spans": pa.array([s for _, s in found], pa.binary())})
+
+    return mail.groupBy("bucket").applyInArrow(merged, "doc_id bigint, spans binary")
 
 
 def heavy_anchors(shared: DataFrame, rule: Rule) -> dict[int, int]:
     """Heavy anchors and into how many parts each is dealt; fewer than a million."""
-    rows = shared.filter("doc_id is null").select(F.explode(F.arrays_zip("anchors", "weights")).alias("x")).select("x.anchors", "x.weights")
+    rows = shared.filter("bucket is null").select(F.explode(F.arrays_zip("heavy", "weights")).alias("x")).select("x.heavy", "x.weights")
     total = rows.agg(F.sum("weights")).first()[0] or 0
     limit = max(rule.heavy, total // 1_000_000)
     found = rows.filter(F.col("weights") >= limit).collect()
@@ -246,8 +277,18 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def known_texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """doc_id, text and known (array<int>): documents with anchors that occur elsewhere."""
-    lists = shared.filter("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("known"))
-    return docs.join(lists, "doc_id").select("doc_id", "text", "known")
+
+    def lists(rows: pa.Table) -> pa.Table:
+        doc, anchor = mail_of(rows)
+        order = np.argsort(doc, kind="stable")
+        doc, anchor = doc[order], anchor[order]
+        first = _first_of(doc)
+        known = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(anchor))
+        return pa.table({"doc_id": doc[first], "known": known})
+
+    mail = shared.filter("bucket is not null").select("bucket", "docs", "counts", "mail")
+    known = mail.groupBy("bucket").applyInArrow(lists, "doc_id bigint, known array<int>")
+    return docs.join(known, "doc_id").select("doc_id", "text", "known")
 
 
 def known_runs(runs: Runs, keys: np.ndarray) -> Runs:
@@ -303,15 +344,12 @@ def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
     """For each document its merged spans, as bytes of start and end pairs."""
     doc, start, end = merged_spans(doc, start, end)
-    cuts = np.append(_first_of(doc), len(doc)) if len(doc) else [0]
-    return [(int(doc[a]), np.stack([start[a:b], end[a:b]], axis=1).astype(np.int64).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def spans_of(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged starts and ends of row `k` of a column with lists of span bytes."""
-    row = lists[k].as_py()
-    if not row:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.concatenate([np.frombuffer(x, np.int64) for x in row]).reshape(-1, 2)
-    _, start, end = merged_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-    return start, end
+    pairs = np.stack([start, end], axis=1).astype(np.int64).tobytes()
+    first = _first_of(doc)
+    return [(d, pairs[16 * a : 16 * b]) for d, a, b in zip(doc[first].tolist(), first.tolist(), [*first[1:].tolist(), len(doc)])]
+
+
+def spans_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged starts and ends of row `k` of a column with spans of `spans_by_document`."""
+    pairs = np.frombuffer(column[k].as_py() or b"", np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]

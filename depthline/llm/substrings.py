@@ -47,13 +47,13 @@ def _split(rule: A.Rule) -> A.Split:
 
 
 _ENTRY = pa.schema(
-    [(n, pa.int64()) for n in ("shard", "doc_id")] + [(n, pa.binary()) for n in ("spans", "keys", "docs", "starts", "marks", "sizes", "times", "words")]
+    [("shard", pa.int64()), *A.MAIL] + [(n, pa.binary()) for n in ("keys", "starts", "marks", "sizes", "times", "words")]
 )
-_ENTRY_SQL = "shard bigint, doc_id bigint, spans binary, keys binary, docs binary, starts binary, marks binary, sizes binary, times binary, words binary"
+_ENTRY_SQL = f"shard bigint, {A.MAIL_SQL}, keys binary, starts binary, marks binary, sizes binary, times binary, words binary"
 
 
 def _contexts(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int) -> DataFrame:
-    """Entries of the runs of known anchors with the words around them, packed by shard, and spans that a batch settles itself.
+    """Entries of the runs of known anchors with the words around them, packed by shard, and mail with the spans that a batch settles itself.
 
     A passage that a batch holds twice is repeated for certain; it is sent once,
     as two times, so that other batches learn of it.
@@ -88,10 +88,8 @@ def _contexts(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(key)))
                 twice = np.repeat(n > 1, n)
-                out = [
-                    {"shard": d % 1_000_003, "doc_id": d, "spans": s}
-                    for d, s in A.span_rows(doc[twice], local[twice], (local + end - start)[twice])
-                ]
+                settled = A.span_rows(doc[twice], local[twice], (local + end - start)[twice])
+                out = [{"shard": r["bucket"], **r} for r in A.mailed(*A.mailed_spans(settled), shards)]
                 shard = A._shard(key[first], shards)
                 some = first[np.argsort(shard, kind="stable")]
                 times = np.minimum(n, 2).astype(np.int8)[np.argsort(shard, kind="stable")]
@@ -181,31 +179,31 @@ def _shard_spans(rows: list[dict], rule: A.Rule) -> Iterator[tuple[int, bytes]]:
         yield from A.span_rows(d, s, s + rule.window)
 
 
-def _spans(entries: DataFrame, rule: A.Rule) -> DataFrame:
+def _spans(entries: DataFrame, rule: A.Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list[dict]] = {}
+        found = []
         for batch in batches:
-            direct = batch.filter(pa.compute.is_valid(batch["doc_id"]))
-            if direct.num_rows:
-                yield direct.select(["doc_id", "spans"])
-            for row in batch.filter(pa.compute.is_null(batch["doc_id"])).to_pylist():
+            mail = pa.compute.is_valid(batch["bucket"])
+            found.append(A.mail_of(batch.filter(mail), 2))
+            for row in batch.filter(pa.compute.invert(mail)).to_pylist():
                 shards.setdefault(row["shard"], []).append(row)
         while shards:
             _, rows = shards.popitem()
-            found = list(_shard_spans(rows, rule))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "spans"]
-            )
+            found.append(A.mailed_spans(list(_shard_spans(rows, rule))))
+        if found:
+            yield pa.RecordBatch.from_pylist(A.mailed(*(np.concatenate(x) for x in zip(*found)), buckets), pa.schema(A.MAIL))
 
-    return entries.repartition("shard").mapInArrow(run, "doc_id bigint, spans binary")
+    return entries.repartition("shard").mapInArrow(run, A.MAIL_SQL)
 
 
 def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:
-    """doc_id and spans (pairs of first and end word as bytes), over several rows, of what repeats."""
+    """doc_id and spans (pairs of first and end word as bytes) of what repeats."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = A.shared_anchors(docs, rule, _split(rule))
     heavy = A.heavy_anchors(shared, rule)
-    return _spans(_contexts(A.known_texts(docs, shared), rule, heavy, shards), rule)
+    contexts = _contexts(A.known_texts(docs, shared), rule, heavy, shards)
+    return A.spans_by_document(_spans(contexts, rule, shards))
 
 
 def _kept_words(buf: np.ndarray, off: np.ndarray, lists: pa.Array, first_row: int) -> Iterator[tuple[int, int, bytes]]:
@@ -246,8 +244,7 @@ def without_repeats(docs: DataFrame, rule: A.Rule = RULE, digests: bool = False)
     """
     plain = A.texts(docs)
     rows, nameless = plain.filter("doc_id is not null"), plain.filter("doc_id is null")
-    spans = repeated_spans(rows, rule).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(repeated_spans(rows, rule), "doc_id", "left").select("doc_id", "text", "spans")
     last = "kept_sha256 string" if digests else "kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,5 +261,5 @@ def without_repeats(docs: DataFrame, rule: A.Rule = RULE, digests: bool = False)
                 ["doc_id", "n_words", "n_removed", last.split(" ")[0]],
             )
 
-    every = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast("array<binary>")))
+    every = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast("binary")))
     return every.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, {last}")

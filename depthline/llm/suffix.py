@@ -55,20 +55,18 @@ def _split(rule: A.Rule) -> A.Split:
 _ENTRY = pa.schema(
     [
         ("shard", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("spans", pa.binary()),
+        *A.MAIL,
         ("keys", pa.binary()),
-        ("docs", pa.binary()),
         ("starts", pa.binary()),
         ("sizes", pa.binary()),
         ("content", pa.binary()),
     ]
 )
-_ENTRY_SQL = "shard bigint, doc_id bigint, spans binary, keys binary, docs binary, starts binary, sizes binary, content binary"
+_ENTRY_SQL = f"shard bigint, {A.MAIL_SQL}, keys binary, starts binary, sizes binary, content binary"
 
 
 def _segments(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int) -> DataFrame:
-    """Entries of the runs of known anchors, packed by shard, and spans that a batch settles itself."""
+    """Entries of the runs of known anchors, packed by shard, and mail with the spans that a batch settles itself."""
     split = _split(rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +93,8 @@ def _segments(known: DataFrame, rule: A.Rule, heavy: dict[int, int], shards: int
                 first = np.flatnonzero(~same)
                 least = np.repeat(doc[first], np.diff(np.append(first, len(key))))
                 later = doc > least  # a smaller document of this batch has all of the run
-                out = [
-                    {"shard": d % 1_000_003, "doc_id": d, "spans": s}
-                    for d, s in A.span_rows(doc[later], local[later], (local + end - start)[later])
-                ]
+                settled = A.span_rows(doc[later], local[later], (local + end - start)[later])
+                out = [{"shard": r["bucket"], **r} for r in A.mailed(*A.mailed_spans(settled), shards)]
                 some = np.flatnonzero(~later)
                 shard = A._shard(key[some], shards)
                 some = some[np.argsort(shard, kind="stable")]
@@ -260,39 +256,39 @@ def _part_spans(
     yield from A.span_rows(np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end))
 
 
-def _spans(entries: DataFrame, rule: A.Rule) -> DataFrame:
+def _spans(entries: DataFrame, rule: A.Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        found = []
         for batch in batches:
-            direct = batch.filter(pa.compute.is_valid(batch["doc_id"]))
-            if direct.num_rows:
-                yield direct.select(["doc_id", "spans"])
-            packed = batch.filter(pa.compute.is_null(batch["doc_id"]))
+            mail = pa.compute.is_valid(batch["bucket"])
+            found.append(A.mail_of(batch.filter(mail), 2))
+            packed = batch.filter(pa.compute.invert(mail))
             for i in range(packed.num_rows):
                 row = packed.slice(i, 1).to_pylist()[0]
                 if held and held[-1]["shard"] != row["shard"]:
-                    yield from solved(held)
+                    found.append(solved(held))
                     held = []
                 held.append(row)
         if held:
-            yield from solved(held)
+            found.append(solved(held))
+        if found:
+            yield pa.RecordBatch.from_pylist(A.mailed(*(np.concatenate(x) for x in zip(*found)), buckets), pa.schema(A.MAIL))
 
-    def solved(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        found = list(_shard_spans(rows, rule.window))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "spans"]
-        )
+    def solved(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        return A.mailed_spans(list(_shard_spans(rows, rule.window)))
 
     # In order of the shards, so that a task holds one of them at a time, however many it gets.
-    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id bigint, spans binary")
+    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, A.MAIL_SQL)
 
 
 def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:
-    """doc_id and spans (pairs of start and end as bytes), over several rows, of what earlier documents hold."""
+    """doc_id and spans (pairs of start and end as bytes) of what earlier documents hold."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = A.shared_anchors(docs, rule, _split(rule))
     heavy = A.heavy_anchors(shared, rule)
-    return _spans(_segments(A.known_texts(docs, shared), rule, heavy, shards), rule)
+    segments = _segments(A.known_texts(docs, shared), rule, heavy, shards)
+    return A.spans_by_document(_spans(segments, rule, shards))
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -311,8 +307,7 @@ def without_repeats(docs: DataFrame, rule: A.Rule = RULE, digests: bool = False)
     Other columns are not looked at.
     """
     rows, nameless = _prepared(docs)
-    spans = repeated_spans(rows, rule).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(repeated_spans(rows, rule), "doc_id", "left").select("doc_id", "text", "spans")
     last = "kept_sha256 string" if digests else "kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,5 +338,5 @@ def without_repeats(docs: DataFrame, rule: A.Rule = RULE, digests: bool = False)
                 ["doc_id", "n_bytes", "n_removed", "n_spans", last.split(" ")[0]],
             )
 
-    every = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast("array<binary>")))
+    every = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast("binary")))
     return every.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")

@@ -182,3 +182,21 @@ def test_a_shard_is_worked_on_in_parts():
     assert spans(10**9) == spans(4000) and spans(10**9)
     sizes = [len(part[4]) for part in suffix._parts(list(rows), 4000)]
     assert len(sizes) > 5 and max(sizes) < 16_000
+
+
+@pytest.mark.parametrize("operator", [suffix, substrings])
+def test_results_return_to_documents_as_mail(spark, operator):
+    """Shards send a row to a bucket of documents, not to each document, and a document gets one row."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(i, " ".join(words[(a := 20 * rng.randrange(100)) : a + 400])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rule, split = operator.RULE, operator._split(operator.RULE)
+    shared = anchors.shared_anchors(docs, rule, split)
+    assert 0 < shared.count() <= shards * shards < len(rows)
+    spans = operator.repeated_spans(docs)
+    assert spans.count() == spans.select("doc_id").distinct().count() > 250
+    pack = suffix._segments if operator is suffix else substrings._contexts
+    entries = pack(anchors.known_texts(docs, shared), rule, {}, shards)
+    assert 0 < operator._spans(entries, rule, shards).count() <= shards * shards
