@@ -16,12 +16,20 @@ _PLACE = np.int32
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by value, rank within the value, the different values and their counts."""
+    """Stable order by value, rank within the value, the different values and their counts.
+
+    Scans call this for very short stretches, so it keeps from numpy's slower wrappers.
+    """
     order = np.argsort(values, kind="stable")
     row = values[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), row[1:] != row[:-1]]))
-    count = np.diff(np.append(first, len(row)))
-    rank = np.arange(len(row)) - np.repeat(first, count)
+    n = len(row)
+    cut = (row[1:] != row[:-1]).nonzero()[0]
+    first = np.zeros(len(cut) + min(1, n), np.int64)
+    first[1:] = cut + 1
+    count = np.empty_like(first)
+    count[:-1] = first[1:] - first[:-1]
+    count[-1:] = n - first[-1:]
+    rank = np.arange(n) - first.repeat(count)
     return order, rank, row[first], count
 
 
@@ -38,7 +46,7 @@ def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, at: np.ndarray, ste
     while i < n:
         j = min(i + size, n)
         entry = view[i:j]
-        where = np.flatnonzero(entry > 0)
+        where = (entry > 0).nonzero()[0]
         before = entry[where] - 1
         keep = wanted[before]
         where, before = where[keep] + i, before[keep]
@@ -47,7 +55,7 @@ def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, at: np.ndarray, ste
             continue
         c = s[before]
         limit = np.minimum.accumulate(place[c])
-        late = np.flatnonzero(where[1:] >= limit[:-1])
+        late = (where[1:] >= limit[:-1]).nonzero()[0]
         if len(late):
             m = int(late[0]) + 1
             where, before, c, limit = where[:m], before[:m], c[:m], limit[:m]
