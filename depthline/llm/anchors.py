@@ -11,6 +11,9 @@ content, however often it holds it, and settles what it can settle by itself.
 An anchor with more entries than `Rule.heavy` has its windows dealt out one by
 one by their own hashes, to as many shards as it needs.
 
+Shards are as many as the texts need, however many partitions the session has, and
+a task gets one of them, so that what it holds does not grow with the corpus.
+
 What a shard has found goes back to the documents by mail: one row from a task to
 a bucket of documents, whose mail is then put together, one row a document. A row
 for each document and shard would grow with the product of the two.
@@ -30,6 +33,8 @@ from depthline.llm import kernels as K
 from depthline.session import materialise
 
 U = np.uint64
+#: Bytes of text that a shard stands for; its runs have about as many bytes, and less than four times as many.
+SHARD_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -100,14 +105,24 @@ def _first_of(order_by: np.ndarray) -> np.ndarray:
 _ASK, _SURE, _MAIL = 0, 1, 2
 
 
-def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
+def shards_for(docs: DataFrame) -> int:
+    """A shard for every `SHARD_BYTES` of text, and no fewer than the session's partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows by their shard, each in a partition of its own; hashes would put several into one and leave others empty."""
+    return rows.repartitionById(shards, F.col("shard").cast("int"))
+
+
+def shared_anchors(docs: DataFrame, rule: Rule, split: Split, shards: int | None = None) -> DataFrame:
     """Mail to documents with their anchors that occur elsewhere; and heavy anchors.
 
     A row with a null bucket has heavy anchors and, in `weights`, their numbers
     of entries.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +189,7 @@ def shared_anchors(docs: DataFrame, rule: Rule, split: Split) -> DataFrame:
 
     asked = docs.select("doc_id", "text").mapInArrow(ask, f"kind int, shard int, anchors binary, {MAIL_SQL}")
     # What a batch knows for certain passes through the same shuffle, dealt by bucket.
-    answered = asked.repartition("shard").mapInArrow(answer, f"{MAIL_SQL}, heavy array<int>, weights array<bigint>")
+    answered = dealt(asked, shards).mapInArrow(answer, f"{MAIL_SQL}, heavy array<int>, weights array<bigint>")
     return materialise(answered, "anchors")
 
 
@@ -261,12 +276,16 @@ def spans_by_document(mail: DataFrame) -> DataFrame:
 
 
 def heavy_anchors(shared: DataFrame, rule: Rule) -> dict[int, int]:
-    """Heavy anchors and into how many parts each is dealt; fewer than a million."""
+    """Heavy anchors and into how many parts each is dealt; fewer than a million.
+
+    An entry has up to `width` windows, so that a part has no more windows than a
+    light anchor has entries.
+    """
     rows = shared.filter("bucket is null").select(F.explode(F.arrays_zip("heavy", "weights")).alias("x")).select("x.heavy", "x.weights")
     total = rows.agg(F.sum("weights")).first()[0] or 0
     limit = max(rule.heavy, total // 1_000_000)
     found = rows.filter(F.col("weights") >= limit).collect()
-    return {int(np.uint32(r[0] & 0xFFFFFFFF)): 1 + int(r[1] // limit) for r in found}
+    return {int(np.uint32(r[0] & 0xFFFFFFFF)): 1 + int(r[1] * rule.width // limit) for r in found}
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -313,7 +332,9 @@ def dealt_windows(runs: Runs, heavy: dict[int, int], window_hash: Callable[[np.n
     key = runs.anchor.astype(np.int64)
     if not heavy:
         return runs, key
-    parts = np.array([heavy.get(int(a), 1) for a in runs.anchor], np.int64)
+    names = np.array(sorted(heavy), np.int64)
+    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    parts = np.where(names[at] == key, np.array([heavy[n] for n in names.tolist()], np.int64)[at], 1)
     many = np.flatnonzero(parts > 1)
     if not len(many):
         return runs, key

@@ -181,26 +181,23 @@ def _shard_spans(rows: list[dict], rule: A.Rule) -> Iterator[tuple[int, bytes]]:
 
 def _spans(entries: DataFrame, rule: A.Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[dict]] = {}
-        found = []
+        rows, found = [], []
         for batch in batches:
             mail = pa.compute.is_valid(batch["bucket"])
             found.append(A.mail_of(batch.filter(mail), 2))
-            for row in batch.filter(pa.compute.invert(mail)).to_pylist():
-                shards.setdefault(row["shard"], []).append(row)
-        while shards:
-            _, rows = shards.popitem()
+            rows += batch.filter(pa.compute.invert(mail)).to_pylist()
+        if rows:
             found.append(A.mailed_spans(list(_shard_spans(rows, rule))))
         if found:
             yield pa.RecordBatch.from_pylist(A.mailed(*(np.concatenate(x) for x in zip(*found)), buckets), pa.schema(A.MAIL))
 
-    return entries.repartition("shard").mapInArrow(run, A.MAIL_SQL)
+    return A.dealt(entries, buckets).mapInArrow(run, A.MAIL_SQL)
 
 
 def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:
     """doc_id and spans (pairs of first and end word as bytes) of what repeats."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = A.shared_anchors(docs, rule, _split(rule))
+    shards = A.shards_for(docs)
+    shared = A.shared_anchors(docs, rule, _split(rule), shards)
     heavy = A.heavy_anchors(shared, rule)
     contexts = _contexts(A.known_texts(docs, shared), rule, heavy, shards)
     return A.spans_by_document(_spans(contexts, rule, shards))

@@ -24,10 +24,12 @@ from depthline.llm import sais
 U = np.uint64
 #: 50-byte windows, found by 16-byte grams.
 RULE = A.Rule(window=50, gram=16, distinct_docs=True)
-#: Bytes of content that one suffix array takes; one anchor's contents always share an array.
+#: Bytes of content that one suffix array takes; an anchor with more has its runs cut by longer grams.
 ARRAY_BYTES = 1_000_000
 #: Bytes of content of a shard whose windows are looked at together; an anchor's contents always are.
 PART_BYTES = 8_000_000
+#: Windows of a cut run, so that pieces of periodic stretches are equal; and windows compared at once.
+PIECE, AT_ONCE = 500, 1_000_000
 
 
 def byte_grams(buf: np.ndarray) -> np.ndarray:
@@ -43,6 +45,16 @@ def byte_grams(buf: np.ndarray) -> np.ndarray:
     return (h >> U(32)).astype(np.uint32)
 
 
+def _long_grams(buf: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hashes of the `size` bytes from each place on, a multiple of 16."""
+    half = byte_grams(buf).astype(U)
+    n = max(0, len(buf) - size + 1)
+    out = np.zeros(n, U)
+    for k in range(0, size, 16):
+        out = K.mix(out ^ half[k : k + n])
+    return (out >> U(32)).astype(np.uint32)
+
+
 def _split(rule: A.Rule) -> A.Split:
     def split(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, A.Runs, dict]]:
         for i, j in K.blocks(off):
@@ -138,28 +150,33 @@ def _least_docs(content: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs
     return out[places]
 
 
+def _finer_runs(content: np.ndarray, start: np.ndarray, size: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, A.Runs]]:
+    """For blocks of contents, their numbers and their runs by anchors of `gram` bytes; starts count from the content's."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for i, j in K.blocks(ends):
+        at = np.arange(ends[j] - ends[i]) + np.repeat(start[i:j] - (ends[i:j] - ends[i]), size[i:j])
+        own = ends[i : j + 1] - ends[i]
+        runs = A.runs_of(_long_grams(content[at], gram), own, A.Rule(window=window, gram=gram, distinct_docs=True), placed=False)
+        runs.start -= own[runs.doc]
+        yield np.arange(i, j)[runs.doc], runs
+
+
 def _may_share(
-    content: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, wanted: np.ndarray, window: int
+    content: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, wanted: np.ndarray, window: int, gram: int = 32
 ) -> np.ndarray:
-    """Which of the `wanted` contents share an anchor of 32 bytes with another one of their group.
+    """Which of the `wanted` contents share an anchor of `gram` bytes with another one of their group.
 
     Equal windows have equal anchors, so a content without a shared one has no
     window in common with any other and needs no place in a suffix array.
     """
-    out = np.zeros(len(start), bool)
     some = np.flatnonzero(wanted)
-    if not len(some):
-        return out
-    ends = np.concatenate([[0], np.cumsum(size[some])])
+    if gram > window or not len(some):
+        return wanted.copy()
+    out = np.zeros(len(start), bool)
     keys, owners = [], []
-    for i, j in K.blocks(ends):
-        at = np.arange(ends[j] - ends[i]) + np.repeat(start[some[i:j]] - (ends[i:j] - ends[i]), size[some[i:j]])
-        half = byte_grams(content[at]).astype(U)
-        grams = (K.mix(half[:-16] | (half[16:] << U(32))) >> U(32)).astype(np.uint32)
-        runs = A.runs_of(grams, ends[i : j + 1] - ends[i], A.Rule(window=window, gram=32, distinct_docs=True), placed=False)
-        owner = some[i:j][runs.doc]
-        keys.append(K.mix(runs.anchor.astype(U) | (group[owner].astype(U) << U(32))))
-        owners.append(owner)
+    for of, runs in _finer_runs(content, start[some], size[some], window, gram):
+        keys.append(K.mix(runs.anchor.astype(U) | (group[some[of]].astype(U) << U(32))))
+        owners.append(some[of])
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -198,8 +215,9 @@ def _shard_spans(rows: list[dict], window: int, part_bytes: int = PART_BYTES) ->
 
 
 def _part_spans(
-    key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, content: np.ndarray, window: int
+    key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, content: np.ndarray, window: int, gram: int = RULE.gram
 ) -> Iterator[tuple[int, bytes]]:
+    """Spans of a part whose keys stand for anchors of `gram` bytes."""
     at = np.concatenate([[0], np.cumsum(size)])
     digest = np.concatenate([K.span_hash(content[at[a] : at[b]], at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in K.blocks(at)])
     order = np.lexsort((doc, digest, key))
@@ -207,85 +225,117 @@ def _part_spans(
     new = np.ones(len(order), bool)
     new[1:] = (key_[1:] != key_[:-1]) | (digest_[1:] != digest_[:-1])
     first = np.flatnonzero(new)
-    which = np.empty(len(order), np.int64)  # the different content of each entry
-    which[order] = np.cumsum(new) - 1
+    times = np.diff(np.append(first, len(order)))  # entries of each different content
     own_key, own_doc, own_size, own_at = key_[first], doc[order][first], size[order][first], at[:-1][order][first]
     groups = np.append(A._first_of(own_key), len(own_key))
-    alone = np.repeat(np.diff(groups) == 1, np.diff(groups))  # one content: its least document has every window
-    near = _may_share(content, own_at, own_size, np.repeat(np.arange(len(groups) - 1), np.diff(groups)), ~alone, window)
-    found: dict[int, np.ndarray] = {}
+    alone = np.repeat(np.diff(groups) == 1, np.diff(groups))
+    near = _may_share(content, own_at, own_size, np.repeat(np.arange(len(groups) - 1), np.diff(groups)), ~alone, window, gram + 16)
+    # A content that shares no window with another one: its own least document has them all.
+    full = order[np.repeat(~near, times) & (np.repeat(own_doc, times) < doc[order])]
+    out = [(doc[full], start[full], start[full] + size[full])]
     batch: list[int] = []
     total = 0
 
+    def entries_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some contents, and which of `some` each one has."""
+        n = times[some]
+        return order[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(np.arange(len(some)), n)
+
     def solve() -> None:
         some = np.array(batch)
         text = np.concatenate([content[own_at[k] : own_at[k] + own_size[k]] for k in batch])
-        ends = np.cumsum(own_size[some])
-        least = _least_docs(text, ends - own_size[some], own_size[some], own_doc[some], window)
-        for k, e in zip(batch, ends.tolist()):
-            found[k] = least[e - own_size[k] : e - window + 1]
-
+        place = np.cumsum(own_size[some]) - own_size[some]
+        least = _least_docs(text, place, own_size[some], own_doc[some], window)
+        mine, of = entries_of(some)
+        lens = size[mine] - window + 1
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        for i, j in K.blocks(upto, AT_ONCE):
+            entry = np.repeat(np.arange(i, j), lens[i:j])
+            off = np.arange(len(entry)) - (upto[entry] - upto[i])
+            hit = least[place[of[entry]] + off] < doc[mine[entry]]
+            entry, off = mine[entry[hit]], off[hit]
+            out.append(A.merged_spans(doc[entry], start[entry] + off, start[entry] + off + window))
+
+    large = []
     for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
         if b - a == 1:
             continue
         some = a + np.flatnonzero(near[a:b])
+        more = int(own_size[some].sum())
+        if more > ARRAY_BYTES and gram + 16 <= window:
+            large.append(some)
+            continue
         batch += some.tolist()
-        total += int(own_size[some].sum())
+        total += more
         if total >= ARRAY_BYTES:
             solve()
             batch, total = [], 0
     if batch:
         solve()
-    for k in np.flatnonzero(~alone & ~near).tolist():  # shares no window: its own least document stands
-        found[k] = np.full(own_size[k] - window + 1, own_doc[k])
-    out_doc, out_start, out_end = [], [], []
-    full = alone[which] & (own_doc[which] < doc)
-    out_doc.append(doc[full])
-    out_start.append(start[full])
-    out_end.append((start + size)[full])
-    rest = np.flatnonzero(~alone[which])
-    if len(rest):
-        lens = size[rest] - window + 1
-        least = np.concatenate([found[k] for k in which[rest].tolist()])
-        entry = np.repeat(rest, lens)
-        begin = np.repeat(start[rest] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(len(entry))
-        hit = least < doc[entry]
-        out_doc.append(doc[entry][hit])
-        out_start.append(begin[hit])
-        out_end.append(begin[hit] + window)
-    yield from A.span_rows(np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end))
+    yield from A.span_rows(*(np.concatenate(x) for x in zip(*out)))
+    for some in large:
+        mine, of = entries_of(some)
+        for part in _finer_parts(content, own_at[some], own_size[some], own_key[some], mine, of, window, gram + 16):
+            entry, off, length, finer, begin = part
+            ends = np.cumsum(length)
+            text = content[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)]
+            yield from _part_spans(finer, doc[entry], start[entry] + off, length, text, window, gram + 16)
+
+
+def _finer_parts(
+    content: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, entry: np.ndarray, of: np.ndarray, window: int, gram: int
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """The contents' runs by anchors of `gram` bytes, in pieces, for every entry, in parts by the finer key.
+
+    A window's anchor is that of its bytes, so equal windows meet again. Entry
+    `entry[i]` has content `of[i]`. Gives entries, starts in the entry, sizes, keys
+    and places in `content`.
+    """
+    owners, starts, counts, keys = [], [], [], []
+    for own, runs in _finer_runs(content, at, size, window, gram):
+        n = -(-runs.count // PIECE)
+        piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owners.append(np.repeat(own, n))
+        starts.append(np.repeat(runs.start, n) + piece * PIECE)
+        counts.append(np.minimum(np.repeat(runs.count, n) - piece * PIECE, PIECE))
+        keys.append(np.repeat(K.mix(runs.anchor.astype(U) ^ K.mix(key[own].astype(U))).astype(np.int64), n))
+    owner, begin, count, finer = (np.concatenate(x) for x in (owners, starts, counts, keys))
+    upto = np.searchsorted(owner, np.arange(len(at) + 1))  # blocks keep the contents' order
+    times = np.bincount(of, minlength=len(at))
+    length = count + window - 1
+    n = max(1, -(-int((length * times[owner]).sum()) // PART_BYTES))
+    part = (K.mix(finer.astype(U)) % U(n)).astype(np.int64)
+    for p in range(n):
+        run = np.flatnonzero(part == p)
+        if not len(run):
+            continue
+        cut = np.searchsorted(run, upto)
+        each = np.diff(cut)[of]
+        k = run[np.repeat(cut[of] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        yield np.repeat(entry, each), begin[k], length[k], finer[k], at[owner[k]] + begin[k]
 
 
 def _spans(entries: DataFrame, rule: A.Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        rows: list[dict] = []
         found = []
         for batch in batches:
             mail = pa.compute.is_valid(batch["bucket"])
             found.append(A.mail_of(batch.filter(mail), 2))
-            packed = batch.filter(pa.compute.invert(mail))
-            for i in range(packed.num_rows):
-                row = packed.slice(i, 1).to_pylist()[0]
-                if held and held[-1]["shard"] != row["shard"]:
-                    found.append(solved(held))
-                    held = []
-                held.append(row)
-        if held:
-            found.append(solved(held))
+            for i in np.flatnonzero(~mail.to_numpy(zero_copy_only=False)).tolist():  # views, not copies
+                rows.append({c: batch[c][i].as_buffer() for c in ("keys", "docs", "starts", "sizes", "content")})
+        if rows:
+            found.append(A.mailed_spans(list(_shard_spans(rows, rule.window))))
         if found:
             yield pa.RecordBatch.from_pylist(A.mailed(*(np.concatenate(x) for x in zip(*found)), buckets), pa.schema(A.MAIL))
 
-    def solved(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        return A.mailed_spans(list(_shard_spans(rows, rule.window)))
-
-    # In order of the shards, so that a task holds one of them at a time, however many it gets.
-    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, A.MAIL_SQL)
+    return A.dealt(entries, buckets).mapInArrow(run, A.MAIL_SQL)
 
 
 def repeated_spans(docs: DataFrame, rule: A.Rule = RULE) -> DataFrame:
     """doc_id and spans (pairs of start and end as bytes) of what earlier documents hold."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = A.shared_anchors(docs, rule, _split(rule))
+    shards = A.shards_for(docs)
+    shared = A.shared_anchors(docs, rule, _split(rule), shards)
     heavy = A.heavy_anchors(shared, rule)
     segments = _segments(A.known_texts(docs, shared), rule, heavy, shards)
     return A.spans_by_document(_spans(segments, rule, shards))

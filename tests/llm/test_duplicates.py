@@ -200,3 +200,61 @@ def test_results_return_to_documents_as_mail(spark, operator):
     pack = suffix._segments if operator is suffix else substrings._contexts
     entries = pack(anchors.known_texts(docs, shared), rule, {}, shards)
     assert 0 < operator._spans(entries, rule, shards).count() <= shards * shards
+
+
+def test_an_anchor_with_much_content_never_makes_a_large_array(monkeypatch):
+    """Contents of one key go to arrays of about the size asked for, and their spans stay the same."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    mark, heads, tails = b"the same anchor.", [letters(34) for _ in range(60)], [letters(34) for _ in range(60)]
+    texts = [heads[rng.integers(60)][rng.integers(20) :] + mark + tails[rng.integers(60)] for _ in range(600)]
+    texts += [mark + b"Thinwhen, " * int(rng.integers(8, 300)) for _ in range(60)]
+    texts += [b"z" * int(rng.integers(50, 1500)) for _ in range(30)]
+    docs = rng.integers(0, 500, len(texts))
+    size = np.array([len(x) for x in texts])
+    content = np.frombuffer(b"".join(texts), np.uint8)
+    seen = []
+    array = suffix.sais.suffix_array
+    monkeypatch.setattr(suffix.sais, "suffix_array", lambda s, n=None: seen.append(len(s)) or array(s, n))
+
+    def spans(array_bytes):
+        monkeypatch.setattr(suffix, "ARRAY_BYTES", array_bytes)
+        monkeypatch.setattr(suffix, "PIECE", 100)
+        seen.clear()
+        found = list(suffix._part_spans(np.zeros(len(docs), np.int64), docs, np.arange(len(docs)) * 10_000, size, content, 50))
+        pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for _, x in found]
+        doc = np.repeat([d for d, _ in found], [len(x) for x in pairs])
+        return [x.tolist() for x in anchors.merged_spans(doc, *np.concatenate(pairs).T)], max(seen)
+
+    whole, one = spans(10**9)
+    cut, largest = spans(4000)
+    assert cut == whole and one > 100_000 and largest < 10_000
+    least, expected = {}, set()
+    for x, d in zip(texts, docs.tolist()):
+        for i in range(len(x) - 49):
+            least[x[i : i + 50]] = min(d, least.get(x[i : i + 50], d))
+    for k, (x, d) in enumerate(zip(texts, docs.tolist())):
+        expected |= {(d, 10_000 * k + j) for i in range(len(x) - 49) if least[x[i : i + 50]] < d for j in range(i, i + 50)}
+    assert {(d, j) for d, a, b in zip(*whole) for j in range(a, b)} == expected
+
+
+@pytest.mark.parametrize("operator", [suffix, substrings])
+def test_shards_follow_the_texts(spark, frame, mixed, monkeypatch, operator):
+    """There are as many shards as the texts need, a task has one, and results don't depend on their number."""
+    docs = frame([r for r in _shared(mixed) if r[0] is not None])
+    key = lambda r: (r[0], r[1])
+    expected = sorted(map(tuple, operator.without_repeats(docs, digests=True).collect()), key=key)
+    monkeypatch.setattr(anchors, "SHARD_BYTES", 40_000)
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    shards = anchors.shards_for(docs)
+    assert shards == -(-text // 40_000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(4 * shards).selectExpr(f"id % {shards} AS shard")
+    held = anchors.dealt(rows, shards).selectExpr("shard", "spark_partition_id() AS p").distinct()
+    assert held.count() == held.select("p").distinct().count() == shards
+    assert sorted(map(tuple, operator.without_repeats(docs, digests=True).collect()), key=key) == expected
+
+
+def test_parts_of_a_heavy_anchor_are_dealt_by_windows(spark):
+    """An entry has up to 35 windows, so that many more parts are needed to hold no more windows than a light anchor has entries."""
+    shared = spark.createDataFrame([(None, [5, 6], [1000, 99])], "bucket int, heavy array<int>, weights array<bigint>")
+    assert anchors.heavy_anchors(shared, anchors.Rule(50, 16, True, heavy=100)) == {5: 351}
